@@ -40,3 +40,27 @@ def m24_inventory_by_part(spark: SparkSession, sf: str) -> DataFrame:
 @register("m24_inventory_by_brand", sql.with_tx(sql.inventory_sql(7, 120.0, 6.0), sku="brand"))
 def m24_inventory_by_brand(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.recommend(transactions(spark, sf, sku="brand"), 7, 120.0, 6.0)
+
+
+# --- feature tables (A1-A4, W1-W3, P13-P17) ------------------------------------------
+
+from stockroom.operators import features  # noqa: E402
+
+
+@register(
+    "a1_daily_rollup",
+    sql.with_tx(f", {sql.daily_sql()} SELECT date, sku, region, quantity, CAST(revenue AS DOUBLE) AS revenue, avg_price, promotion_flag, weather_index FROM daily"),
+)
+def a1_daily_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    d = features.daily_rollup(transactions(spark, sf))
+    return d.withColumn("revenue", d["revenue"].cast("double"))
+
+
+@register("w1_w2_time_series_features", sql.with_tx(f", {sql.ts_features_cte()} SELECT * FROM ts_features"))
+def w1_w2_time_series_features(spark: SparkSession, sf: str) -> DataFrame:
+    return features.time_series_features(transactions(spark, sf))
+
+
+@register("a2_w3_customer_features", sql.with_tx(f", {sql.customer_features_cte()} SELECT * FROM customer_features"))
+def a2_w3_customer_features(spark: SparkSession, sf: str) -> DataFrame:
+    return features.customer_features(transactions(spark, sf))

@@ -95,3 +95,89 @@ SELECT sku, abc_class, xyz_class, reorder_point,
        safety_stock, current_inventory,
        CASE WHEN current_inventory <= reorder_point THEN 'Reorder now' ELSE 'Inventory healthy' END AS recommendation
 FROM rec2"""
+
+
+def mean_sql(c: str) -> str:
+    return f"CAST(sum({c}) AS DOUBLE) / CAST(count({c}) AS DOUBLE)"
+
+
+def daily_sql(src: str = "transactions") -> str:
+    return f"""daily AS (
+  SELECT date, sku, region, CAST(coalesce(sum(quantity), 0) AS BIGINT) AS quantity, coalesce(sum(revenue), 0) AS revenue,
+         {mean_sql('unit_price')} AS avg_price, max(promotion_flag) AS promotion_flag,
+         {mean_sql('weather_index')} AS weather_index
+  FROM {src} WHERE date IS NOT NULL AND sku IS NOT NULL AND region IS NOT NULL
+  GROUP BY date, sku, region
+)"""
+
+
+HOLIDAY_MD = (126, 815, 1002)
+
+
+def holiday_sql(d: str = "date") -> str:
+    return f"CASE WHEN month({d}) * 100 + day({d}) IN {HOLIDAY_MD} THEN 1 ELSE 0 END"
+
+
+def ts_features_select(src: str = "daily") -> str:
+    parts = []
+    for n in (7, 14, 30):
+        frame = f"(PARTITION BY sku, region ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+        parts.append(f"CAST(sum(quantity) OVER {frame} AS DOUBLE) / CAST(count(*) OVER {frame} AS DOUBLE) AS rolling_qty_{n}")
+        parts.append(f"CAST(sum(revenue) OVER {frame} AS DOUBLE) / CAST(count(*) OVER {frame} AS DOUBLE) AS rolling_revenue_{n}")
+    for n in (1, 7, 14):
+        parts.append(f"coalesce(CAST(lag(quantity, {n}) OVER (PARTITION BY sku, region ORDER BY date) AS DOUBLE), 0.0) AS lag_qty_{n}")
+        parts.append(f"coalesce(CAST(lag(revenue, {n}) OVER (PARTITION BY sku, region ORDER BY date) AS DOUBLE), 0.0) AS lag_revenue_{n}")
+    cols = ",\n       ".join(parts)
+    return f"""SELECT date, sku, region, quantity, CAST(revenue AS DOUBLE) AS revenue, avg_price, promotion_flag, weather_index,
+       {cols},
+       CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(week(date) AS INTEGER) AS week_of_year,
+       CAST(month(date) AS INTEGER) AS month, CAST(quarter(date) AS INTEGER) AS quarter,
+       CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS is_weekend,
+       {holiday_sql()} AS is_holiday
+FROM {src}"""
+
+
+def ts_features_cte() -> str:
+    return f"{daily_sql()}, ts_features AS ({ts_features_select()})"
+
+
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+CHANNELS = ["App", "Store", "Web"]
+
+
+def customer_rollup_sql(src: str = "transactions", name: str = "cust") -> str:
+    order = f"row(sku, date, {LINE_KEY_SQL})"
+    return f"""{name} AS (
+  SELECT customer_id, max(date) AS last_purchase, min(date) AS first_purchase, count(date) AS frequency,
+         coalesce(sum(revenue), 0) AS monetary_exact, {mean_sql('revenue')} AS avg_order_value,
+         {mean_sql('discount_pct')} AS avg_discount, max(churned) AS churn_label,
+         arg_max(region, {order}) AS region, arg_max(channel, {order}) AS preferred_channel
+  FROM {src} WHERE customer_id IS NOT NULL GROUP BY customer_id
+)"""
+
+
+def quartile_sql(order: str) -> str:
+    return f"CAST(ceil(CAST(4.0 AS DOUBLE) * row_number() OVER (ORDER BY {order}) / count(*) OVER ()) AS INTEGER)"
+
+
+def customer_features_cte(src: str = "transactions", name: str = "customer_features", prefix: str = "") -> str:
+    dummies = ",\n       ".join(
+        [f"CASE WHEN region = '{v}' THEN 1 ELSE 0 END AS \"region_{v}\"" for v in REGIONS]
+        + [f"CASE WHEN preferred_channel = '{v}' THEN 1 ELSE 0 END AS \"preferred_channel_{v}\"" for v in CHANNELS]
+    )
+    p = prefix
+    return f"""{customer_rollup_sql(src, p + 'cust')},
+{p}cust2 AS (
+  SELECT c.*, CAST(s.snap - c.last_purchase AS INTEGER) AS recency, CAST(s.snap - c.first_purchase AS INTEGER) AS tenure_days
+  FROM {p}cust c, (SELECT max(last_purchase) + 1 AS snap FROM {p}cust) s
+), {p}cust3 AS (
+  SELECT *, {quartile_sql('recency DESC, customer_id')} + {quartile_sql('frequency, customer_id')}
+            + {quartile_sql('monetary_exact, customer_id')} AS rfm_score
+  FROM {p}cust2
+), {name} AS (
+SELECT customer_id, frequency, CAST(monetary_exact AS DOUBLE) AS monetary, avg_order_value, avg_discount,
+       CAST(churn_label AS INTEGER) AS churn_label, recency, rfm_score, tenure_days,
+       CAST(frequency AS DOUBLE) / CAST(greatest(tenure_days, 1) AS DOUBLE) AS purchase_velocity,
+       CAST(monetary_exact AS DOUBLE) / CAST(greatest(frequency, 1) AS DOUBLE) AS monetary_per_visit,
+       {dummies}
+FROM {p}cust3)"""
