@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stockroom.operators import inventory
 from stockroom.plans import oracle_sql as sql
@@ -64,3 +65,260 @@ def w1_w2_time_series_features(spark: SparkSession, sf: str) -> DataFrame:
 @register("a2_w3_customer_features", sql.with_tx(f", {sql.customer_features_cte()} SELECT * FROM customer_features"))
 def a2_w3_customer_features(spark: SparkSession, sf: str) -> DataFrame:
     return features.customer_features(transactions(spark, sf))
+
+
+# --- dashboard aggregates and scalar rules (A7-A13, P1-P10, P24, T2, T4, U2, U3) -----
+
+from stockroom.functions import scalar  # noqa: E402
+from stockroom.operators import dashboard  # noqa: E402
+from stockroom.sources.tables import table  # noqa: E402
+
+_KPI_SQL = """SELECT CAST(coalesce(sum(revenue), 0) AS DOUBLE) AS revenue, CAST(coalesce(sum(quantity), 0) AS BIGINT) AS units,
+       count(DISTINCT customer_id) AS customers, CAST(sum(discount_pct) AS DOUBLE) / CAST(count(discount_pct) AS DOUBLE) AS avg_discount
+FROM transactions"""
+
+
+@register("a7_executive_kpis", sql.with_tx(_KPI_SQL))
+def a7_executive_kpis(spark: SparkSession, sf: str) -> DataFrame:
+    return dashboard.executive_kpis(transactions(spark, sf))
+
+
+@register("p3_p4_filtered_kpis", sql.with_tx(_KPI_SQL + " WHERE sku = 'Brand#7' AND region = 'ASIA'"))
+def p3_p4_filtered_kpis(spark: SparkSession, sf: str) -> DataFrame:
+    return dashboard.executive_kpis(dashboard.apply_global_filters(transactions(spark, sf), "Brand#7", "ASIA"))
+
+
+@register(
+    "a8_revenue_trend",
+    sql.with_tx("SELECT date, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(quantity) AS BIGINT) AS quantity FROM transactions WHERE date IS NOT NULL GROUP BY date"),
+)
+def a8_revenue_trend(spark: SparkSession, sf: str) -> DataFrame:
+    return dashboard.revenue_trend(transactions(spark, sf))
+
+
+@register(
+    "a9_revenue_by_region",
+    sql.with_tx("SELECT region, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(quantity) AS BIGINT) AS quantity FROM transactions WHERE region IS NOT NULL GROUP BY region"),
+)
+def a9_revenue_by_region(spark: SparkSession, sf: str) -> DataFrame:
+    return dashboard.revenue_by_region(transactions(spark, sf))
+
+
+@register(
+    "a10_sku_volume_mix",
+    sql.with_tx(
+        """, per_sku AS (SELECT sku, CAST(sum(quantity) AS BIGINT) AS quantity FROM transactions WHERE sku IS NOT NULL GROUP BY sku)
+SELECT sku, quantity, CAST(quantity AS DOUBLE) / CAST(sum(quantity) OVER () AS DOUBLE) AS share FROM per_sku"""
+    ),
+)
+def a10_sku_volume_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return dashboard.sku_volume_mix(transactions(spark, sf))
+
+
+@register(
+    "a8_a10_grouping_sets",
+    sql.with_tx(
+        """SELECT date, region, sku, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(quantity) AS BIGINT) AS quantity,
+       CASE WHEN date IS NOT NULL THEN 'date' WHEN region IS NOT NULL THEN 'region' ELSE 'sku' END AS level
+FROM transactions GROUP BY GROUPING SETS ((date), (region), (sku))"""
+    ),
+)
+def a8_a10_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return dashboard.overview_grouping_sets(transactions(spark, sf))
+
+
+@register("p7_sorted_skus", sql.with_tx("SELECT DISTINCT sku FROM transactions WHERE sku IS NOT NULL"))
+def p7_sorted_skus(spark: SparkSession, sf: str) -> DataFrame:
+    return dashboard.sorted_distinct(transactions(spark, sf), "sku")
+
+
+@register("p7_regions_for_sku", sql.with_tx("SELECT DISTINCT region FROM transactions WHERE sku = 'Brand#3' AND region IS NOT NULL"))
+def p7_regions_for_sku(spark: SparkSession, sf: str) -> DataFrame:
+    return dashboard.regions_for_sku(transactions(spark, sf), "Brand#3")
+
+
+@register(
+    "p1_p2_p13_p14_calendar",
+    sql.with_tx(
+        f"""SELECT DISTINCT date, strftime(date, '%Y-%m-%d') AS iso_date, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week,
+       CAST(week(date) AS INTEGER) AS week_of_year, CAST(month(date) AS INTEGER) AS month, CAST(quarter(date) AS INTEGER) AS quarter,
+       CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS is_weekend, {sql.holiday_sql()} AS is_holiday
+FROM transactions"""
+    ),
+)
+def p1_p2_p13_p14_calendar(spark: SparkSession, sf: str) -> DataFrame:
+    days = transactions(spark, sf).select("date").distinct()
+    days = days.withColumn("iso_date", scalar.to_iso_date("date")).withColumns(scalar.calendar_columns("date"))
+    return features.add_holiday_flag(days)
+
+
+@register(
+    "j5_holiday_join",
+    sql.with_tx(
+        f""", d AS (SELECT date, count(*) AS lines FROM transactions GROUP BY date)
+SELECT date, lines, {sql.holiday_sql()} AS is_holiday FROM d"""
+    ),
+)
+def j5_holiday_join(spark: SparkSession, sf: str) -> DataFrame:
+    """J5 with a real holiday dimension (country, date, name) joined by a checked broadcast."""
+
+    d = transactions(spark, sf).groupBy("date").agg(F.count(F.lit(1)).alias("lines"))
+    years = table(spark, sf, "orders").agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    cal = features.holiday_calendar(spark, int(years[0]), int(years[1]))
+    return features.add_holiday_flag(d, cal)
+
+
+@register(
+    "p5_membership_semi_join",
+    sql.with_tx(
+        """SELECT customer_id, count(*) AS lines, CAST(sum(revenue) AS DOUBLE) AS revenue FROM transactions
+WHERE customer_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY customer_id"""
+    ),
+)
+def p5_membership_semi_join(spark: SparkSession, sf: str) -> DataFrame:
+    members = table(spark, sf, "customer").where(F.col("c_mktsegment") == "BUILDING").select("c_custkey")
+    tx = dashboard.filter_members(transactions(spark, sf), "customer_id", members)
+    return tx.groupBy("customer_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("revenue").cast("double").alias("revenue"))
+
+
+@register("p9_hash_pii", "SELECT c_custkey, sha256(c_name) AS name_hash FROM customer")
+def p9_hash_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select("c_custkey", scalar.hash_pii("c_name").alias("name_hash"))
+
+
+@register(
+    "p10_chunked_batches",
+    "SELECT c_custkey, c_nationkey, CAST(floor((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) / 50) AS BIGINT) AS batch_id FROM customer",
+)
+def p10_chunked_batches(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    return dashboard.chunked(c, 50, ["c_nationkey"], ["c_custkey"])
+
+
+@register(
+    "p6_a13_inventory_kpis",
+    sql.with_tx(
+        sql.inventory_sql().replace(
+            "SELECT sku, abc_class",
+            ", final AS (SELECT sku, abc_class",
+        )
+        + """)
+SELECT CAST(count(*) FILTER (WHERE recommendation = 'Reorder now') AS BIGINT) AS reorder_now,
+       round(sum(recommended_order_qty), 6) AS total_suggested_qty, round(avg(safety_stock), 6) AS avg_safety_stock,
+       round(avg(reorder_point), 6) AS avg_reorder_point FROM final""",
+        sku="part",
+    ),
+)
+def p6_a13_inventory_kpis(spark: SparkSession, sf: str) -> DataFrame:
+    k = inventory.inventory_kpis(inventory.recommend(transactions(spark, sf, sku="part")))
+    return k.select("reorder_now", *[F.round(c, 6).alias(c) for c in ("total_suggested_qty", "avg_safety_stock", "avg_reorder_point")])
+
+
+@register(
+    "p6_reorder_now",
+    sql.with_tx(
+        sql.inventory_sql().replace("SELECT sku, abc_class", ", final AS (SELECT sku, abc_class")
+        + ") SELECT sku, current_inventory, recommended_order_qty FROM final WHERE recommendation = 'Reorder now'",
+        sku="part",
+    ),
+)
+def p6_reorder_now(spark: SparkSession, sf: str) -> DataFrame:
+    r = inventory.recommend(transactions(spark, sf, sku="part"))
+    return r.where(F.col("recommendation") == "Reorder now").select("sku", "current_inventory", "recommended_order_qty")
+
+
+@register(
+    "a11_segment_profile_by_rfm",
+    sql.with_tx(
+        f""", {sql.customer_features_cte()}
+SELECT rfm_score AS segment_id, count(customer_id) AS customers, avg(recency) AS avg_recency, avg(frequency) AS avg_frequency,
+       round(avg(monetary), 6) AS avg_monetary, avg(churn_label) AS avg_churn
+FROM customer_features GROUP BY rfm_score"""
+    ),
+)
+def a11_segment_profile_by_rfm(spark: SparkSession, sf: str) -> DataFrame:
+    cf = features.customer_features(transactions(spark, sf)).withColumn("segment_id", F.col("rfm_score"))
+    p = dashboard.segment_profile(cf)
+    return p.withColumn("avg_monetary", F.round("avg_monetary", 6))
+
+
+@register(
+    "a12_p24_customer_kpis",
+    sql.with_tx(
+        f""", {sql.customer_features_cte()}
+SELECT count(*) AS customers, round(avg(monetary), 6) AS avg_monetary, avg(rfm_score) AS avg_rfm,
+       count(DISTINCT rfm_score) AS segments, CAST(sum(greatest(coalesce(rfm_score, 1), 1)) AS BIGINT) AS bubble_total
+FROM customer_features"""
+    ),
+)
+def a12_p24_customer_kpis(spark: SparkSession, sf: str) -> DataFrame:
+    cf = features.customer_features(transactions(spark, sf))
+    seg = cf.select("customer_id", F.col("rfm_score").alias("segment_id"))
+    bubble = F.sum(dashboard.bubble_size(F.col("rfm_score"))).cast("bigint").alias("bubble_total")
+    k = dashboard.customer_kpis(cf, seg, extra=[bubble])
+    return k.withColumn("avg_monetary", F.round("avg_monetary", 6))
+
+
+@register(
+    "t2_top_customers_by_monetary",
+    sql.with_tx(
+        f""", {sql.customer_features_cte()}
+SELECT customer_id, monetary FROM customer_features ORDER BY monetary DESC, customer_id LIMIT 15"""
+    ),
+)
+def t2_top_customers_by_monetary(spark: SparkSession, sf: str) -> DataFrame:
+    cf = features.customer_features(transactions(spark, sf))
+    return dashboard.top_k(cf.select("customer_id", "monetary"), [F.col("monetary").desc(), F.col("customer_id")], 15)
+
+
+@register(
+    "u2_u3_time_split_overlap",
+    sql.with_tx(
+        """, c AS (SELECT date, count(*) AS n FROM transactions GROUP BY date),
+cut AS (SELECT min(date) AS cutoff FROM (SELECT date, sum(n) OVER (ORDER BY date) AS cum FROM c) WHERE cum > (SELECT sum(n) FROM c) // 2)
+SELECT customer_id FROM transactions, cut WHERE date <= cutoff
+INTERSECT
+SELECT customer_id FROM transactions, cut WHERE date > cutoff"""
+    ),
+)
+def u2_u3_time_split_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    from stockroom.operators import drift
+
+    tx = transactions(spark, sf)
+    cutoff = drift.median_transaction_date(tx)
+    ref, cur = dashboard.time_split(tx, cutoff)
+    return ref.select("customer_id").intersect(cur.select("customer_id"))
+
+
+# --- drift (A16, A17, W11, M25-M27, P26) ----------------------------------------------
+
+from stockroom.operators import drift  # noqa: E402
+
+
+@register("m25_m27_observed_drift", sql.with_tx(sql.observed_drift_sql()))
+def m25_m27_observed_drift(spark: SparkSession, sf: str) -> DataFrame:
+    out = drift.observed_drift_snapshot(transactions(spark, sf))
+    return out.withColumn("psi", F.round("psi", 10))
+
+
+@register(
+    "p26_stress_test_psi",
+    sql.with_tx(
+        f""", {sql.customer_features_cte()},
+pairs AS (SELECT monetary * 1.05 AS ref_value, monetary AS cur_value FROM customer_features),
+{sql.psi_ctes('pairs', 'ref_value', 'cur_value')}
+SELECT psi, bins_used FROM psi_value"""
+    ),
+)
+def p26_stress_test_psi(spark: SparkSession, sf: str) -> DataFrame:
+    cf = features.customer_features(transactions(spark, sf))
+    return drift.stress_test_psi(cf).withColumn("psi", F.round("psi", 10))
+
+
+@register(
+    "w11_median_date",
+    sql.with_tx(f", {sql.median_date_cte()} SELECT cutoff FROM cut"),
+)
+def w11_median_date(spark: SparkSession, sf: str) -> DataFrame:
+    d = drift.median_transaction_date(transactions(spark, sf))
+    return spark.createDataFrame([(d,)], "cutoff date")

@@ -181,3 +181,46 @@ SELECT customer_id, frequency, CAST(monetary_exact AS DOUBLE) AS monetary, avg_o
        CAST(monetary_exact AS DOUBLE) / CAST(greatest(frequency, 1) AS DOUBLE) AS monetary_per_visit,
        {dummies}
 FROM {p}cust3)"""
+
+
+def psi_ctes(pairs: str, ref: str, cur: str, bins: int = 10, p: str = "psi_") -> str:
+    """CTEs ending in ``{p}value(psi)``: PSI of ``cur`` against ``ref`` over table ``pairs``."""
+
+    return f"""{p}rq AS (SELECT CAST({ref} AS DOUBLE) AS v, row_number() OVER (ORDER BY CAST({ref} AS DOUBLE)) - 1 AS i, count(*) OVER () AS n
+           FROM {pairs} WHERE {ref} IS NOT NULL AND NOT isnan(CAST({ref} AS DOUBLE))),
+{p}pos AS (SELECT k, q * (n - 1) AS pp, floor(q * (n - 1)) AS lo, ceil(q * (n - 1)) AS hi
+            FROM (SELECT k, k / {bins} AS q FROM range({bins + 1}) t(k)), (SELECT max(n) AS n FROM {p}rq)),
+{p}bp AS (SELECT DISTINCT CASE WHEN lo = hi THEN a.v ELSE a.v + (b.v - a.v) * (pp - lo) END AS b
+           FROM {p}pos JOIN {p}rq a ON a.i = {p}pos.lo JOIN {p}rq b ON b.i = {p}pos.hi),
+{p}bpr AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS j FROM {p}bp),
+{p}lim AS (SELECT min(b) AS lo, max(b) AS hi, count(*) AS nb FROM {p}bpr),
+{p}x AS (SELECT 'r' AS side, CAST({ref} AS DOUBLE) AS v FROM {pairs} UNION ALL SELECT 'c' AS side, CAST({cur} AS DOUBLE) AS v FROM {pairs}),
+{p}binned AS (SELECT side, least((SELECT count(*) FROM {p}bpr WHERE b <= v) - 1, (SELECT nb FROM {p}lim) - 2) AS bin
+              FROM {p}x WHERE v >= (SELECT lo FROM {p}lim) AND v <= (SELECT hi FROM {p}lim)),
+{p}hist AS (SELECT j AS bin,
+                   (SELECT count(*) FROM {p}binned WHERE bin = j AND side = 'r') AS rc,
+                   (SELECT count(*) FROM {p}binned WHERE bin = j AND side = 'c') AS cc
+            FROM {p}bpr WHERE j < (SELECT nb FROM {p}lim) - 1),
+{p}pct AS (SELECT CASE WHEN rc = 0 THEN 1e-6 ELSE CAST(rc AS DOUBLE) / CAST(sum(rc) OVER () AS DOUBLE) END AS rp,
+                  CASE WHEN cc = 0 THEN 1e-6 ELSE CAST(cc AS DOUBLE) / CAST(sum(cc) OVER () AS DOUBLE) END AS cp FROM {p}hist),
+{p}value AS (SELECT CASE WHEN (SELECT nb FROM {p}lim) <= 2 THEN 0.0 ELSE round(coalesce(sum((cp - rp) * ln(cp / rp)), 0.0), 10) END AS psi,
+                    CAST(greatest((SELECT nb FROM {p}lim) - 1, 0) AS INTEGER) AS bins_used FROM {p}pct)"""
+
+
+def median_date_cte(src: str = "transactions", name: str = "cut") -> str:
+    return f"""{name}_c AS (SELECT date, count(*) AS n FROM {src} WHERE date IS NOT NULL GROUP BY date),
+{name} AS (SELECT min(date) AS cutoff FROM (
+    SELECT date, sum(n) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, sum(n) OVER () AS total FROM {name}_c)
+  WHERE cum > floor(total / 2))"""
+
+
+def observed_drift_sql() -> str:
+    return f""", {median_date_cte()},
+pairs AS (SELECT customer_id, CAST(sum(CASE WHEN date <= cutoff THEN revenue END) AS DOUBLE) AS ref_monetary,
+                 CAST(sum(CASE WHEN date > cutoff THEN revenue END) AS DOUBLE) AS cur_monetary
+          FROM transactions, cut WHERE customer_id IS NOT NULL GROUP BY customer_id
+          HAVING count(*) FILTER (WHERE date <= cutoff) > 0 AND count(*) FILTER (WHERE date > cutoff) > 0),
+{psi_ctes('pairs', 'ref_monetary', 'cur_monetary')}
+SELECT (SELECT cutoff FROM cut) AS cutoff, (SELECT count(*) FROM pairs) AS common_customers, psi,
+       'Observed drift from prior vs recent customer windows split at ' || strftime((SELECT cutoff FROM cut), '%Y-%m-%d') AS message
+FROM psi_value"""
