@@ -322,3 +322,76 @@ def p26_stress_test_psi(spark: SparkSession, sf: str) -> DataFrame:
 def w11_median_date(spark: SparkSession, sf: str) -> DataFrame:
     d = drift.median_transaction_date(transactions(spark, sf))
     return spark.createDataFrame([(d,)], "cutoff date")
+
+
+# --- pricing (M18-M22, J6, P11, P12, W9, T4) ------------------------------------------
+
+from stockroom.operators import pricing  # noqa: E402
+
+
+def _ts(spark: SparkSession, sf: str) -> DataFrame:
+    return features.time_series_features(transactions(spark, sf))
+
+
+def _elasticity(ts: DataFrame) -> float:
+    return round(float(pricing.elasticity_loglog(ts).first()["price_elasticity"]), 10)
+
+
+@register(
+    "m18_elasticity_loglog",
+    sql.with_tx(f", {sql.ts_features_cte()} SELECT round({sql.elasticity_sql()}, 10) AS price_elasticity, count(*) AS observations FROM ts_features"),
+)
+def m18_elasticity_loglog(spark: SparkSession, sf: str) -> DataFrame:
+    e = pricing.elasticity_loglog(_ts(spark, sf))
+    return e.withColumn("price_elasticity", F.round("price_elasticity", 10))
+
+
+@register(
+    "m18_elasticity_by_sku",
+    sql.with_tx(f", {sql.ts_features_cte()} SELECT sku, round({sql.elasticity_sql()}, 10) AS price_elasticity, count(*) AS observations FROM ts_features GROUP BY sku"),
+)
+def m18_elasticity_by_sku(spark: SparkSession, sf: str) -> DataFrame:
+    e = pricing.elasticity_loglog(_ts(spark, sf), by=["sku"])
+    return e.withColumn("price_elasticity", F.round("price_elasticity", 10))
+
+
+_R6 = ["base_price", "candidate_price", "expected_demand", "expected_revenue"]
+
+
+@register(
+    "m21_what_if_grid",
+    sql.with_tx(
+        sql.what_if_sql()
+        + " SELECT sku, grid_index, round(base_price, 6) AS base_price, round(candidate_price, 6) AS candidate_price,"
+        " round(expected_demand, 6) AS expected_demand, round(expected_revenue, 6) AS expected_revenue, price_elasticity FROM sim2"
+    ),
+)
+def m21_what_if_grid(spark: SparkSession, sf: str) -> DataFrame:
+    ts = _ts(spark, sf).cache()
+    s = pricing.what_if_grid(ts, _elasticity(ts))
+    return s.select("sku", "grid_index", *[F.round(c, 6).alias(c) for c in _R6], "price_elasticity")
+
+
+@register(
+    "m22_recommend_price",
+    sql.with_tx(
+        sql.what_if_sql()
+        + """, best AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY expected_revenue DESC, grid_index) AS rk FROM sim2)
+SELECT sku, round(base_price, 6) AS base_price, round(candidate_price, 6) AS candidate_price, round(expected_demand, 6) AS expected_demand,
+       round(expected_revenue, 6) AS expected_revenue, price_elasticity FROM best WHERE rk = 1"""
+    ),
+)
+def m22_recommend_price(spark: SparkSession, sf: str) -> DataFrame:
+    ts = _ts(spark, sf).cache()
+    r = pricing.recommend_price(ts, _elasticity(ts))
+    return r.select("sku", *[F.round(c, 6).alias(c) for c in _R6], "price_elasticity")
+
+
+@register("m19_elasticity_dml")
+def m19_elasticity_dml(spark: SparkSession, sf: str) -> DataFrame:
+    return pricing.elasticity_dml(_ts(spark, sf))
+
+
+@register("m20_elasticity_backdoor")
+def m20_elasticity_backdoor(spark: SparkSession, sf: str) -> DataFrame:
+    return pricing.elasticity_backdoor(_ts(spark, sf))

@@ -224,3 +224,21 @@ pairs AS (SELECT customer_id, CAST(sum(CASE WHEN date <= cutoff THEN revenue END
 SELECT (SELECT cutoff FROM cut) AS cutoff, (SELECT count(*) FROM pairs) AS common_customers, psi,
        'Observed drift from prior vs recent customer windows split at ' || strftime((SELECT cutoff FROM cut), '%Y-%m-%d') AS message
 FROM psi_value"""
+
+
+def elasticity_sql(src: str = "ts_features") -> str:
+    return f"regr_slope(ln(1 + CAST(quantity AS DOUBLE)), ln(greatest(CAST(avg_price AS DOUBLE), 0.01)))"
+
+
+GRID_SQL = "(SELECT i AS grid_index, 0.85 + 0.05 * i AS factor FROM range(8) t(i))"
+
+
+def what_if_sql() -> str:
+    return f""", {ts_features_cte()},
+el AS (SELECT round({elasticity_sql()}, 10) AS e FROM ts_features),
+base AS (SELECT sku, avg(CAST(avg_price AS DOUBLE)) AS base_price, avg(CAST(quantity AS DOUBLE)) AS baseline_demand
+         FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY region DESC, date DESC) AS rn FROM ts_features) WHERE rn <= 7 GROUP BY sku),
+grid AS (SELECT b.*, g.grid_index, g.factor, b.base_price * g.factor AS candidate_price, el.e AS price_elasticity
+         FROM base b, {GRID_SQL} g, el),
+sim AS (SELECT *, greatest(baseline_demand * (1.0 + price_elasticity * ((candidate_price - base_price) / greatest(base_price, 0.01))), 0.0) AS expected_demand FROM grid),
+sim2 AS (SELECT *, expected_demand * candidate_price AS expected_revenue FROM sim)"""
