@@ -395,3 +395,111 @@ def m19_elasticity_dml(spark: SparkSession, sf: str) -> DataFrame:
 @register("m20_elasticity_backdoor")
 def m20_elasticity_backdoor(spark: SparkSession, sf: str) -> DataFrame:
     return pricing.elasticity_backdoor(_ts(spark, sf))
+
+
+# --- forecasting (M1-M6, W7-W10, A14, A15, A19, U1) -----------------------------------
+
+from stockroom.operators import forecast  # noqa: E402
+
+
+def _daily(spark: SparkSession, sf: str) -> DataFrame:
+    return features.daily_rollup(transactions(spark, sf))
+
+
+@register("m1_w7_seasonal_naive_forecast", sql.with_tx(f", {sql.daily_sql()}, {sql.naive_forecast_ctes()} SELECT * FROM forecast"))
+def m1_w7_seasonal_naive_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    return forecast.seasonal_naive(_daily(spark, sf), horizon=30)
+
+
+@register(
+    "m5_naive_mape",
+    sql.with_tx(
+        f""", {sql.daily_sql()},
+s AS (SELECT sku, region, date, CAST(quantity AS DOUBLE) AS y,
+             coalesce(lag(CAST(quantity AS DOUBLE)) OVER (PARTITION BY sku, region ORDER BY date), CAST(quantity AS DOUBLE)) AS bl,
+             row_number() OVER (PARTITION BY sku, region ORDER BY date DESC) AS rn FROM daily)
+SELECT sku, region, round(avg(abs(y - bl) / greatest(abs(y), {forecast.EPS!r})) * 100, 10) AS mape, count(*) AS holdout_points
+FROM s WHERE rn <= 14 GROUP BY sku, region"""
+    ),
+)
+def m5_naive_mape(spark: SparkSession, sf: str) -> DataFrame:
+    return forecast.naive_mape(_daily(spark, sf)).withColumn("mape", F.round("mape", 10))
+
+
+@register(
+    "m2_a19_regressor_defaults",
+    sql.with_tx(
+        f""", {sql.daily_sql()},
+t7 AS (SELECT *, row_number() OVER (PARTITION BY sku, region ORDER BY date DESC) AS rn FROM daily),
+base AS (SELECT sku, region, round(avg(avg_price), 8) AS avg_price, round(avg(weather_index), 8) AS weather_index, max(date) AS last_date
+         FROM t7 WHERE rn <= 7 GROUP BY sku, region),
+modes AS (SELECT sku, region, p, row_number() OVER (PARTITION BY sku, region ORDER BY c DESC, p) AS k
+          FROM (SELECT sku, region, CAST(round(promotion_flag) AS INTEGER) AS p, count(*) AS c FROM t7 WHERE rn <= 7 GROUP BY ALL))
+SELECT b.sku, b.region, b.avg_price, b.weather_index, m.p AS promotion_flag, 0 AS is_holiday, b.last_date
+FROM base b JOIN modes m ON b.sku = m.sku AND b.region = m.region AND m.k = 1"""
+    ),
+)
+def m2_a19_regressor_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    d = forecast.regressor_defaults(_daily(spark, sf))
+    return d.withColumn("avg_price", F.round("avg_price", 8)).withColumn("weather_index", F.round("weather_index", 8))
+
+
+@register(
+    "w10_sequence_windows",
+    sql.with_tx(
+        f""", {sql.daily_sql()},
+w AS (SELECT sku, region, date, quantity AS target,
+             list(quantity) OVER (PARTITION BY sku, region ORDER BY date ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS l
+      FROM daily)
+SELECT sku, region, date, target, array_to_string(l, ',') AS lags FROM w WHERE len(l) = 14"""
+    ),
+)
+def w10_sequence_windows(spark: SparkSession, sf: str) -> DataFrame:
+    s = forecast.sequence_windows(_daily(spark, sf))
+    return s.select("sku", "region", "date", "target", F.array_join(F.transform("lags", lambda x: x.cast("string")), ",").alias("lags"))
+
+
+@register(
+    "a14_forecast_kpis",
+    sql.with_tx(
+        f""", {sql.daily_sql()}, {sql.naive_forecast_ctes()},
+lo AS (SELECT sku, region, CAST(arg_max(quantity, date) AS DOUBLE) AS last_observed_demand FROM daily GROUP BY sku, region),
+fk AS (SELECT sku, region, avg(CASE WHEN st <= 7 THEN daily_forecast END) AS avg_next_7_days, arg_max(monthly_forecast, date) AS total_month
+       FROM (SELECT *, row_number() OVER (PARTITION BY sku, region ORDER BY date) AS st FROM forecast) GROUP BY sku, region)
+SELECT lo.sku, lo.region, last_observed_demand, round(avg_next_7_days, 8) AS avg_next_7_days, total_month
+FROM lo JOIN fk ON lo.sku = fk.sku AND lo.region = fk.region"""
+    ),
+)
+def a14_forecast_kpis(spark: SparkSession, sf: str) -> DataFrame:
+    d = _daily(spark, sf)
+    k = forecast.forecast_kpis(d, forecast.seasonal_naive(d, 30))
+    return k.withColumn("avg_next_7_days", F.round("avg_next_7_days", 8))
+
+
+@register(
+    "u1_history_forecast_union",
+    sql.with_tx(
+        f""", {sql.daily_sql()}, {sql.naive_forecast_ctes()}
+SELECT sku, region, date, CAST(quantity AS DOUBLE) AS value, 'Historical Demand' AS series FROM daily
+UNION ALL
+SELECT sku, region, date, daily_forecast AS value, 'Forecasted Demand' AS series FROM forecast"""
+    ),
+)
+def u1_history_forecast_union(spark: SparkSession, sf: str) -> DataFrame:
+    d = _daily(spark, sf)
+    return dashboard.history_forecast_union(d, forecast.seasonal_naive(d, 30))
+
+
+@register("m3_seasonal_regression_forecast")
+def m3_seasonal_regression_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    return forecast.seasonal_regression(_ts(spark, sf), horizon=30).where(F.col("kind") == "forecast")
+
+
+@register("m4_residual_hybrid_forecast")
+def m4_residual_hybrid_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    return forecast.residual_hybrid(_ts(spark, sf), horizon=30)
+
+
+@register("m5_backtest_mape")
+def m5_backtest_mape(spark: SparkSession, sf: str) -> DataFrame:
+    return forecast.backtest_mape(_daily(spark, sf))

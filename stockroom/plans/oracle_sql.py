@@ -242,3 +242,18 @@ grid AS (SELECT b.*, g.grid_index, g.factor, b.base_price * g.factor AS candidat
          FROM base b, {GRID_SQL} g, el),
 sim AS (SELECT *, greatest(baseline_demand * (1.0 + price_elasticity * ((candidate_price - base_price) / greatest(base_price, 0.01))), 0.0) AS expected_demand FROM grid),
 sim2 AS (SELECT *, expected_demand * candidate_price AS expected_revenue FROM sim)"""
+
+
+def naive_forecast_ctes(horizon: int = 30, season: int = 14) -> str:
+    return f"""recent AS (SELECT sku, region, date, CAST(quantity AS DOUBLE) AS q,
+                   row_number() OVER (PARTITION BY sku, region ORDER BY date DESC) AS rn FROM daily),
+r14 AS (SELECT *, count(*) OVER (PARTITION BY sku, region) AS m, max(date) OVER (PARTITION BY sku, region) AS last_date
+        FROM recent WHERE rn <= {season}),
+r14p AS (SELECT *, m - rn AS pos FROM r14),
+keys_ AS (SELECT DISTINCT sku, region, last_date, m FROM r14p),
+fut AS (SELECT k.sku, k.region, k.last_date + CAST(st.step AS INTEGER) AS date, r.q AS daily_forecast
+        FROM keys_ k CROSS JOIN (SELECT s AS step FROM range(1, {horizon + 1}) t(s)) st
+        JOIN r14p r ON r.sku = k.sku AND r.region = k.region AND r.pos = (st.step - 1) % k.m),
+forecast AS (SELECT *, sum(daily_forecast) OVER (PARTITION BY sku, region ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS weekly_forecast,
+                   sum(daily_forecast) OVER (PARTITION BY sku, region ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS monthly_forecast
+             FROM fut)"""
