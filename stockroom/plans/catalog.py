@@ -503,3 +503,103 @@ def m4_residual_hybrid_forecast(spark: SparkSession, sf: str) -> DataFrame:
 @register("m5_backtest_mape")
 def m5_backtest_mape(spark: SparkSession, sf: str) -> DataFrame:
     return forecast.backtest_mape(_daily(spark, sf))
+
+
+# --- validation, sources, sinks (V2-V5, S1, S3, S5, K1-K3) -----------------------------
+
+import uuid as _uuid  # noqa: E402
+
+from stockroom.operators import validation  # noqa: E402
+from stockroom.sinks import writers  # noqa: E402
+from stockroom.sources import readers  # noqa: E402
+
+_V_RULES = [("not_null", "customer_id"), ("not_null", "sku"), ("non_negative", "quantity"), ("non_negative", "unit_price"), ("non_negative", "revenue")]
+
+
+def _v_sql(rule: str, col: str) -> str:
+    cond = f"{col} IS NULL" if rule == "not_null" else f"NOT coalesce({col} >= 0, false)"
+    return (
+        f"SELECT '{rule}' AS rule, '{col}' AS \"column\", count(*) AS checked, count(*) FILTER (WHERE {cond}) AS failed,"
+        f" count(*) FILTER (WHERE {cond}) = 0 AS success FROM transactions"
+    )
+
+
+@register("v2_v4_validation_report", sql.with_tx("\nUNION ALL\n".join(_v_sql(r, c) for r, c in _V_RULES)))
+def v2_v4_validation_report(spark: SparkSession, sf: str) -> DataFrame:
+    return validation.validation_report(transactions(spark, sf))
+
+
+@register(
+    "v5_quarantine_split",
+    "SELECT CASE WHEN coalesce(l_quantity >= 0, false) AND coalesce(l_extendedprice >= 0, false) AND coalesce(l_discount >= 0, false)"
+    " THEN 'valid' ELSE 'quarantine' END AS part, count(*) AS rows FROM lineitem GROUP BY 1",
+)
+def v5_quarantine_split(spark: SparkSession, sf: str) -> DataFrame:
+    """V5 on raw line items with the same rule engine (non-negative money and quantity)."""
+
+    li = table(spark, sf, "lineitem")
+    rules = [("non_negative", c, ~F.coalesce(F.col(c) >= 0, F.lit(False))) for c in ("l_quantity", "l_extendedprice", "l_discount")]
+    ok = F.lit(True)
+    for _, _, failed in rules:
+        ok = ok & ~failed
+    return li.groupBy(F.when(ok, "valid").otherwise("quarantine").alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+_EVENT_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+_TS_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+@register(
+    "s5_kafka_decode_events",
+    "SELECT event_id, ts, user_id, event_type, value, props, CAST(event_id % 8 AS INTEGER) AS \"partition\", event_id AS \"offset\" FROM events",
+)
+def s5_kafka_decode_events(spark: SparkSession, sf: str) -> DataFrame:
+    """S5 decode stage on Kafka-shaped rows built from the events table
+    (key/value binary, topic/partition/offset), as a bounded batch read returns them."""
+
+    ev = table(spark, sf, "events")
+    opts = {"timestampFormat": _TS_FMT, "timestampNTZFormat": _TS_FMT}
+    raw = ev.select(
+        F.col("event_id").cast("string").cast("binary").alias("key"),
+        F.to_json(F.struct(*[F.col(c) for c in ev.columns]), opts).cast("binary").alias("value"),
+        F.lit("events").alias("topic"),
+        F.pmod(F.col("event_id"), F.lit(8)).cast("int").alias("partition"),
+        F.col("event_id").alias("offset"),
+        F.col("ts").alias("timestamp"),
+    )
+    out = raw.select(*[c for c in ("partition", "offset")], F.from_json(F.col("value").cast("string"), _EVENT_SCHEMA, opts).alias("v"))
+    return out.select("v.*", "partition", "offset").withColumn("ts", F.col("ts").cast(ev.schema["ts"].dataType))
+
+
+@register(
+    "s1_k1_csv_roundtrip",
+    "SELECT o_orderpriority, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS total FROM orders GROUP BY o_orderpriority",
+)
+def s1_k1_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 + K1: write orders as CSV to the shared scratch folder, read back with a schema."""
+
+    path = writers.shared_path(spark, "csv_orders", _uuid.uuid4().hex)
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    orders.write.mode("overwrite").option("header", True).csv(path)
+    back = readers.read_csv(spark, path, "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderpriority string")
+    return back.groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("double").alias("total")
+    )
+
+
+@register(
+    "k3_silver_roundtrip",
+    sql.with_tx("SELECT date, count(*) AS lines, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(quantity) AS BIGINT) AS quantity FROM transactions GROUP BY date"),
+)
+def k3_silver_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: land bronze + silver (partitioned by date) and read silver back; partition pruning applies to later date filters."""
+
+    run = _uuid.uuid4().hex
+    bronze = writers.shared_path(spark, "bronze", run)
+    silver = writers.shared_path(spark, "silver", run)
+    tx = transactions(spark, sf).drop(*[c for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")])
+    writers.land_bronze_silver(tx, bronze, silver, salt_buckets=1)
+    back = readers.read_parquet(spark, silver)
+    return back.groupBy("date").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("revenue").cast("double").alias("revenue"), F.sum("quantity").cast("bigint").alias("quantity")
+    )
