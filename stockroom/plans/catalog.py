@@ -603,3 +603,100 @@ def k3_silver_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return back.groupBy("date").agg(
         F.count(F.lit(1)).alias("lines"), F.sum("revenue").cast("double").alias("revenue"), F.sum("quantity").cast("bigint").alias("quantity")
     )
+
+
+# --- churn and segmentation (M7-M17, A18, P18, T3) --------------------------------------
+
+from stockroom.operators import churn, segment  # noqa: E402
+
+
+def _cf(spark: SparkSession, sf: str) -> DataFrame:
+    return features.customer_features(transactions(spark, sf))
+
+
+@register(
+    "m7_stratified_split",
+    sql.with_tx(
+        f""", {sql.customer_features_cte()},
+r AS (SELECT customer_id, churn_label,
+             row_number() OVER (PARTITION BY churn_label ORDER BY md5(CAST(customer_id AS VARCHAR) || ':42'), customer_id) AS rk,
+             count(*) OVER (PARTITION BY churn_label) AS n FROM customer_features)
+SELECT customer_id, churn_label, rk <= ceil(0.2 * n) AS is_valid FROM r"""
+    ),
+)
+def m7_stratified_split(spark: SparkSession, sf: str) -> DataFrame:
+    return churn.stratified_split(_cf(spark, sf).select("customer_id", "churn_label"))
+
+
+@register(
+    "a18_auc_recency_vs_churn",
+    sql.with_tx(
+        f""", {sql.customer_features_cte()},
+g AS (SELECT CAST(recency AS DOUBLE) AS s, count(*) FILTER (WHERE churn_label = 1) AS pos, count(*) FILTER (WHERE churn_label <> 1) AS neg
+      FROM customer_features GROUP BY 1),
+c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+SELECT CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN CAST(sum(CAST(pos AS HUGEINT) * (2 * below + neg)) AS DOUBLE)
+       / (2.0 * CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) END AS auc FROM c"""
+    ),
+)
+def a18_auc_recency_vs_churn(spark: SparkSession, sf: str) -> DataFrame:
+    return churn.roc_auc(_cf(spark, sf), score="recency")
+
+
+def _churn_model(spark: SparkSession, sf: str):
+    cf = _cf(spark, sf)
+    split = churn.stratified_split(cf).cache()
+    model = churn.fit_stacked(split.where(~F.col("is_valid")).drop("is_valid"), max_iter=20, folds=3)
+    return cf, split, model
+
+
+@register("m8_m9_churn_scores")
+def m8_m9_churn_scores(spark: SparkSession, sf: str) -> DataFrame:
+    cf, _, model = _churn_model(spark, sf)
+    return churn.predict(model, cf)
+
+
+@register("m9_validation_auc")
+def m9_validation_auc(spark: SparkSession, sf: str) -> DataFrame:
+    _, split, model = _churn_model(spark, sf)
+    scored = churn.predict(model, split.where(F.col("is_valid")).drop("is_valid"))
+    return churn.roc_auc(scored, score="churn_probability")
+
+
+@register("m10_churn_explanation")
+def m10_churn_explanation(spark: SparkSession, sf: str) -> DataFrame:
+    cf, _, model = _churn_model(spark, sf)
+    return churn.explain(model, cf)
+
+
+@register("t3_retention_radar")
+def t3_retention_radar(spark: SparkSession, sf: str) -> DataFrame:
+    cf, _, model = _churn_model(spark, sf)
+    return churn.retention_radar(churn.predict(model, cf), 15)
+
+
+@register(
+    "m11_standardize",
+    sql.with_tx(
+        f""", {sql.customer_features_cte()},
+s AS (SELECT avg(CAST(frequency AS DOUBLE)) AS mf, stddev_pop(CAST(frequency AS DOUBLE)) AS sf_,
+             avg(CAST(recency AS DOUBLE)) AS mr, stddev_pop(CAST(recency AS DOUBLE)) AS sr FROM customer_features)
+SELECT customer_id, round((CAST(frequency AS DOUBLE) - mf) / CASE WHEN sf_ > 0 THEN sf_ ELSE 1.0 END, 8) AS z_frequency,
+       round((CAST(recency AS DOUBLE) - mr) / CASE WHEN sr > 0 THEN sr ELSE 1.0 END, 8) AS z_recency
+FROM customer_features, s"""
+    ),
+)
+def m11_standardize(spark: SparkSession, sf: str) -> DataFrame:
+    z = segment.standardize(_cf(spark, sf), ["frequency", "recency"])
+    return z.select("customer_id", F.round("z_frequency", 8).alias("z_frequency"), F.round("z_recency", 8).alias("z_recency"))
+
+
+@register("m12_m16_segment_candidates")
+def m12_m16_segment_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    table, _ = segment.candidate_models(_cf(spark, sf))
+    return table
+
+
+@register("m17_a11_segment_profile")
+def m17_a11_segment_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return segment.segment_customers(_cf(spark, sf))["profile"]
