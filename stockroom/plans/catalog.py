@@ -700,3 +700,90 @@ def m12_m16_segment_candidates(spark: SparkSession, sf: str) -> DataFrame:
 @register("m17_a11_segment_profile")
 def m17_a11_segment_profile(spark: SparkSession, sf: str) -> DataFrame:
     return segment.segment_customers(_cf(spark, sf))["profile"]
+
+
+# --- feature store (J7, J8, F1, F2) -------------------------------------------------------
+
+import datetime as _dt  # noqa: E402
+
+from stockroom.operators import feature_store  # noqa: E402
+
+
+def _asof_inputs(spark: SparkSession, sf: str):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    orders = table(spark, sf, "orders")
+    req = li.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "l_orderkey", "l_linenumber", F.col("o_custkey").alias("customer_id"), F.col("l_shipdate").alias("ts")
+    )
+    cust_day = orders.groupBy(F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("event_timestamp")).agg(
+        F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("double").alias("spend"), F.count(F.lit(1)).alias("orders")
+    )
+    return req, cust_day
+
+
+@register(
+    "j7_asof_customer_spend",
+    f"""WITH {sql.asof_requests_sql()},
+j AS (SELECT req.*, c.spend, c.orders, c.event_timestamp AS fts FROM req ASOF LEFT JOIN cust_day c
+      ON req.customer_id = c.customer_id AND req.ts >= c.event_timestamp)
+SELECT l_orderkey, l_linenumber, customer_id, ts,
+       CASE WHEN fts >= ts - INTERVAL 30 DAY THEN spend END AS spend,
+       CASE WHEN fts >= ts - INTERVAL 30 DAY THEN orders END AS orders,
+       CASE WHEN fts >= ts - INTERVAL 30 DAY THEN fts END AS feature_ts
+FROM j""",
+)
+def j7_asof_customer_spend(spark: SparkSession, sf: str) -> DataFrame:
+    req, cust_day = _asof_inputs(spark, sf)
+    return feature_store.asof_join(req, cust_day, "customer_id", "ts", "event_timestamp", ["spend", "orders"], _dt.timedelta(days=30))
+
+
+@register(
+    "j8_feature_service",
+    sql.with_tx(
+        f""", req AS (SELECT DISTINCT customer_id, sku, CAST(date AS TIMESTAMP) + INTERVAL 12 HOUR AS ts FROM transactions),
+cust_day AS (SELECT customer_id, CAST(date AS TIMESTAMP) AS event_timestamp, CAST(sum(revenue) AS DOUBLE) AS spend FROM transactions GROUP BY 1, 2),
+sku_day AS (SELECT sku, CAST(date AS TIMESTAMP) - INTERVAL 1 DAY AS event_timestamp, CAST(sum(quantity) AS BIGINT) AS units FROM transactions GROUP BY 1, 2),
+a AS (SELECT req.*, c.spend, c.event_timestamp AS cts FROM req ASOF LEFT JOIN cust_day c ON req.customer_id = c.customer_id AND req.ts >= c.event_timestamp),
+b AS (SELECT a.*, s.units, s.event_timestamp AS sts FROM a ASOF LEFT JOIN sku_day s ON a.sku = s.sku AND a.ts >= s.event_timestamp)
+SELECT customer_id, sku, ts,
+       CASE WHEN cts >= ts - INTERVAL 30 DAY THEN spend END AS customer_spend,
+       CASE WHEN cts >= ts - INTERVAL 30 DAY THEN cts END AS customer_feature_ts,
+       CASE WHEN sts >= ts - INTERVAL 7 DAY THEN units END AS sku_units,
+       CASE WHEN sts >= ts - INTERVAL 7 DAY THEN sts END AS sku_feature_ts
+FROM b"""
+    ),
+)
+def j8_feature_service(spark: SparkSession, sf: str) -> DataFrame:
+    tx = transactions(spark, sf)
+    req = tx.select("customer_id", "sku", (F.col("date").cast("timestamp") + F.expr("INTERVAL 12 HOURS")).alias("ts")).distinct()
+    cust_day = tx.groupBy("customer_id", F.col("date").cast("timestamp").alias("event_timestamp")).agg(F.sum("revenue").cast("double").alias("spend"))
+    sku_day = tx.groupBy("sku", (F.col("date").cast("timestamp") - F.expr("INTERVAL 1 DAYS")).alias("event_timestamp")).agg(
+        F.sum("quantity").cast("bigint").alias("units")
+    )
+    return feature_store.feature_service(req, cust_day, sku_day, customer_cols=["spend"], sku_cols=["units"])
+
+
+@register(
+    "f1_customer_feature_view",
+    sql.with_tx(
+        f""", {sql.customer_features_cte()}
+SELECT customer_id, CAST(recency AS BIGINT) AS recency, CAST(frequency AS BIGINT) AS frequency, CAST(monetary AS FLOAT) AS monetary,
+       CAST(rfm_score AS FLOAT) AS rfm_score, CAST(purchase_velocity AS FLOAT) AS purchase_velocity, CAST(avg_order_value AS FLOAT) AS avg_order_value
+FROM customer_features"""
+    ),
+)
+def f1_customer_feature_view(spark: SparkSession, sf: str) -> DataFrame:
+    return feature_store.feature_view(_cf(spark, sf), feature_store.CUSTOMER_VIEW)
+
+
+@register(
+    "f2_latest_series_features",
+    sql.with_tx(
+        f""", {sql.ts_features_cte()}
+SELECT sku, region, arg_max(date, date) AS date, arg_max(quantity, date) AS quantity, arg_max(rolling_qty_7, date) AS rolling_qty_7,
+       arg_max(lag_qty_1, date) AS lag_qty_1, arg_max(avg_price, date) AS avg_price FROM ts_features GROUP BY sku, region"""
+    ),
+)
+def f2_latest_series_features(spark: SparkSession, sf: str) -> DataFrame:
+    ts = _ts(spark, sf).select("sku", "region", "date", "quantity", "rolling_qty_7", "lag_qty_1", "avg_price")
+    return feature_store.latest_per_entity(ts, ["sku", "region"], ["date"])

@@ -257,3 +257,10 @@ fut AS (SELECT k.sku, k.region, k.last_date + CAST(st.step AS INTEGER) AS date,
 forecast AS (SELECT *, sum(daily_forecast) OVER (PARTITION BY sku, region ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS weekly_forecast,
                    sum(daily_forecast) OVER (PARTITION BY sku, region ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS monthly_forecast
              FROM fut)"""
+
+
+def asof_requests_sql() -> str:
+    return """req AS (SELECT l.l_orderkey, l.l_linenumber, o.o_custkey AS customer_id, l.l_shipdate AS ts
+          FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+cust_day AS (SELECT o_custkey AS customer_id, o_orderdate AS event_timestamp, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS spend,
+                    count(*) AS orders FROM orders GROUP BY o_custkey, o_orderdate)"""
