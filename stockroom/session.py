@@ -68,13 +68,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+_SIZE_PROOFS: dict = {}
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT, memo_key=None) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
 
     The proof is a bounded count (``limit(max_rows + 1)``), so it never scans
     more than ``max_rows + 1`` rows.  Beyond the bound the plain frame is
-    returned and the planner keeps a shuffle join.
+    returned and the planner keeps a shuffle join.  ``memo_key`` (e.g. the
+    input path) reuses a proof made earlier in the same driver process.
     """
 
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    key = (memo_key, max_rows) if memo_key is not None else None
+    if key is not None and key in _SIZE_PROOFS:
+        small = _SIZE_PROOFS[key]
+    else:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        if key is not None:
+            _SIZE_PROOFS[key] = small
+    return F.broadcast(df) if small else df

@@ -69,7 +69,8 @@ def transactions(spark: SparkSession, sf_dir: str, sku: str = "brand") -> DataFr
     geo = checked_broadcast(
         table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
         .join(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("n_nationkey", "r_name")
+        .select("n_nationkey", "r_name"),
+        memo_key=("geo", sf_dir),
     )
     cust = (
         table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
@@ -78,11 +79,11 @@ def transactions(spark: SparkSession, sf_dir: str, sku: str = "brand") -> DataFr
     )
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
 
-    joined = (
-        li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(cust, F.col("o_custkey") == F.col("c_custkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-    )
+    # orders x customer first (orders-sized shuffle at scale), then one
+    # lineitem-sized join on orderkey, then part: one lineitem shuffle fewer
+    # than joining customer onto lineitem x orders.
+    orders_c = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    joined = li.join(orders_c, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     quantity = F.col("l_quantity").cast("int")
     unit_price = F.col("p_retailprice").cast("decimal(10,2)")
     discount = F.col("l_discount").cast("decimal(4,2)")
