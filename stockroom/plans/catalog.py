@@ -334,25 +334,25 @@ def _ts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _elasticity(ts: DataFrame) -> float:
-    return round(float(pricing.elasticity_loglog(ts).first()["price_elasticity"]), 10)
+    return round(float(pricing.elasticity_loglog(ts).first()["price_elasticity"]), 6)
 
 
 @register(
     "m18_elasticity_loglog",
-    sql.with_tx(f", {sql.ts_features_cte()} SELECT round({sql.elasticity_sql()}, 10) AS price_elasticity, count(*) AS observations FROM ts_features"),
+    sql.with_tx(f", {sql.ts_features_cte()} SELECT round({sql.elasticity_sql()}, 6) AS price_elasticity, count(*) AS observations FROM ts_features"),
 )
 def m18_elasticity_loglog(spark: SparkSession, sf: str) -> DataFrame:
     e = pricing.elasticity_loglog(_ts(spark, sf))
-    return e.withColumn("price_elasticity", F.round("price_elasticity", 10))
+    return e.withColumn("price_elasticity", F.round("price_elasticity", 6))
 
 
 @register(
     "m18_elasticity_by_sku",
-    sql.with_tx(f", {sql.ts_features_cte()} SELECT sku, round({sql.elasticity_sql()}, 10) AS price_elasticity, count(*) AS observations FROM ts_features GROUP BY sku"),
+    sql.with_tx(f", {sql.ts_features_cte()} SELECT sku, round({sql.elasticity_sql()}, 6) AS price_elasticity, count(*) AS observations FROM ts_features GROUP BY sku"),
 )
 def m18_elasticity_by_sku(spark: SparkSession, sf: str) -> DataFrame:
     e = pricing.elasticity_loglog(_ts(spark, sf), by=["sku"])
-    return e.withColumn("price_elasticity", F.round("price_elasticity", 10))
+    return e.withColumn("price_elasticity", F.round("price_elasticity", 6))
 
 
 _R6 = ["base_price", "candidate_price", "expected_demand", "expected_revenue"]

@@ -235,7 +235,7 @@ GRID_SQL = "(SELECT i AS grid_index, 0.85 + 0.05 * i AS factor FROM range(8) t(i
 
 def what_if_sql() -> str:
     return f""", {ts_features_cte()},
-el AS (SELECT round({elasticity_sql()}, 10) AS e FROM ts_features),
+el AS (SELECT round({elasticity_sql()}, 6) AS e FROM ts_features),
 base AS (SELECT sku, avg(CAST(avg_price AS DOUBLE)) AS base_price, avg(CAST(quantity AS DOUBLE)) AS baseline_demand
          FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY region DESC, date DESC) AS rn FROM ts_features) WHERE rn <= 7 GROUP BY sku),
 grid AS (SELECT b.*, g.grid_index, g.factor, b.base_price * g.factor AS candidate_price, el.e AS price_elasticity
