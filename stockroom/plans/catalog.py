@@ -787,3 +787,81 @@ SELECT sku, region, arg_max(date, date) AS date, arg_max(quantity, date) AS quan
 def f2_latest_series_features(spark: SparkSession, sf: str) -> DataFrame:
     ts = _ts(spark, sf).select("sku", "region", "date", "quantity", "rolling_qty_7", "lag_qty_1", "avg_price")
     return feature_store.latest_per_entity(ts, ["sku", "region"], ["date"])
+
+
+# --- monitoring (M29, V6, P23) ------------------------------------------------------------
+
+
+def _psi_mape(spark: SparkSession, sf: str) -> tuple[float, float]:
+    tx = transactions(spark, sf)
+    psi = drift.observed_drift_snapshot(tx).select(F.round("psi", 10)).first()[0]
+    mape = forecast.naive_mape(features.daily_rollup(tx)).agg(F.round(F.avg("mape"), 10)).first()[0]
+    return float(psi), float(mape)
+
+
+@register(
+    "v6_m29_monitoring_status",
+    sql.with_tx(
+        sql.monitoring_ctes()
+        + """
+SELECT 'PSI' AS metric, psi AS value, CAST(0.2 AS DOUBLE) AS threshold, 'max' AS direction,
+       CASE WHEN psi > 0.2 THEN 'alert' ELSE 'healthy' END AS status FROM pm
+UNION ALL
+SELECT 'Demand MAPE' AS metric, mape AS value, CAST(10.0 AS DOUBLE) AS threshold, 'max' AS direction,
+       CASE WHEN mape > 10.0 THEN 'alert' ELSE 'healthy' END AS status FROM pm"""
+    ),
+)
+def v6_m29_monitoring_status(spark: SparkSession, sf: str) -> DataFrame:
+    psi, mape = _psi_mape(spark, sf)
+    values = spark.createDataFrame([("PSI", psi), ("Demand MAPE", mape)], "metric string, value double")
+    return drift.monitoring_table(values).select("metric", "value", "threshold", "direction", "status")
+
+
+@register(
+    "p23_retrain_decision",
+    sql.with_tx(
+        sql.monitoring_ctes()
+        + """
+SELECT psi, mape, (psi > 0.2 OR mape > 15.0) AS should_retrain,
+       concat_ws('; ', CASE WHEN psi > 0.2 THEN printf('PSI exceeded threshold (%.3f > %.3f)', psi, 0.2) END,
+                       CASE WHEN mape > 15.0 THEN printf('MAPE exceeded threshold (%.2f > %.2f)', mape, 15.0) END) AS reasons_text
+FROM pm"""
+    ),
+)
+def p23_retrain_decision(spark: SparkSession, sf: str) -> DataFrame:
+    psi, mape = _psi_mape(spark, sf)
+    d = drift.retrain_policy(spark.createDataFrame([(psi, mape)], "psi double, mape double"))
+    return d.select("psi", "mape", "should_retrain", F.array_join("reasons", "; ").alias("reasons_text"))
+
+
+@register("m26_drift_report")
+def m26_drift_report(spark: SparkSession, sf: str) -> DataFrame:
+    """M26 on the two halves of the history (split at the median transaction date)."""
+
+    tx = transactions(spark, sf)
+    cutoff = drift.median_transaction_date(tx)
+    from stockroom.operators import dashboard as _d
+
+    ref, cur = _d.time_split(tx, cutoff)
+    return drift.dataset_drift_report(ref, cur, ["quantity", "unit_price", "discount_pct"], ["channel", "region"])
+
+
+@register(
+    "m26_ks_statistics",
+    sql.with_tx(
+        f""", {sql.median_date_cte()},
+v AS (SELECT 'quantity' AS "column", CAST(quantity AS DOUBLE) AS value, date <= cutoff AS is_ref FROM transactions, cut
+      UNION ALL SELECT 'discount_pct', CAST(discount_pct AS DOUBLE), date <= cutoff FROM transactions, cut),
+n AS (SELECT "column", count(*) FILTER (WHERE is_ref) AS n_ref, count(*) FILTER (WHERE NOT is_ref) AS n_cur FROM v GROUP BY 1),
+w AS (SELECT v."column", value, sum(CASE WHEN is_ref THEN n_cur ELSE -n_ref END) AS w FROM v JOIN n ON v."column" = n."column" GROUP BY 1, 2),
+c AS (SELECT "column", sum(w) OVER (PARTITION BY "column" ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM w)
+SELECT c."column", 'numeric' AS kind, 'ks' AS statistic, CAST(max(abs(cum)) AS DOUBLE) / (CAST(max(n_ref) AS DOUBLE) * CAST(max(n_cur) AS DOUBLE)) AS value
+FROM c JOIN n ON c."column" = n."column" GROUP BY c."column\""""
+    ),
+)
+def m26_ks_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    tx = transactions(spark, sf)
+    cutoff = drift.median_transaction_date(tx)
+    ref = tx.where(F.col("date") <= F.lit(cutoff))
+    cur = tx.where(F.col("date") > F.lit(cutoff))
+    return drift.ks_statistics(ref, cur, ["quantity", "discount_pct"])

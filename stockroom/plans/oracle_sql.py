@@ -264,3 +264,19 @@ def asof_requests_sql() -> str:
           FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
 cust_day AS (SELECT o_custkey AS customer_id, o_orderdate AS event_timestamp, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS spend,
                     count(*) AS orders FROM orders GROUP BY o_custkey, o_orderdate)"""
+
+
+def monitoring_ctes() -> str:
+    return f""", {median_date_cte()},
+pairs AS (SELECT customer_id, CAST(sum(CASE WHEN date <= cutoff THEN revenue END) AS DOUBLE) AS ref_monetary,
+                 CAST(sum(CASE WHEN date > cutoff THEN revenue END) AS DOUBLE) AS cur_monetary
+          FROM transactions, cut WHERE customer_id IS NOT NULL GROUP BY customer_id
+          HAVING count(*) FILTER (WHERE date <= cutoff) > 0 AND count(*) FILTER (WHERE date > cutoff) > 0),
+{psi_ctes('pairs', 'ref_monetary', 'cur_monetary')},
+{daily_sql()},
+ms AS (SELECT sku, region, CAST(quantity AS DOUBLE) AS y,
+              coalesce(lag(CAST(quantity AS DOUBLE)) OVER (PARTITION BY sku, region ORDER BY date), CAST(quantity AS DOUBLE)) AS bl,
+              row_number() OVER (PARTITION BY sku, region ORDER BY date DESC) AS rn FROM daily),
+mp AS (SELECT sku, region, avg(abs(y - bl) / greatest(abs(y), 2.220446049250313e-16)) * 100 AS mape FROM ms WHERE rn <= 14 GROUP BY sku, region),
+mm AS (SELECT round(avg(mape), 10) AS mape FROM mp),
+pm AS (SELECT psi, mape FROM psi_value, mm)"""

@@ -133,17 +133,16 @@ def lineage_edges(lineage: DataFrame) -> DataFrame:
 def downstream_of(lineage: DataFrame, dataset: str, max_hops: int = 10) -> DataFrame:
     """K7 query: every dataset reachable from ``dataset`` (iterated self-joins on edges)."""
 
-    edges = lineage_edges(lineage).select("upstream", "downstream").distinct().cache()
-    frontier = edges.where(F.col("upstream") == dataset).select("downstream")
+    edges = lineage_edges(lineage).select(F.col("upstream").alias("node"), F.col("downstream").alias("next")).distinct().cache()
+    frontier = edges.where(F.col("node") == dataset).select(F.col("next").alias("node"))
     seen = frontier
     for _ in range(max_hops):
-        nxt = frontier.join(edges, frontier["downstream"] == edges["upstream"]).select(edges["downstream"])
-        nxt = nxt.subtract(seen)
+        nxt = frontier.join(edges, "node").select(F.col("next").alias("node")).subtract(seen)
         if nxt.isEmpty():
             break
         seen = seen.union(nxt).distinct()
         frontier = nxt
-    return seen.distinct()
+    return seen.distinct().withColumnRenamed("node", "dataset")
 
 
 def save_model(model, path: str) -> str:
