@@ -865,3 +865,70 @@ def m26_ks_statistics(spark: SparkSession, sf: str) -> DataFrame:
     ref = tx.where(F.col("date") <= F.lit(cutoff))
     cur = tx.where(F.col("date") > F.lit(cutoff))
     return drift.ks_statistics(ref, cur, ["quantity", "discount_pct"])
+
+
+# --- single operators exposed on their own (M6, M23, M20, A16/A17) --------------------
+
+
+@register(
+    "m6_demand_one_pair",
+    sql.with_tx(f", {sql.daily_sql()}, {sql.naive_forecast_ctes()} SELECT * FROM forecast WHERE sku = 'Brand#11' AND region = 'EUROPE'"),
+)
+def m6_demand_one_pair(spark: SparkSession, sf: str) -> DataFrame:
+    """M6: scoring one (sku, region) pair = a filter on the all-pairs forecast
+    (the filter is pushed below the forecast by Catalyst)."""
+
+    fc = forecast.seasonal_naive(_daily(spark, sf), horizon=30)
+    return fc.where((F.col("sku") == "Brand#11") & (F.col("region") == "EUROPE"))
+
+
+@register(
+    "m23_abc_xyz_classification",
+    sql.with_tx(
+        f""", {sql.sku_summary_sql()}
+SELECT sku, CAST(annual_revenue AS DOUBLE) AS annual_revenue, annual_demand, revenue_rank, cum_share, abc_class, xyz_class FROM abcxyz""",
+        sku="part",
+    ),
+)
+def m23_abc_xyz_classification(spark: SparkSession, sf: str) -> DataFrame:
+    c = inventory.abc_xyz_classification(transactions(spark, sf, sku="part"))
+    return c.select("sku", F.col("annual_revenue").cast("double").alias("annual_revenue"), "annual_demand", "revenue_rank", "cum_share", "abc_class", "xyz_class")
+
+
+@register(
+    "m20_backdoor_one_confounder",
+    sql.with_tx(
+        f""", {sql.ts_features_cte()},
+m AS (SELECT covar_pop(CAST(quantity AS DOUBLE), avg_price) AS syp, covar_pop(CAST(quantity AS DOUBLE), CAST(promotion_flag AS DOUBLE)) AS syz,
+             var_pop(avg_price) AS spp, var_pop(CAST(promotion_flag AS DOUBLE)) AS szz, covar_pop(avg_price, CAST(promotion_flag AS DOUBLE)) AS spz,
+             avg(avg_price) AS mean_price, avg(CAST(quantity AS DOUBLE)) AS mean_quantity FROM ts_features)
+SELECT round((syp * szz - syz * spz) / (spp * szz - spz * spz), 6) AS level_effect, round(mean_price, 6) AS mean_price,
+       round(mean_quantity, 6) AS mean_quantity,
+       round((syp * szz - syz * spz) / (spp * szz - spz * spz) * mean_price / mean_quantity, 6) AS price_elasticity FROM m"""
+    ),
+)
+def m20_backdoor_one_confounder(spark: SparkSession, sf: str) -> DataFrame:
+    e = pricing.elasticity_backdoor(_ts(spark, sf), confounders=["promotion_flag"])
+    return e.select(*[F.round(c, 6).alias(c) for c in ("level_effect", "mean_price", "mean_quantity", "price_elasticity")])
+
+
+@register(
+    "a16_a17_monetary_histogram",
+    sql.with_tx(
+        f""", {sql.customer_features_cte()},
+{sql.psi_ctes('customer_features', 'monetary', 'monetary')}
+SELECT CAST(h.bin AS INTEGER) AS bin, round(lo.b, 6) AS lower, round(hi.b, 6) AS upper, h.rc AS customers
+FROM psi_hist h JOIN psi_bpr lo ON lo.j = h.bin JOIN psi_bpr hi ON hi.j = h.bin + 1"""
+    ),
+)
+def a16_a17_monetary_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """A16 + A17: decile breakpoints of customer monetary value and the histogram on them."""
+
+    cf = features.customer_features(transactions(spark, sf))
+    bps = drift.quantile_breakpoints(cf, "monetary")
+    b = drift.bin_index(F.col("monetary"), bps)
+    edges = spark.createDataFrame([(i, float(bps[i]), float(bps[i + 1])) for i in range(len(bps) - 1)], "bin int, lower double, upper double")
+    counts = cf.where(b.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("customers"))
+    return F.broadcast(edges).join(counts, "bin", "left").select(
+        "bin", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), F.coalesce("customers", F.lit(0)).cast("bigint").alias("customers")
+    )

@@ -230,7 +230,7 @@ def elasticity_sql(src: str = "ts_features") -> str:
     return f"regr_slope(ln(1 + CAST(quantity AS DOUBLE)), ln(greatest(CAST(avg_price AS DOUBLE), 0.01)))"
 
 
-GRID_SQL = "(SELECT i AS grid_index, 0.85 + 0.05 * i AS factor FROM range(8) t(i))"
+GRID_SQL = "(SELECT CAST(i AS INTEGER) AS grid_index, 0.85 + 0.05 * i AS factor FROM range(8) t(i))"
 
 
 def what_if_sql() -> str:
