@@ -35,7 +35,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     from stockroom.session import local_session
 
-    spark = local_session(cpus, shuffle_partitions=max(8, cpus * 2), app="stockroom-bench")
+    spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)), app="stockroom-bench")
     spark.sparkContext.setLogLevel("ERROR")
     from stockroom.plans.catalog import QUERIES
     from stockroom.sources.tables import table

@@ -176,17 +176,22 @@ def rfm_scores(customers: DataFrame, num_ranges: int | None = None) -> DataFrame
 
     ``rank(method='first', pct=True)`` cut at quartiles = ``ceil(4*rn/n)`` with
     ties in customer_id order; each rank is an exact range-parallel row number.
+    The three rankings run on a narrow (id + three keys) frame; the scores are
+    joined back to the wide customer frame once.
     """
 
-    out = customers
+    keys = customers.select("customer_id", "recency", "frequency", "monetary_exact")
     for name, order in (
         ("recency_score", F.col("recency").desc()),
         ("frequency_score", F.col("frequency").asc()),
         ("monetary_score", F.col("monetary_exact").asc()),
     ):
-        out = with_global_order(out, [order, F.col("customer_id").asc()], row_number_col="__rn", count_col="__n", num_ranges=num_ranges)
-        out = out.withColumn(name, quartile_score(F.col("__rn"), F.col("__n"))).drop("__rn", "__n")
-    return out.withColumn("rfm_score", F.col("recency_score") + F.col("frequency_score") + F.col("monetary_score"))
+        keys = with_global_order(keys, [order, F.col("customer_id").asc()], row_number_col="__rn", count_col="__n", num_ranges=num_ranges)
+        keys = keys.withColumn(name, quartile_score(F.col("__rn"), F.col("__n"))).drop("__rn", "__n")
+    scores = keys.select(
+        "customer_id", (F.col("recency_score") + F.col("frequency_score") + F.col("monetary_score")).alias("rfm_score")
+    )
+    return customers.join(scores, "customer_id")
 
 
 def customer_features(

@@ -643,11 +643,19 @@ def a18_auc_recency_vs_churn(spark: SparkSession, sf: str) -> DataFrame:
     return churn.roc_auc(_cf(spark, sf), score="recency")
 
 
+_MODELS: dict = {}
+
+
 def _churn_model(spark: SparkSession, sf: str):
-    cf = _cf(spark, sf)
-    split = churn.stratified_split(cf).cache()
-    model = churn.fit_stacked(split.where(~F.col("is_valid")).drop("is_valid"), max_iter=20, folds=3)
-    return cf, split, model
+    """Fit once per (session, input) and reuse across the churn queries."""
+
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        cf = _cf(spark, sf)
+        split = churn.stratified_split(cf).cache()
+        model = churn.fit_stacked(split.where(~F.col("is_valid")).drop("is_valid"), max_iter=20, folds=3)
+        _MODELS[key] = (cf, split, model)
+    return _MODELS[key]
 
 
 @register("m8_m9_churn_scores")
