@@ -156,7 +156,14 @@ def score_adhoc(model: StackedModel, spark, features: dict) -> DataFrame:
     return predict(model, spark.createDataFrame([tuple(row[c] for c in [ID, *model.features])], schema))
 
 
-def retention_radar(scores: DataFrame, k: int = 15) -> DataFrame:
-    """Highest churn probabilities first (true top-k over all scored customers)."""
+def retention_radar(scores: DataFrame, k: int = 15, sample_first: int | None = None) -> DataFrame:
+    """Highest churn probabilities first.
 
+    Default: a true top-k over all scored customers (TakeOrderedAndProject:
+    every task keeps k rows).  ``sample_first=15`` reproduces the reference's
+    dashboard, which scores only the first 15 customers (by id) and sorts them.
+    """
+
+    if sample_first is not None:
+        scores = scores.orderBy(F.col(ID)).limit(sample_first)
     return scores.orderBy(F.col("churn_probability").desc(), F.col(ID)).limit(k)

@@ -95,13 +95,21 @@ def add_holiday_flag(df: DataFrame, holidays: DataFrame | None = None, date_col:
     )
 
 
-def with_rolling_and_lags(daily: DataFrame, keys=("sku", "region"), order: str = "date", windows=ROLLING_WINDOWS, lags=LAGS) -> DataFrame:
-    """W1 + W2: row-frame rolling means (min_periods 1) and lags (null -> 0)."""
+def with_rolling_and_lags(
+    daily: DataFrame, keys=("sku", "region"), order: str = "date", windows=ROLLING_WINDOWS, lags=LAGS, calendar: bool = False
+) -> DataFrame:
+    """W1 + W2: rolling means (min_periods 1) and lags (null -> 0).
+
+    The default frame counts rows, as the reference does (gaps in a series are
+    skipped).  ``calendar=True`` uses a frame of ``n`` calendar days instead
+    (``rangeBetween`` on the day number), which is what a 7-day mean usually means.
+    """
 
     w = Window.partitionBy(*keys).orderBy(order)
+    day_w = Window.partitionBy(*keys).orderBy(F.datediff(F.col(order), F.lit("1970-01-01")))
     cols: dict[str, Column] = {}
     for n in windows:
-        frame = w.rowsBetween(-(n - 1), Window.currentRow)
+        frame = day_w.rangeBetween(-(n - 1), 0) if calendar else w.rowsBetween(-(n - 1), Window.currentRow)
         cnt = F.count(F.lit(1)).over(frame).cast("double")
         cols[f"rolling_qty_{n}"] = F.sum("quantity").over(frame).cast("double") / cnt
         cols[f"rolling_revenue_{n}"] = F.sum("revenue").over(frame).cast("double") / cnt

@@ -85,6 +85,31 @@ def land_bronze_silver(
     return {"bronze": bronze, "silver": silver, "quarantine": quarantine}
 
 
+def land_observed(tx: DataFrame, silver: str, quarantine: str, fmt: str = "parquet", null_fails: bool = True, salt_buckets: int = 8) -> dict:
+    """V4/V5 during the write: rule failure counts are collected with
+    ``DataFrame.observe`` while the valid rows are written (no separate
+    validation pass over the data); quarantined rows go to their own table.
+
+    Returns the observed counts; the caller decides whether to keep the batch.
+    """
+
+    from pyspark.sql import Observation
+
+    from stockroom.operators.validation import rule_predicates
+
+    rules = rule_predicates(null_fails)
+    obs = Observation("validation")
+    observed = tx.observe(obs, F.count(F.lit(1)).alias("checked"), *[F.count_if(p).alias(f"{r}:{c}") for r, c, p in rules])
+    src = observed.persist()
+    try:
+        valid, bad = split_valid(src, null_fails)
+        write_table(valid, silver, fmt, partition_by=["date"], salt_buckets=salt_buckets)
+        write_table(bad, quarantine, fmt)
+    finally:
+        src.unpersist()
+    return dict(obs.get)
+
+
 def export_features(df: DataFrame, path: str, run_ts: _dt.datetime, fmt: str = "parquet") -> str:
     """K4: add one ``event_timestamp`` literal for the run and write."""
 

@@ -119,3 +119,23 @@ def test_streaming_rollup_equals_batch_for_closed_days(spark):
     # every emitted day equals the batch rollup for that day
     diff = out.select("date", "sku", "region", "quantity").exceptAll(batch.select("date", "sku", "region", "quantity"))
     assert diff.count() == 0
+
+
+def test_observed_landing_counts_rules_during_write(spark):
+    base = writers.shared_path(spark, "observe_test", str(time.time_ns()))
+    tx = transactions(spark, SF_SMOKE).withColumn("quantity", F.when(F.col("l_linenumber") == 1, F.lit(-1)).otherwise(F.col("quantity")))
+    counts = writers.land_observed(tx, f"{base}/silver", f"{base}/quarantine")
+    bad = tx.where(F.col("quantity") < 0).count()
+    assert counts["checked"] == tx.count() and counts["non_negative:quantity"] == bad
+    assert spark.read.parquet(f"{base}/quarantine").count() == bad
+
+
+def test_calendar_frame_rolling(spark):
+    import datetime as dt
+
+    rows = [("S", "R", dt.date(2024, 1, d), q) for d, q in ((1, 10), (2, 20), (9, 30))]
+    daily = spark.createDataFrame(rows, "sku string, region string, date date, quantity long").withColumn("revenue", F.col("quantity").cast("decimal(18,4)"))
+    out = {r["date"].day: r["rolling_qty_7"] for r in features.with_rolling_and_lags(daily, calendar=True).collect()}
+    assert out == {1: 10.0, 2: 15.0, 9: 30.0}  # day 9 sees only itself within 7 calendar days
+    rows_frame = {r["date"].day: r["rolling_qty_7"] for r in features.with_rolling_and_lags(daily).collect()}
+    assert rows_frame[9] == 20.0
