@@ -137,14 +137,16 @@ def psi_of_pairs(pairs: DataFrame, ref_col: str, cur_col: str, bins: int = 10, a
     return counts.select(psi.alias("psi"), F.lit(m).alias("bins_used"))
 
 
-def median_transaction_date(tx: DataFrame, date_col: str = "date"):
+def median_transaction_date(tx: DataFrame, date_col: str = "date", count_col: str | None = None):
     """The date at position n//2 of the sorted transaction dates.
 
     Counts per date (one row per calendar day), a running sum over that small
     frame, and the first date whose cumulative count exceeds n//2.
+    ``count_col`` lets a pre-aggregated frame (rows already counted) be used.
     """
 
-    per_day = tx.where(F.col(date_col).isNotNull()).groupBy(date_col).agg(F.count(F.lit(1)).alias("n"))
+    weight = F.col(count_col) if count_col else F.lit(1)
+    per_day = tx.where(F.col(date_col).isNotNull()).groupBy(date_col).agg(F.sum(weight).alias("n"))
     w = Window.orderBy(date_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everything = Window.partitionBy(F.lit(0))
     cum = per_day.select(date_col, F.sum("n").over(w).alias("cum"), F.sum("n").over(everything).alias("total"))
@@ -155,21 +157,31 @@ def median_transaction_date(tx: DataFrame, date_col: str = "date"):
 def observed_drift_snapshot(tx: DataFrame, bins: int = 10, approx: bool = False) -> DataFrame:
     """Split at the median transaction date, monetary per customer on each
     side (A2 on each half), keep customers present on both sides (J4 / U2) and
-    compute the PSI of monetary.  Both halves come from ONE groupBy with
-    conditional sums (one scan, one shuffle, no join).
+    compute the PSI of monetary.
+
+    The fact table is read once: a (customer, day) pre-aggregate (checkpointed)
+    feeds both the median date (W11, from per-day counts) and the two halves,
+    which come from ONE conditional aggregate (no second scan, no join).
     """
 
+    from stockroom.session import checkpointed
+
     spark = tx.sparkSession
-    cutoff = median_transaction_date(tx)
+    per_cd = checkpointed(
+        tx.where(F.col("date").isNotNull())
+        .groupBy("customer_id", "date")
+        .agg(F.sum("revenue").alias("rev"), F.count(F.lit(1)).alias("n"))
+    )
+    cutoff = median_transaction_date(per_cd, count_col="n")
     before = F.col("date") <= F.lit(cutoff)
-    per_customer = (
-        tx.where(F.col("customer_id").isNotNull())
+    common = checkpointed(
+        per_cd.where(F.col("customer_id").isNotNull())
         .groupBy("customer_id")
         .agg(
-            F.sum(F.when(before, F.col("revenue"))).alias("ref_monetary"),
-            F.sum(F.when(~before, F.col("revenue"))).alias("cur_monetary"),
-            F.count_if(before).alias("ref_n"),
-            F.count_if(~before).alias("cur_n"),
+            F.sum(F.when(before, F.col("rev"))).alias("ref_monetary"),
+            F.sum(F.when(~before, F.col("rev"))).alias("cur_monetary"),
+            F.sum(F.when(before, F.col("n")).otherwise(0)).alias("ref_n"),
+            F.sum(F.when(~before, F.col("n")).otherwise(0)).alias("cur_n"),
         )
         .where((F.col("ref_n") > 0) & (F.col("cur_n") > 0))
         .select(
@@ -178,9 +190,6 @@ def observed_drift_snapshot(tx: DataFrame, bins: int = 10, approx: bool = False)
             F.col("cur_monetary").cast("double").alias("cur_monetary"),
         )
     )
-    from stockroom.session import checkpointed
-
-    common = checkpointed(per_customer)
     n_common = common.count()
     iso = cutoff.isoformat() if cutoff is not None else "n/a"
     if n_common == 0:
