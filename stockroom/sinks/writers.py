@@ -86,28 +86,27 @@ def land_bronze_silver(
 
 
 def land_observed(tx: DataFrame, silver: str, quarantine: str, fmt: str = "parquet", null_fails: bool = True, salt_buckets: int = 8) -> dict:
-    """V4/V5 during the write: rule failure counts are collected with
-    ``DataFrame.observe`` while the valid rows are written (no separate
-    validation pass over the data); quarantined rows go to their own table.
+    """V4/V5 with the write: the source is persisted once; rule failure counts
+    come from one aggregate over the persisted rows, valid rows go to silver and
+    failing rows to the quarantine table (the input is computed only once).
 
-    Returns the observed counts; the caller decides whether to keep the batch.
+    (``DataFrame.observe`` would fold the counts into the write itself, but in
+    PySpark 4.1 classic it leaves a non-serializable observation manager on the
+    session that breaks later closures, so it is not used.)
     """
 
-    from pyspark.sql import Observation
-
     from stockroom.operators.validation import rule_predicates
 
     rules = rule_predicates(null_fails)
-    obs = Observation("validation")
-    observed = tx.observe(obs, F.count(F.lit(1)).alias("checked"), *[F.count_if(p).alias(f"{r}:{c}") for r, c, p in rules])
-    src = observed.persist()
+    src = tx.persist()
     try:
+        row = src.agg(F.count(F.lit(1)).alias("checked"), *[F.count_if(p).alias(f"{r}:{c}") for r, c, p in rules]).first()
         valid, bad = split_valid(src, null_fails)
         write_table(valid, silver, fmt, partition_by=["date"], salt_buckets=salt_buckets)
         write_table(bad, quarantine, fmt)
     finally:
         src.unpersist()
-    return dict(obs.get)
+    return row.asDict()
 
 
 def export_features(df: DataFrame, path: str, run_ts: _dt.datetime, fmt: str = "parquet") -> str:
