@@ -95,3 +95,18 @@ def test_segmentation_assigns_every_customer(spark):
     assert res["algorithm"].split("_")[0] in ("kmeans", "gmm")
     sub = segment.segment_customers(cf, customer_ids=cf.select("customer_id").limit(60), ks=range(6, 7), gmm=False, max_iter=10)
     assert sub["assignments"].count() == 60
+
+
+def test_permutation_importance_keeps_values_and_reports_drop(spark):
+    cf = features.customer_features(transactions(spark, SF_SMOKE))
+    model = churn.fit_stacked(cf, max_iter=5, folds=2)
+    imp = churn.permutation_importance(model, cf, features=["frequency", "monetary"], buckets=4).collect()
+    assert [r["feature"] for r in imp] == ["frequency", "monetary"]
+    assert all(r["auc_drop"] is not None and -1 <= r["auc_drop"] <= 1 for r in imp)
+    # the shift is a permutation: the multiset of values is unchanged
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("b").orderBy(F.xxhash64("customer_id", F.lit(43)), "customer_id")
+    t = cf.withColumn("b", F.pmod(F.xxhash64("customer_id", F.lit(42)), F.lit(4)))
+    sh = t.withColumn("x", F.coalesce(F.lead("frequency", 1).over(w), F.first("frequency").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    assert sorted(r[0] for r in sh.select("x").collect()) == sorted(r[0] for r in cf.select("frequency").collect())
