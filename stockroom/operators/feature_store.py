@@ -83,18 +83,21 @@ def asof_join(
     spark = requests.sparkSession
     n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     req_cols = requests.columns
-    feat_struct = F.struct(F.col(feature_ts).cast("timestamp").alias("__fts"), *[F.col(c) for c in feature_cols])
+    # keep wall-clock (NTZ) semantics when the requests carry them, so results
+    # do not depend on the session time zone
+    ts_type = "timestamp_ntz" if requests.schema[request_ts].dataType.typeName() == "timestamp_ntz" else "timestamp"
+    feat_struct = F.struct(F.col(feature_ts).cast(ts_type).alias("__fts"), *[F.col(c) for c in feature_cols])
     req_payload = F.struct(*[F.col(c) for c in req_cols])
     r = requests.select(
         F.col(entity).alias("__e"),
-        F.col(request_ts).cast("timestamp").alias("__ts"),
+        F.col(request_ts).cast(ts_type).alias("__ts"),
         F.lit(1).alias("__kind"),
         F.xxhash64(*[F.col(c) for c in req_cols]).alias("__tie"),
         req_payload.alias("__req"),
     )
     f = feature_rows.where(F.col(entity).isNotNull() & F.col(feature_ts).isNotNull()).select(
         F.col(entity).alias("__e"),
-        F.col(feature_ts).cast("timestamp").alias("__ts"),
+        F.col(feature_ts).cast(ts_type).alias("__ts"),
         F.lit(0).alias("__kind"),
         F.xxhash64(*[F.col(c) for c in feature_cols]).alias("__tie"),
         feat_struct.alias("__f"),

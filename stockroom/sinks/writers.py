@@ -57,10 +57,10 @@ def write_table(
         # explicit partition count: AQE must not coalesce the write into a few tasks
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(n, *[F.col(c) for c in partition_by], salt)
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     writer = df.write.format(fmt).mode(mode)
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        # per-write option: the caller's session configuration is left untouched
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     writer.save(path)
     return path
 

@@ -139,3 +139,16 @@ def test_calendar_frame_rolling(spark):
     assert out == {1: 10.0, 2: 15.0, 9: 30.0}  # day 9 sees only itself within 7 calendar days
     rows_frame = {r["date"].day: r["rolling_qty_7"] for r in features.with_rolling_and_lags(daily).collect()}
     assert rows_frame[9] == 20.0
+
+
+def test_dynamic_overwrite_replaces_only_written_partitions(spark):
+    base = writers.shared_path(spark, "dyn_test", str(time.time_ns()))
+    import datetime as dt
+
+    a = spark.createDataFrame([(dt.date(2024, 1, 1), 1), (dt.date(2024, 1, 2), 2)], "date date, v int")
+    b = spark.createDataFrame([(dt.date(2024, 1, 2), 20)], "date date, v int")
+    writers.write_table(a, base, partition_by=["date"], salt_buckets=2)
+    writers.write_table(b, base, partition_by=["date"], salt_buckets=2)
+    got = {(r["date"].day, r["v"]) for r in spark.read.parquet(base).collect()}
+    assert got == {(1, 1), (2, 20)}
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
