@@ -56,7 +56,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def spread_scan(df: DataFrame, key: str) -> DataFrame:
+def spread_scan(df: DataFrame, key: str, source: str | None = None) -> DataFrame:
     """Hash-repartition a scan on ``key`` when it yields fewer partitions than
     the session's parallelism (e.g. a file with one row group cannot be split).
 
@@ -67,9 +67,13 @@ def spread_scan(df: DataFrame, key: str) -> DataFrame:
 
     spark = df.sparkSession
     want = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    memo = (tuple(df.inputFiles()), want, spark.sparkContext.defaultParallelism)
-    if memo not in _SPREAD:
-        _SPREAD[memo] = df.rdd.getNumPartitions() < min(want, spark.sparkContext.defaultParallelism)
+    memo = (source, want, spark.sparkContext.defaultParallelism)
+    if source is None or memo not in _SPREAD:
+        # planning-only: the partition count of the scan, no job and no file list on the driver
+        decision = df.rdd.getNumPartitions() < min(want, spark.sparkContext.defaultParallelism)
+        if source is None:
+            return df.repartition(want, key) if decision else df
+        _SPREAD[memo] = decision
     return df.repartition(want, key) if _SPREAD[memo] else df
 
 
@@ -110,6 +114,7 @@ def _build_transactions(spark: SparkSession, sf_dir: str, sku: str) -> DataFrame
             "l_extendedprice", "l_discount", "l_tax",
         ),
         "l_orderkey",
+        source=f"{sf_dir.rstrip('/')}/lineitem.parquet",
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     geo = checked_broadcast(
