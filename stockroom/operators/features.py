@@ -37,7 +37,7 @@ def _mean(c: str | Column) -> Column:
     """Mean as one exact sum cast to double, divided by the count (order-free)."""
 
     c = F.col(c) if isinstance(c, str) else c
-    return F.sum(c).cast("double") / F.count(c).cast("double")
+    return F.try_divide(F.sum(c).cast("double"), F.count(c).cast("double"))
 
 
 def daily_rollup(tx: DataFrame) -> DataFrame:

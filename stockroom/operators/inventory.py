@@ -37,14 +37,15 @@ def sku_summary(tx: DataFrame, order_by: Column | None = None) -> DataFrame:
         tx.where(F.col("sku").isNotNull())
         .groupBy("sku")
         .agg(
-            F.sum("revenue").alias("annual_revenue"),
-            F.count(F.lit(1)).alias("rows"),
-            F.sum(q).alias("annual_demand"),
+            F.coalesce(F.sum("revenue"), F.lit(0)).alias("annual_revenue"),
+            F.count(q).alias("rows"),  # non-null quantities: pandas mean/std skip NaN
+            F.coalesce(F.sum(q), F.lit(0)).alias("annual_demand"),
             F.sum(q * q).alias("_sum_sq"),
-            F.max_by(F.col("inventory_on_hand"), order_by).alias("current_inventory"),
+            # pandas "last" skips nulls: rows with a null value get a null ordering key
+            F.max_by(F.col("inventory_on_hand"), F.when(F.col("inventory_on_hand").isNotNull(), order_by)).alias("current_inventory"),
         )
     )
-    avg = F.col("annual_demand").cast("double") / F.col("rows").cast("double")
+    avg = F.try_divide(F.col("annual_demand").cast("double"), F.col("rows").cast("double"))
     std = sample_std_exact(F.col("rows"), F.col("annual_demand"), F.col("_sum_sq"))
     return (
         agg.withColumn("avg_demand", avg)

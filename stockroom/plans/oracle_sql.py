@@ -63,10 +63,10 @@ def sku_summary_sql(src: str = "transactions") -> str:
   SELECT sku, annual_revenue, rows_ AS rows, annual_demand, current_inventory,
          CAST(annual_demand AS DOUBLE) / CAST(rows_ AS DOUBLE) AS avg_demand,
          {std_exact_sql('rows_', 'annual_demand', 'sum_sq')} AS demand_std
-  FROM (SELECT sku, sum(revenue) AS annual_revenue, count(*) AS rows_,
-               sum(CAST(quantity AS BIGINT)) AS annual_demand,
+  FROM (SELECT sku, coalesce(sum(revenue), 0) AS annual_revenue, count(quantity) AS rows_,
+               coalesce(sum(CAST(quantity AS BIGINT)), 0) AS annual_demand,
                sum(CAST(quantity AS BIGINT) * CAST(quantity AS BIGINT)) AS sum_sq,
-               arg_max(inventory_on_hand, row(date, {LINE_KEY_SQL})) AS current_inventory
+               arg_max(inventory_on_hand, CASE WHEN inventory_on_hand IS NOT NULL THEN row(date, {LINE_KEY_SQL}) END) AS current_inventory
         FROM {src} WHERE sku IS NOT NULL GROUP BY sku)
 ), classified AS (
   SELECT *, coalesce(CASE WHEN avg_demand = 0 THEN NULL ELSE demand_std / avg_demand END, 0.0) AS cv,

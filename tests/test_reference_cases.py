@@ -70,3 +70,11 @@ def test_dominant_sku_is_b(spark):
     rows = [("S1", 85.0, 1, 0, 0), ("S2", 15.0, 1, 0, 1)]
     out = {r["sku"]: r["abc_class"] for r in _inv(spark, rows).collect()}
     assert out == {"S1": "B", "S2": "C"}
+
+
+def test_inventory_nulls_follow_pandas(spark):
+    # pandas: mean/std skip NaN quantities; "last" skips a null inventory
+    rows = [("S", 10.0, 4, 7, 0), ("S", 10.0, None, 9, 1), ("S", 10.0, 6, None, 2)]
+    out = _inv(spark, rows).collect()[0]
+    assert out["current_inventory"] == 9
+    assert math.isclose(out["reorder_point"], 5 * 7 + 1.65 * math.sqrt(2) * math.sqrt(7), rel_tol=1e-12)
