@@ -43,11 +43,15 @@ def main() -> None:
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
     # warm-up: JVM, parquet footers, Python workers
     QUERIES["a9_revenue_by_region"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times = {}
-    for name in names:
-        t0 = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    all_times: dict[str, list[float]] = {n: [] for n in names}
+    for _ in range(runs):  # best of ``runs`` per query (steady state); first run reported too
+        for name in names:
+            t0 = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            all_times[name].append(round(time.perf_counter() - t0, 3))
+    times = {n: min(v) for n, v in all_times.items()}
+    first_total = round(sum(v[0] for v in all_times.values()), 3)
     rows = table(spark, sf_dir, "lineitem").count()
     total = round(sum(times.values()), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
@@ -62,6 +66,8 @@ def main() -> None:
                 "cpus": cpus,
                 "lineitem_rows": rows,
                 "rows_per_sec_per_query": round(rows * len(times) / total, 1) if total else None,
+                "stat": f"min of {runs} runs per query",
+                "first_run_total": first_total,
             }
         )
     )

@@ -327,6 +327,7 @@ def w11_median_date(spark: SparkSession, sf: str) -> DataFrame:
 # --- pricing (M18-M22, J6, P11, P12, W9, T4) ------------------------------------------
 
 from stockroom.operators import pricing  # noqa: E402
+from stockroom.session import checkpointed  # noqa: E402
 
 
 def _ts(spark: SparkSession, sf: str) -> DataFrame:
@@ -367,7 +368,7 @@ _R6 = ["base_price", "candidate_price", "expected_demand", "expected_revenue"]
     ),
 )
 def m21_what_if_grid(spark: SparkSession, sf: str) -> DataFrame:
-    ts = _ts(spark, sf).cache()
+    ts = checkpointed(_ts(spark, sf))  # materialised once; not a session cache entry other queries could hit
     s = pricing.what_if_grid(ts, _elasticity(ts))
     return s.select("sku", "grid_index", *[F.round(c, 6).alias(c) for c in _R6], "price_elasticity")
 
@@ -382,7 +383,7 @@ SELECT sku, round(base_price, 6) AS base_price, round(candidate_price, 6) AS can
     ),
 )
 def m22_recommend_price(spark: SparkSession, sf: str) -> DataFrame:
-    ts = _ts(spark, sf).cache()
+    ts = checkpointed(_ts(spark, sf))  # materialised once; not a session cache entry other queries could hit
     r = pricing.recommend_price(ts, _elasticity(ts))
     return r.select("sku", *[F.round(c, 6).alias(c) for c in _R6], "price_elasticity")
 
