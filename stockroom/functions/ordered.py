@@ -26,10 +26,14 @@ from stockroom.session import checkpointed
 _BUCKET = "__range_id"
 
 
-def _num_ranges(df: DataFrame, num_ranges: int | None) -> int:
+def _range_partition(df: DataFrame, order_by: list[Column], num_ranges: int | None) -> DataFrame:
+    """Range-partition on the full key.  Without an explicit count the
+    session's shuffle partitions apply and AQE may merge *adjacent* small
+    ranges, so range ids stay ordered while their size follows the data."""
+
     if num_ranges:
-        return num_ranges
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return df.repartitionByRange(num_ranges, *order_by)
+    return df.repartitionByRange(*order_by)
 
 
 def with_global_order(
@@ -50,8 +54,7 @@ def with_global_order(
     attach the grand total of ``sum_of`` and the row count.
     """
 
-    n = _num_ranges(df, num_ranges)
-    tagged = checkpointed(df.repartitionByRange(n, *order_by).withColumn(_BUCKET, F.spark_partition_id()))
+    tagged = checkpointed(_range_partition(df, order_by, num_ranges).withColumn(_BUCKET, F.spark_partition_id()))
 
     aggs = [F.count(F.lit(1)).alias("__n")]
     if sum_of is not None:

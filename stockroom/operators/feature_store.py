@@ -80,8 +80,6 @@ def asof_join(
     Output: request columns, ``{prefix}<feature>`` columns, ``{prefix}feature_ts``.
     """
 
-    spark = requests.sparkSession
-    n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     req_cols = requests.columns
     # keep wall-clock (NTZ) semantics when the requests carry them, so results
     # do not depend on the session time zone
@@ -106,7 +104,8 @@ def asof_join(
     f = f.withColumn("__req", F.lit(None).cast(r.schema["__req"].dataType))
     both = r.unionByName(f)
     order = [F.col("__e").asc(), F.col("__ts").asc(), F.col("__kind").asc(), F.col("__tie").asc()]
-    tagged = checkpointed(both.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+    ranged = both.repartitionByRange(num_ranges, *order) if num_ranges else both.repartitionByRange(*order)
+    tagged = checkpointed(ranged.withColumn("__range", F.spark_partition_id()))
 
     local_w = Window.partitionBy("__range", "__e").orderBy("__ts", "__kind", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = tagged.withColumn("__local", F.last("__f", ignorenulls=True).over(local_w))
