@@ -54,7 +54,14 @@ def with_global_order(
     attach the grand total of ``sum_of`` and the row count.
     """
 
-    tagged = checkpointed(_range_partition(df, order_by, num_ranges).withColumn(_BUCKET, F.spark_partition_id()))
+    # Sorted inside each range, the position of a row in its partition is its
+    # local row number: monotonically_increasing_id() = (partition << 33) + position.
+    # Computed in the same stage as the range shuffle, so row numbers need no
+    # window (and no second exchange); the checkpoint freezes both columns.
+    ranged = _range_partition(df, order_by, num_ranges).sortWithinPartitions(*order_by)
+    pid = F.spark_partition_id()
+    local_rn = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33) + F.lit(1)
+    tagged = checkpointed(ranged.withColumn(_BUCKET, pid).withColumn("__local_rn", local_rn))
 
     aggs = [F.count(F.lit(1)).alias("__n")]
     if sum_of is not None:
@@ -79,7 +86,7 @@ def with_global_order(
     out = tagged.join(F.broadcast(offsets), _BUCKET)
     local = Window.partitionBy(_BUCKET).orderBy(*order_by)
     if row_number_col:
-        out = out.withColumn(row_number_col, F.row_number().over(local) + F.col("__n_before"))
+        out = out.withColumn(row_number_col, (F.col("__local_rn") + F.col("__n_before")).cast("int"))
     if sum_of is not None:
         running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = out.withColumn(running_sum_col, F.sum(sum_of).over(running) + F.col("__s_before"))
@@ -87,7 +94,7 @@ def with_global_order(
             out = out.withColumn(total_col, F.col("__s_total"))
     if count_col:
         out = out.withColumn(count_col, F.col("__n_total"))
-    return out.drop(_BUCKET, "__n_before", "__n_total", "__s_before", "__s_total")
+    return out.drop(_BUCKET, "__local_rn", "__n_before", "__n_total", "__s_before", "__s_total")
 
 
 def quartile_score(rn: Column, n: Column) -> Column:
