@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from stockroom.functions.ordered import quartile_score, with_global_order
 from stockroom.functions.scalar import calendar_columns, one_hot, per_clipped
 from stockroom.session import checked_broadcast, checkpointed
-from stockroom.sources.tables import LINE_KEY
+from stockroom.sources.tables import tie_columns
 
 ROLLING_WINDOWS = (7, 14, 30)
 LAGS = (1, 7, 14)
@@ -136,18 +136,19 @@ def time_series_features(tx: DataFrame, holidays: DataFrame | None = None) -> Da
     return daily.withColumn("revenue", F.col("revenue").cast("double")).select(*TS_COLUMNS)
 
 
-def _last_order(by: str) -> Column:
+def _last_order(by: str, tx: DataFrame | None = None) -> Column:
+    ties = [F.col(c) for c in tie_columns(tx)]
     if by == "sku":  # reference meaning: frame sorted by (sku, date), then file order
-        return F.struct(F.col("sku"), F.col("date"), *[F.col(c) for c in LINE_KEY])
+        return F.struct(F.col("sku"), F.col("date"), *ties)
     if by == "date":
-        return F.struct(F.col("date"), *[F.col(c) for c in LINE_KEY])
+        return F.struct(F.col("date"), *ties)
     raise ValueError("last_by must be 'sku' or 'date'")
 
 
 def customer_rollup(tx: DataFrame, last_by: str = "sku") -> DataFrame:
     """A2 (+ J3 fused): one row per customer with first/last purchase dates."""
 
-    order = _last_order(last_by)
+    order = _last_order(last_by, tx)
     return (
         tx.where(F.col("customer_id").isNotNull())
         .groupBy("customer_id")

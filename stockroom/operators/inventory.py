@@ -31,7 +31,7 @@ def sku_summary(tx: DataFrame, order_by: Column | None = None) -> DataFrame:
     row in ``order_by`` (default: date, then line identity).
     """
 
-    order_by = order_by if order_by is not None else line_order()
+    order_by = order_by if order_by is not None else line_order(df=tx)
     q = F.col("quantity").cast("bigint")
     agg = (
         tx.where(F.col("sku").isNotNull())

@@ -27,6 +27,25 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return reader.options(**options).csv(path)
 
 
+# The reference's transaction table layout.
+TRANSACTIONS_SCHEMA = (
+    "date date, customer_id string, sku string, region string, channel string, quantity int, unit_price double, "
+    "discount_pct double, promotion_flag int, inventory_on_hand int, weather_index double, holiday_flag int, "
+    "revenue double, churned int"
+)
+
+
+def load_transactions(spark: SparkSession, path: str, fmt: str = "csv", schema: str = TRANSACTIONS_SCHEMA) -> DataFrame:
+    """The reference's transactions file as a lazy, typed DataFrame.
+
+    Adds ``row_seq`` (file order: split index, then position) so "last row"
+    choices are deterministic; every operator accepts the result directly.
+    """
+
+    df = read_csv(spark, path, schema) if fmt == "csv" else spark.read.schema(schema).format(fmt).load(path)
+    return df.withColumn("row_seq", F.monotonically_increasing_id())
+
+
 def read_parquet(spark: SparkSession, path: str, **options: Any) -> DataFrame:
     """S3: Parquet scan (filters and projections are pushed into it by Catalyst)."""
 

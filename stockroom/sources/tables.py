@@ -157,8 +157,22 @@ def _build_transactions(spark: SparkSession, sf_dir: str, sku: str) -> DataFrame
     )
 
 
-def line_order(date_first: bool = True) -> Column:
+ROW_SEQ = "row_seq"
+
+
+def tie_columns(df: DataFrame | None) -> list[str]:
+    """Columns that make "last row" choices deterministic: the line identity of
+    the star-schema view, else a file-order sequence (``load_transactions``)."""
+
+    if df is None or all(c in df.columns for c in LINE_KEY):
+        return LINE_KEY
+    if ROW_SEQ in df.columns:
+        return [ROW_SEQ]
+    return []
+
+
+def line_order(date_first: bool = True, df: DataFrame | None = None) -> Column:
     """Struct ordering key for "last row" semantics: (date, line identity)."""
 
-    cols = (["date"] if date_first else []) + LINE_KEY
+    cols = (["date"] if date_first else []) + tie_columns(df)
     return F.struct(*[F.col(c) for c in cols])

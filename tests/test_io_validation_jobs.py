@@ -152,3 +152,24 @@ def test_dynamic_overwrite_replaces_only_written_partitions(spark):
     got = {(r["date"].day, r["v"]) for r in spark.read.parquet(base).collect()}
     assert got == {(1, 1), (2, 20)}
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+
+
+def test_reference_csv_layout_runs_through_operators(spark):
+    from stockroom.operators import inventory
+
+    folder = writers.shared_path(spark, "csv_tx", str(time.time_ns()))
+    tx = transactions(spark, SF_SMOKE).select(
+        F.col("date"), F.col("customer_id").cast("string").alias("customer_id"), "sku", "region", "channel", "quantity",
+        F.col("unit_price").cast("double").alias("unit_price"), F.col("discount_pct").cast("double").alias("discount_pct"),
+        "promotion_flag", "inventory_on_hand", F.col("weather_index").cast("double").alias("weather_index"),
+        F.lit(0).alias("holiday_flag"), F.col("revenue").cast("double").alias("revenue"), "churned",
+    )
+    tx.coalesce(1).write.option("header", True).csv(folder)
+    loaded = readers.load_transactions(spark, folder)
+    assert "row_seq" in loaded.columns and loaded.count() == tx.count()
+    validation.gate(loaded)
+    inv = inventory.recommend(loaded).collect()
+    assert len(inv) == tx.select("sku").distinct().count()
+    cf = features.customer_features(loaded)
+    assert cf.count() == tx.select("customer_id").distinct().count()
+    assert features.time_series_features(loaded).count() == tx.select("date", "sku", "region").distinct().count()
