@@ -110,3 +110,23 @@ def test_permutation_importance_keeps_values_and_reports_drop(spark):
     t = cf.withColumn("b", F.pmod(F.xxhash64("customer_id", F.lit(42)), F.lit(4)))
     sh = t.withColumn("x", F.coalesce(F.lead("frequency", 1).over(w), F.first("frequency").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     assert sorted(r[0] for r in sh.select("x").collect()) == sorted(r[0] for r in cf.select("frequency").collect())
+
+
+def test_service_calls(spark):
+    import pytest
+
+    from stockroom.plans import service
+
+    tx = transactions(spark, SF_SMOKE)
+    ts = features.time_series_features(tx)
+    pair = ts.select("sku", "region").first()
+    out = service.forecast_demand(ts, pair["sku"], pair["region"], 14)
+    assert out["forecast"].count() == 14 and out["metrics"]["mape"] >= 0
+    with pytest.raises(ValueError):
+        service.forecast_demand(ts, "nope", "nowhere", 14)
+    with pytest.raises(ValueError):
+        service.forecast_demand(ts, pair["sku"], pair["region"], 91)
+    inv = service.inventory_reorder(tx, sku=pair["sku"], lead_time_days=7, ordering_cost=120.0, holding_cost=6.0)
+    assert inv.count() == 1
+    w = service.price_what_if(ts, pair["sku"], 950.0, -1.0).first()
+    assert w["candidate_price"] == 950.0 and w["expected_demand"] >= 0
