@@ -105,16 +105,21 @@ def asof_join(
     both = r.unionByName(f)
     order = [F.col("__e").asc(), F.col("__ts").asc(), F.col("__kind").asc(), F.col("__tie").asc()]
     ranged = both.repartitionByRange(num_ranges, *order) if num_ranges else both.repartitionByRange(*order)
-    tagged = checkpointed(ranged.withColumn("__range", F.spark_partition_id()))
+    ranged = ranged.sortWithinPartitions(*order)
+    pid = F.spark_partition_id()
+    # position inside the sorted range (1-based): first and last rows without a sort-based aggregate
+    pos = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33) + F.lit(1)
+    tagged = checkpointed(ranged.withColumn("__range", pid).withColumn("__pos", pos))
 
     local_w = Window.partitionBy("__range", "__e").orderBy("__ts", "__kind", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = tagged.withColumn("__local", F.last("__f", ignorenulls=True).over(local_w))
 
     # one row per range: first entity, last entity and its last known feature in the range
-    okey = F.struct("__e", "__ts", "__kind", "__tie")
-    per_range = filled.groupBy("__range").agg(
-        F.min_by("__e", okey).alias("__first_e"),
-        F.max_by(F.struct(F.col("__e").alias("e"), F.col("__local").alias("v")), okey).alias("__last"),
+    last_pos = tagged.groupBy("__range").agg(F.max("__pos").alias("__maxpos"))  # one row per range
+    edges = filled.join(F.broadcast(last_pos), "__range").where((F.col("__pos") == 1) | (F.col("__pos") == F.col("__maxpos")))
+    per_range = edges.groupBy("__range").agg(  # at most two rows per range
+        F.max(F.when(F.col("__pos") == 1, F.col("__e"))).alias("__first_e"),
+        F.max(F.when(F.col("__pos") == F.col("__maxpos"), F.struct(F.col("__e").alias("e"), F.col("__local").alias("v")))).alias("__last"),
     )
     same_e = Window.partitionBy("__last.e").orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prev = Window.orderBy("__range")  # bounded by the number of ranges
@@ -124,7 +129,7 @@ def asof_join(
         .withColumn("__prev_v", F.lag("__upto").over(prev))
         .select("__range", "__first_e", F.when(F.col("__prev_e") == F.col("__first_e"), F.col("__prev_v")).alias("__carry"))
     )
-    out = filled.where(F.col("__kind") == 1).join(F.broadcast(carry), "__range")
+    out = filled.where(F.col("__kind") == 1).drop("__pos").join(F.broadcast(carry), "__range")
     match = F.coalesce(F.col("__local"), F.when(F.col("__e") == F.col("__first_e"), F.col("__carry")))
     out = out.withColumn("__m", match)
     if ttl is not None:
