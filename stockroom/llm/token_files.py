@@ -46,6 +46,7 @@ CHECKSUM_FLAG = 0x80
 END_ID = 2
 NO_DOC_ID = -(2**63)  # stands for a null doc_id inside a file
 TOKENIZER = "word_bpe_49k.json"
+TEXT_BYTES = 4_000_000  # text whose pieces are looked up together
 
 
 class Encoder:
@@ -58,25 +59,38 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.pieces: dict[bytes, bytes] = {}
+        # Two generations: when the young one is full it becomes the old one, so
+        # pieces in use move on and the others go.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def learn(self, pieces: set[bytes]) -> None:
+        """Bring ``pieces`` into the young generation, encoding those that neither has."""
+
+        if len(self.young) > CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
+        new = []
+        for piece in pieces - self.young.keys():
+            if piece in self.old:
+                self.young[piece] = self.old.pop(piece)
+            else:
+                new.append(piece)
+        encoded = self.tokenizer.encode_batch_fast([piece.decode("utf-8", "replace") for piece in new], add_special_tokens=False)
+        self.young.update((piece, np.array(e.ids, "<u4").tobytes()) for piece, e in zip(new, encoded, strict=True))
 
     def batch(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """Packed ids of each text; pieces new to the cache are encoded in one call per few texts."""
+        """Packed ids of each text, a few MB of text at a time."""
 
         start = 0
         while start < len(texts):
             size, stop = 0, start
-            while stop < len(texts) and (stop == start or size < 4_000_000):
+            while stop < len(texts) and (stop == start or size < TEXT_BYTES):
                 size += len(texts[stop] or b"")
                 stop += 1
             split = [text.split() if text else [] for text in texts[start:stop]]
-            if len(self.pieces) > CACHE_ENTRIES:
-                self.pieces.clear()
-            new = list({piece for words in split for piece in words if piece not in self.pieces})
-            encoded = self.tokenizer.encode_batch_fast([piece.decode("utf-8", "replace") for piece in new], add_special_tokens=False)
-            self.pieces.update((piece, np.array(e.ids, "<u4").tobytes()) for piece, e in zip(new, encoded, strict=True))
+            self.learn(set().union(*split))
             for words in split:
-                yield b"".join(map(self.pieces.__getitem__, words))
+                yield b"".join(map(self.young.__getitem__, words))
             start = stop
 
 
@@ -92,7 +106,7 @@ def encoder(path: str) -> Encoder:
 class SeekableWriter:
     """Appends frames to a stream and closes it with the document ids and the seek table."""
 
-    def __init__(self, stream, level: int = 3):
+    def __init__(self, stream, level: int = 1):
         self.stream, self.entries, self.doc_ids = stream, [], []
         self.compressor = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
 
@@ -212,8 +226,10 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
+    # an explicit count: the few, small rows of files would otherwise be merged into one task
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     before = F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids")
-    return files.withColumn("start", before).select("part", "path", "start").repartition("part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, frame int")
+    return files.withColumn("start", before).select("part", "path", "start").repartition(tasks, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, frame int")
 
 
 def token_files(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
