@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,26 +36,47 @@ def utf8_values(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def ascii_words(text: bytes | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; none for null.
+@dataclass
+class Words:
+    """The words of a run of texts: text i has ``codes[starts[i]:starts[i + 1]]``,
+    indices into the distinct words (kept as bytes in ``distinct``)."""
 
-    ``bytes.split`` cuts at exactly those six bytes and ``bytes.lower`` changes A-Z only.
-    """
+    starts: np.ndarray
+    codes: np.ndarray
+    distinct: list[bytes]
 
-    return text.lower().split() if text else []
+    def hashes(self) -> np.ndarray:
+        """64-bit hash of every word occurrence."""
 
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.distinct), np.uint64, len(self.distinct))[self.codes]
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, filled on first use."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def words_of(column: pa.Array, lower: bool = True) -> Words:
+    """Words ``[^\x20\x09-\x0D]+`` of each text (none for null), A-Z lower-cased if asked for.
+
+    Arrow's ASCII functions cut at exactly those six bytes and change A-Z only.
+    """
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    text = pc.fill_null(column.cast(pa.large_string()), "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
+    values, offsets = split.values, np.asarray(split.offsets, dtype=np.int64)
+    full = np.asarray(pc.greater(pc.binary_length(values), 0))
+    if not full.all():  # white space at either end of a text leaves an empty word there
+        offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
+        values = values.filter(pa.array(full))
+    coded = values.dictionary_encode()
+    return Words(offsets, np.asarray(coded.indices), coded.dictionary.cast(pa.large_binary()).to_pylist())
+
+
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that no slice of several rows has more than ``most_bytes`` in ``column``."""
+
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        within = np.searchsorted(np.cumsum(sizes[start:]), most_bytes, side="right")
+        yield batch.slice(start, max(1, int(within)))
+        start += max(1, int(within))
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

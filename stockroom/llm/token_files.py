@@ -19,6 +19,7 @@ frame; an empty table writes no file; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stockroom.llm.common import CACHE_ENTRIES, table, utf8_values
+from stockroom.llm.common import slices, table, words_of
 from stockroom.session import ScratchTable, ensure_checkpoint_dir
 
 # Fixed values of the public zstandard seekable format.
@@ -46,7 +47,27 @@ CHECKSUM_FLAG = 0x80
 END_ID = 2
 NO_DOC_ID = -(2**63)  # stands for a null doc_id inside a file
 TOKENIZER = "word_bpe_49k.json"
-TEXT_BYTES = 4_000_000  # text whose pieces are looked up together
+TEXT_BYTES = 8_000_000  # text whose pieces are looked up together
+CACHED_PIECES = 700_000  # entries of a cache generation; bounds a worker's memory only
+
+# Fixed values of the tokenizer: its mark of a word's end, and its pre-token pattern as it applies to lower-case ASCII.
+WORD_END = "</w>"
+ASCII_PRE_TOKENS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
+
+def pre_token_count(piece: bytes) -> int:
+    """How many pre-tokens the tokenizer surely takes the piece for; 0 if that isn't sure
+    (a special token, or other letters than Latin ones that lower-casing leaves as they are)."""
+
+    if piece.isalpha():  # for bytes: ASCII letters only
+        return 1
+    if piece.isascii():
+        return 0 if b"<|" in piece else len(ASCII_PRE_TOKENS.findall(piece.lower()))
+    core = piece.rstrip(b".,;:!?)")
+    text = core.decode("utf-8", "replace")
+    if text.isalpha() and max(text) < "\u0250" and text == text.lower():
+        return 1 if core == piece else 2
+    return 0
 
 
 class Encoder:
@@ -59,39 +80,64 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        tokens = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.word_end = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.word_end[[number for token, number in tokens.items() if token.endswith(WORD_END)]] = True
         # Two generations: when the young one is full it becomes the old one, so
         # pieces in use move on and the others go.
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def learn(self, pieces: set[bytes]) -> None:
-        """Bring ``pieces`` into the young generation, encoding those that neither has."""
+    def look_up(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece; those that neither generation has are encoded now."""
 
-        if len(self.young) > CACHE_ENTRIES:
+        if len(self.young) > CACHED_PIECES:
             self.old, self.young = self.young, {}
-        new = []
-        for piece in pieces - self.young.keys():
-            if piece in self.old:
-                self.young[piece] = self.old.pop(piece)
-            else:
-                new.append(piece)
-        encoded = self.tokenizer.encode_batch_fast([piece.decode("utf-8", "replace") for piece in new], add_special_tokens=False)
-        self.young.update((piece, np.array(e.ids, "<u4").tobytes()) for piece, e in zip(new, encoded, strict=True))
-
-    def batch(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """Packed ids of each text, a few MB of text at a time."""
-
-        start = 0
-        while start < len(texts):
-            size, stop = 0, start
-            while stop < len(texts) and (stop == start or size < TEXT_BYTES):
-                size += len(texts[stop] or b"")
-                stop += 1
-            split = [text.split() if text else [] for text in texts[start:stop]]
-            self.learn(set().union(*split))
-            for words in split:
-                yield b"".join(map(self.young.__getitem__, words))
-            start = stop
+        found = list(map(self.young.get, pieces))
+        absent = [i for i, packed in enumerate(found) if packed is None]
+        for i, packed in zip(absent, map(self.old.get, [pieces[i] for i in absent]), strict=True):
+            found[i] = packed
+        new = [i for i in absent if found[i] is None]
+        for i, packed in zip(new, self.encode([pieces[i] for i in new]), strict=True):
+            found[i] = packed
+        self.young.update((pieces[i], found[i]) for i in absent)
+        return found
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Encode the pieces whose pre-tokens can be counted many at a time, as one
+        text whose ids are cut at word ends; the others one by one."""
+
+        out: list = [None] * len(pieces)
+        counts = list(map(pre_token_count, pieces))
+        countable = [i for i, count in enumerate(counts) if count]
+        for start in range(0, len(countable), 1024):
+            group = countable[start : start + 1024]
+            text = b" ".join([pieces[i] for i in group]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            word_stops = (np.flatnonzero(self.word_end[ids]) + 1) * 4
+            ends = np.cumsum([counts[i] for i in group])
+            if len(word_stops) != ends[-1]:
+                raise ValueError("the tokenizer cut a piece in another way")
+            packed, begin = ids.tobytes(), 0
+            for i, stop in zip(group, word_stops[ends - 1].tolist(), strict=True):
+                out[i] = packed[begin:stop]
+                begin = stop
+        others = [i for i, packed in enumerate(out) if packed is None]
+        encoded = self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in others], add_special_tokens=False)
+        for i, e in zip(others, encoded, strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def payloads(self, texts: pa.Array) -> Iterator[bytes]:
+        """Packed ids of each text: distinct pieces are looked up once, then laid out in text order."""
+
+        words = words_of(texts, lower=False)
+        packed = pa.array(self.look_up(words.distinct), pa.large_binary()).take(pa.array(words.codes))
+        stops = np.frombuffer(packed.buffers()[1], np.int64, len(packed) + 1, packed.offset * 8)
+        data = packed.buffers()[2] or b""
+        bounds = stops[words.starts].tolist()
+        for start, stop in zip(bounds, bounds[1:], strict=False):
+            yield bytes(data[start:stop])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -186,10 +232,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             if writer is None and batch.num_rows:
                 stream = fs.open_output_stream(own, compression=None)
                 writer = SeekableWriter(stream)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.batch(utf8_values(batch.column(1))), strict=True):
-                payload = ids + end
-                writer.add(doc_id, payload)
-                n_ids += len(payload) // 4
+            for rows in slices(batch, 1, TEXT_BYTES):
+                for doc_id, ids in zip(rows.column(0).to_pylist(), encode.payloads(rows.column(1)), strict=True):
+                    payload = ids + end
+                    writer.add(doc_id, payload)
+                    n_ids += len(payload) // 4
         if writer is not None:
             writer.finish()
             stream.close()
