@@ -57,7 +57,8 @@ def words_of(column: pa.Array, lower: bool = True) -> Words:
     Arrow's ASCII functions cut at exactly those six bytes and change A-Z only.
     """
 
-    text = pc.fill_null(column.cast(pa.large_string()), "")
+    # Arrow's ascii_lower is wrong on an array that is a slice of another: copy the rows first
+    text = pc.fill_null(column.take(pa.array(np.arange(len(column)))), "").cast(pa.large_string())
     split = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
     values, offsets = split.values, np.asarray(split.offsets, dtype=np.int64)
     full = np.asarray(pc.greater(pc.binary_length(values), 0))
