@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from stockroom.llm import language_id, quality_rules, token_files
+from stockroom.llm import html_text, language_id, quality_rules, token_files
 
 QUERIES = {
+    "op6_html_text": html_text.op6_html_text,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
     "op8_token_files": token_files.op8_token_files,
