@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from stockroom.llm import html_text, language_id, quality_rules, token_files
+from stockroom.llm import decontamination, html_text, language_id, quality_rules, source_mix, token_files
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
+    "op5_source_mix": source_mix.op5_source_mix,
     "op6_html_text": html_text.op6_html_text,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
     "op8_token_files": token_files.op8_token_files,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op5_source_mix": source_mix.OP5_SQL,
+}

@@ -37,8 +37,8 @@ MIN_WORDS = 50
 # Base rule
 MOST_REPEATED_PERCENT = 50
 # Divergence rule: distance allowed at length n is LIMIT + SPREAD / sqrt(n)
-CHAR_LIMIT, CHAR_SPREAD, MIN_CHARS = 0.10, 2.8, 200
-WORD_LIMIT, WORD_SPREAD = 0.13, 1.95
+CHAR_LIMIT, CHAR_SPREAD, MIN_CHARS = 0.12, 2.9, 200
+WORD_LIMIT, WORD_SPREAD = 0.17, 1.9
 STEPS = 1000
 
 SYMBOLS = "#*$%&|<>"
