@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from stockroom.llm import decontamination, html_text, language_id, quality_rules, source_mix, token_files
+from stockroom.llm import decontamination, html_text, language_id, quality_rules, source_mix, token_files, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op1_decontamination": decontamination.op1_decontamination,
     "op5_source_mix": source_mix.op5_source_mix,
     "op6_html_text": html_text.op6_html_text,

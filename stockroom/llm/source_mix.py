@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockroom.llm.common import table
-from stockroom.session import ScratchTable
+from stockroom.session import ScratchTable, checked_broadcast
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -80,7 +80,8 @@ def mixed_sizes(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     plan = targets.withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.floor(ratio)).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
     odds = random_odds(F.col("doc_id")) / (F.col("part") / (1.0 - F.col("part")))
     key = F.when(F.col("part") > 0, odds / (1.0 + odds)).otherwise(1.0)  # monotone in the odds, within 0 and 1
-    ranked = sizes.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # Tables with a row per source are broadcast when few rows prove it safe, else Spark's skew join splits a hot source.
+    ranked = sizes.join(checked_broadcast(plan), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ranked = ranked.withColumn("rank_key", key).withColumn("doc_key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("cell", F.least(F.floor(F.col("rank_key") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
     rows = ScratchTable(ranked, "mix-ranks").df
 
@@ -91,19 +92,20 @@ def mixed_sizes(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     edge = cells.where(F.col("through") > F.col("missing")).groupBy(F.col("source").alias("s")).agg(F.min("cell").alias("edge_cell"), F.min(F.col("through")).alias("through"), F.min_by("words", "cell").alias("words"))
     edge = edge.select("s", "edge_cell", (F.col("through") - F.col("words")).alias("before"))
     in_rank = Window.partitionBy("source").orderBy(*RANK).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_edge = some.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("edge_cell")))
+    edge = ScratchTable(edge, "mix-edges").df
+    at_edge = some.join(checked_broadcast(edge), F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("edge_cell")))
     filled = at_edge.withColumn("sum", F.sum("size").over(in_rank) + F.col("before")).where(F.col("sum") <= F.col("missing"))
     last = filled.groupBy(F.col("source").alias("f")).agg(F.max(F.struct(*RANK)).alias("last"), F.max("sum").alias("filled"))
     cut = edge.join(last, F.col("s").eqNullSafe(F.col("f")), "left").select("s", "edge_cell", "last", F.coalesce("filled", "before").alias("filled"))
     cut = ScratchTable(cut, "mix-cuts").df
 
     # Of the rows after the cut, the one that fits what is missing best.
-    after = some.join(cut, F.col("source").eqNullSafe(F.col("s"))).where(~taken_by_rank())
+    after = some.join(checked_broadcast(cut), F.col("source").eqNullSafe(F.col("s"))).where(~taken_by_rank())
     after = after.withColumn("off", F.abs(F.col("size") - (F.col("missing") - F.col("filled")))).where(F.col("off") < F.col("missing") - F.col("filled"))
     least = after.groupBy(F.col("source").alias("l")).agg(F.min("off").alias("least"))
-    nearest = after.join(least, F.col("source").eqNullSafe(F.col("l")) & (F.col("off") == F.col("least"))).groupBy(F.col("source").alias("n")).agg(F.min(F.struct(*RANK)).alias("added"))
+    nearest = after.join(checked_broadcast(ScratchTable(least, "mix-least").df), F.col("source").eqNullSafe(F.col("l")) & (F.col("off") == F.col("least"))).groupBy(F.col("source").alias("n")).agg(F.min(F.struct(*RANK)).alias("added"))
     decision = targets.select("s").join(cut.withColumnRenamed("s", "c"), F.col("s").eqNullSafe(F.col("c")), "left").join(nearest, F.col("s").eqNullSafe(F.col("n")), "left").select("s", "edge_cell", "last", "added")
-    return rows, decision
+    return rows, checked_broadcast(ScratchTable(decision, "mix-decisions").df)
 
 
 def taken_by_rank() -> Column:
