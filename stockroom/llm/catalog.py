@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stockroom.llm import decontamination, html_text, language_id, quality_rules, source_mix, token_files, toxicity
+from stockroom.llm import decontamination, html_text, language_id, near_duplicates, quality_rules, source_mix, token_files, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op1_decontamination": decontamination.op1_decontamination,
+    "op4_near_duplicates": near_duplicates.op4_near_duplicates,
     "op5_source_mix": source_mix.op5_source_mix,
     "op6_html_text": html_text.op6_html_text,
     "op9_quality_rules": quality_rules.op9_quality_rules,

@@ -35,7 +35,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from stockroom.llm.common import fold, mixed, slices, table, words_of
 
-SAMPLE_OF_A_CLASS = 4_000
+SAMPLE_OF_A_CLASS = 2_000
 DICTIONARY_BYTES = 8_192
 SEGMENT, MER = 16, 6  # zstandard's k and d: segment and substring lengths of its training
 HASHES, LOWEST = 8, 5  # near copies among the training texts
