@@ -23,7 +23,8 @@ Rare tokens' lists are short by definition and give pairs, counted per pair.  A
 combination's list can be long (a group of near copies): each is compared with one
 member (its hub) per round, linked ones become a component, and lists whose members
 are in one component are done; what two components share after ``HUB_ROUNDS`` rounds is
-compared pair by pair, so no link is lost.  Every pair is verified on the whole sets.
+compared pair by pair (leaving out pairs that the triangle inequality excludes), so no
+link is lost.  Every pair is verified on the whole sets.
 Equal sets are one node from the start.
 
 Defined results: a text without words (or null) has an empty set, links with nothing
@@ -52,6 +53,7 @@ ZONE = 2.0  # the zone's share of the hash range, as a multiple of the slack's s
 FREQUENT = 16
 EXTRA = 3
 SMALL_SET = 40
+WHOLE_BANDS = 7  # sets of these bands (under 2 ** 7 tokens) emit all tokens, so that rare ones are not missed
 HUB_ROUNDS = 3
 TEXT_BYTES = 8_000_000
 SIGN = np.uint64(1 << 63)
@@ -91,7 +93,7 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for part in slices(batch, 1, TEXT_BYTES):
                 sets = token_sets(part.column(1), words)
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                emitted = [s[: max(int(np.searchsorted(s, limit)), 2 * (slack(len(s), percent) + 1) + 16)] for s in sets]
+                emitted = [s if bands(len(s), percent).start <= WHOLE_BANDS else s[: max(int(np.searchsorted(s, limit)), 2 * (slack(len(s), percent) + 1) + 16)] for s in sets]
                 arrays = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), list_array(emitted)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "digest", "tokens"])
 
@@ -130,24 +132,25 @@ def entries_of(tokens: np.ndarray, frequent: np.ndarray, n: int, percent: int) -
         return rare[: spare + EXTRA].tolist(), [], False
     singles, combined = set(rare.tolist()), []
     rest = list(zip(tokens[~first].tolist(), often[~first].tolist(), strict=True))
+    rare_first = sorted(rest, key=lambda pair: pair[1])  # stable: by hash within either kind
     for band in bands(n, percent):
-        if band == 0:
-            combined += [(0, 0, token) for token, _ in rest[: max(0, spare + 1 - len(rare))]]
-            continue
         classes = max(2, int(2 ** (band - 1) * (100 - percent) / 200))
         held: dict[int, list[int]] = {}
         matches = len(rare)
-        for token, is_frequent in rest:
+        for token, is_frequent in rare_first if band <= WHOLE_BANDS else rest:
             if matches > spare:
                 break
             if not is_frequent:
                 singles.add(token)
                 matches += 1
-                continue
-            same = held.setdefault(token % classes, [])
-            combined += [(band, other, token) for other in same]
-            matches += bool(same)
-            same.append(token)
+            elif band == 0:
+                combined.append((0, 0, token))
+                matches += 1
+            else:
+                same = held.setdefault(token % classes, [])
+                combined += [(band, other, token) for other in same]
+                matches += bool(same)
+                same.append(token)
     return sorted(singles), entries(combined), True
 
 
@@ -193,17 +196,31 @@ def labelled(df: DataFrame, labels: DataFrame | None, *columns: str) -> DataFram
     return df
 
 
-def combination_pairs(index: DataFrame, labels: DataFrame | None, percent: int, hub_round: int | None) -> DataFrame:
-    """Pairs (a, b) of members of a list that are in different components: each with its hub, or all of them."""
+def hub_rank(hub_round: int) -> Column:
+    """A list's hub is its least member: first the one with fewest uncommon tokens, later any."""
+
+    return F.struct("uncommon", "node") if hub_round == 0 else F.struct(F.xxhash64("node", F.lit(hub_round)), "node")
+
+
+def combination_pairs(index: DataFrame, labels: DataFrame | None, percent: int, hub_round: int | None, first_hubs: DataFrame, distances: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of members of a list that are in different components: each with its hub, or
+    (without a round) all whose distances to the list's first hub differ by no more than a
+    link's distance; the Jaccard distance is a metric, so no other pair can link."""
 
     member = labelled(index, labels, "node")
-    rank = F.struct("uncommon", "node") if hub_round == 0 else F.struct(F.xxhash64("node", F.lit(hub_round)), "node")
+    rank = hub_rank(hub_round or 0)
     lists = member.groupBy("entry").agg(F.min("node_comp").alias("low"), F.max("node_comp").alias("high"), F.min(rank).alias("hub")).where("low < high")
     hubs = lists.select(F.col("entry").alias("e"), F.col("hub.node").alias("hub"))
     if hub_round is None:
-        left = member.join(hubs.select("e"), F.col("entry") == F.col("e"), "left_semi").select("entry", "node", "n", "node_comp")
-        right = left.select(F.col("entry").alias("e"), F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("node_comp").alias("other_comp"))
-        met = left.join(right, (F.col("entry") == F.col("e")) & (F.col("node") < F.col("other")) & (F.col("node_comp") != F.col("other_comp")) & sizes_fit("n", "other_n", percent))
+        # members of lists with the same first hub meet once, however many lists they share
+        left = member.join(hubs.select("e"), F.col("entry") == F.col("e"), "left_semi")
+        left = left.join(first_hubs.select(F.col("entry").alias("e"), "hub"), F.col("entry") == F.col("e")).select("hub", "node", "n", "node_comp").distinct()
+        known = distances.select(F.col("a").alias("m_a"), F.col("b").alias("m_b"), "distance")
+        left = left.join(known, (F.least("node", "hub") == F.col("m_a")) & (F.greatest("node", "hub") == F.col("m_b")), "left")
+        left = left.select("hub", "node", "n", "node_comp", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("distance")).alias("off"))
+        right = left.select(F.col("hub").alias("h"), F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("node_comp").alias("other_comp"), F.col("off").alias("other_off"))
+        near = F.coalesce(F.abs(F.col("off") - F.col("other_off")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+        met = left.join(right, (F.col("hub") == F.col("h")) & (F.col("node") < F.col("other")) & (F.col("node_comp") != F.col("other_comp")) & sizes_fit("n", "other_n", percent) & near)
         return met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
     own = member.select(F.col("entry").alias("h"), F.col("node").alias("hub_node"), F.col("n").alias("hub_n"), F.col("node_comp").alias("hub_comp"))
     hubs = hubs.join(own, (F.col("e") == F.col("h")) & (F.col("hub") == F.col("hub_node"))).select("e", "hub", "hub_n", "hub_comp").dropDuplicates(["e"])
@@ -233,13 +250,15 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return wanted.mapInArrow(run, "id long, tokens array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link, by their whole sets."""
+def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked, distance) of the pairs, by their whole sets."""
 
     a, b = (sets.select(F.col("id").alias(f"{x}_id"), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
     both = pairs.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id"))
-    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return both.where(100 * common >= percent * (F.size("a_tokens") + F.size("b_tokens") - common)).select("a", "b").distinct()
+    counted = both.select("a", "b", F.size(F.array_intersect("a_tokens", "b_tokens")).alias("common"), (F.size("a_tokens") + F.size("b_tokens")).alias("sizes"))
+    either = F.col("sizes") - F.col("common")
+    found = counted.select("a", "b", (100 * F.col("common") >= percent * either).alias("linked"), (1 - F.col("common") / either).alias("distance"))
+    return found.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -264,17 +283,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     needed = rare.select(F.col("a").alias("node")).unionByName(rare.select(F.col("b").alias("node"))).unionByName(combined.select("node")).distinct()
     sets = ScratchTable(whole_sets(docs, ScratchTable(needed, "needed").df, words), "whole-sets")
 
-    labels, links, tested = None, [], []
+    first_hubs = ScratchTable(combined.groupBy("entry").agg(F.min(hub_rank(0)).alias("first")).select("entry", F.col("first.node").alias("hub")), "first-hubs").df
+    labels, tested = None, []
     for hub_round in [*range(HUB_ROUNDS), None]:
         open_pairs = labelled(rare, labels, "a", "b").where("a_comp != b_comp").select("a", "b")
         if hub_round is not None:  # one pair a node: a component needs no more
             open_pairs = open_pairs.groupBy("b").agg((F.min("a") if hub_round == 0 else F.max("a")).alias("a")).select("a", "b")
-        pairs = open_pairs.unionByName(combination_pairs(combined, labels, percent, hub_round)).distinct()
+        pairs = open_pairs.unionByName(combination_pairs(combined, labels, percent, hub_round, first_hubs, tested[0] if tested else None)).distinct()
         for seen in tested:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        tested.append(ScratchTable(pairs, "tested-pairs").df)
-        links.append(ScratchTable(verified(tested[-1], sets.df, percent), "links").df)
-        labels = connected_components(reduce(DataFrame.unionByName, links)).df
+        tested.append(ScratchTable(measured(pairs, sets.df, percent), "measured-pairs").df)
+        labels = connected_components(reduce(DataFrame.unionByName, tested).where("linked").select("a", "b")).df
     sets.drop()
 
     members = rows.join(classes, "digest")
