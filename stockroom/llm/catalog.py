@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stockroom.llm import decontamination, html_text, language_id, near_duplicates, quality_rules, source_mix, token_files, toxicity
+from stockroom.llm import decontamination, html_text, language_id, near_duplicates, quality_rules, recurrent_lm, source_mix, token_files, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_near_duplicates": near_duplicates.op4_near_duplicates,
     "op5_source_mix": source_mix.op5_source_mix,
     "op6_html_text": html_text.op6_html_text,
+    "op7_recurrent_lm": recurrent_lm.op7_recurrent_lm,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
     "op8_token_files": token_files.op8_token_files,
