@@ -239,5 +239,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, all columns as they are; no join, no shuffle."""
+
+    index = docs.columns.index(text)
+
+    def clean(items):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, index, TEXT_BYTES):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[number for number, *_ in items.value.search(part.column(index))]] = False
+                    yield part.filter(pa.array(keep))
+
+        return run
+
+    for block in item_blocks(benchmark):
+        docs = docs.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(ItemIndex(block))), docs.schema)
+    return docs
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -72,18 +72,23 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return weighed.select("source", "source_size", F.when(F.col("weight") * F.lit(unit) > cap, cap.cast("double")).otherwise(F.col("weight") * F.lit(unit)).alias("target"))
 
 
-def mixed_sizes(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (doc_id, source, size): rows with their rank key, and per source what decides a row (see ``copies``)."""
+def ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with doc_id, source and size, with their source's plan and their place in its ranks."""
+
+    # A table with a row per source is broadcast when few rows prove it safe, else Spark's skew join splits a hot source.
+    joined = rows.join(checked_broadcast(plan), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    odds = random_odds(F.col("doc_id")) / (F.col("part") / (1.0 - F.col("part")))
+    key = F.when(F.col("part") > 0, odds / (1.0 + odds)).otherwise(1.0)  # monotone in the odds, within 0 and 1
+    return joined.withColumn("rank_key", key).withColumn("doc_key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("cell", F.least(F.floor(F.col("rank_key") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+
+
+def mixing_plan(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (doc_id, source, size): per source the plan that ``ranked`` takes and the cut that ``copies`` takes."""
 
     targets = ScratchTable(source_targets(sizes), "source-targets").df.withColumnRenamed("source", "s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = targets.withColumn("whole", F.floor(ratio)).withColumn("part", ratio - F.floor(ratio)).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
-    odds = random_odds(F.col("doc_id")) / (F.col("part") / (1.0 - F.col("part")))
-    key = F.when(F.col("part") > 0, odds / (1.0 + odds)).otherwise(1.0)  # monotone in the odds, within 0 and 1
-    # Tables with a row per source are broadcast when few rows prove it safe, else Spark's skew join splits a hot source.
-    ranked = sizes.join(checked_broadcast(plan), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    ranked = ranked.withColumn("rank_key", key).withColumn("doc_key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("cell", F.least(F.floor(F.col("rank_key") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    rows = ScratchTable(ranked, "mix-ranks").df
+    rows = ScratchTable(ranked(sizes, plan), "mix-ranks").df
 
     # The first cell whose running sum passes the missing words: only its rows are ranked one by one.
     some = rows.where("part > 0 and size > 0")
@@ -105,7 +110,7 @@ def mixed_sizes(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = after.groupBy(F.col("source").alias("l")).agg(F.min("off").alias("least"))
     nearest = after.join(checked_broadcast(ScratchTable(least, "mix-least").df), F.col("source").eqNullSafe(F.col("l")) & (F.col("off") == F.col("least"))).groupBy(F.col("source").alias("n")).agg(F.min(F.struct(*RANK)).alias("added"))
     decision = targets.select("s").join(cut.withColumnRenamed("s", "c"), F.col("s").eqNullSafe(F.col("c")), "left").join(nearest, F.col("s").eqNullSafe(F.col("n")), "left").select("s", "edge_cell", "last", "added")
-    return rows, checked_broadcast(ScratchTable(decision, "mix-decisions").df)
+    return plan, checked_broadcast(ScratchTable(decision, "mix-decisions").df)
 
 
 def taken_by_rank() -> Column:
@@ -125,12 +130,21 @@ def copies() -> Column:
 def mix(docs: DataFrame) -> DataFrame:
     """Per row of (doc_id, text, source): doc_id, source, size, source_size, target, taken."""
 
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    rows, decision = mixed_sizes(ScratchTable(sizes, "mix-sizes").df)
-    chosen = rows.join(decision, F.col("source").eqNullSafe(F.col("s")))
+    sizes = ScratchTable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes").df
+    plan, decision = mixing_plan(sizes)
+    chosen = ranked(sizes, plan).join(decision, F.col("source").eqNullSafe(F.col("s")))
     return chosen.select("doc_id", "source", "size", "source_size", "target", (copies() * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: each row of ``docs`` with all its columns, as often as it is taken."""
+
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    plan, decision = mixing_plan(ScratchTable(rows.drop("row"), "mix-sizes").df)
+    chosen = ranked(rows, plan).join(decision, F.col("source").eqNullSafe(F.col("s")))
+    return chosen.select("row", F.explode(F.array_repeat(F.lit(1), copies().cast("int")))).select("row.*")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
