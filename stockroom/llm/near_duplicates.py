@@ -23,7 +23,7 @@ Rare tokens' lists are short by definition and give pairs, counted per pair.  A
 combination's list can be long (a group of near copies): each is compared with one
 member (its hub) per round, linked ones become a component, and lists whose members
 are in one component are done; what two components share after ``HUB_ROUNDS`` rounds is
-compared pair by pair (leaving out pairs that the triangle inequality excludes), so no
+compared pair by pair (leaving out pairs that the triangle inequality or their own tokens exclude), so no
 link is lost.  Every pair is verified on the whole sets.
 Equal sets are one node from the start.
 
@@ -202,10 +202,11 @@ def hub_rank(hub_round: int) -> Column:
     return F.struct("uncommon", "node") if hub_round == 0 else F.struct(F.xxhash64("node", F.lit(hub_round)), "node")
 
 
-def combination_pairs(index: DataFrame, labels: DataFrame | None, percent: int, hub_round: int | None, first_hubs: DataFrame, distances: DataFrame | None) -> DataFrame:
+def combination_pairs(index: DataFrame, labels: DataFrame | None, percent: int, hub_round: int | None, first_hubs: DataFrame, unique: DataFrame, distances: DataFrame | None) -> DataFrame:
     """Pairs (a, b) of members of a list that are in different components: each with its hub, or
     (without a round) all whose distances to the list's first hub differ by no more than a
-    link's distance; the Jaccard distance is a metric, so no other pair can link."""
+    link's distance (the Jaccard distance is a metric) and whose tokens that no other
+    candidate has leave room for a link; no other pair can link."""
 
     member = labelled(index, labels, "node")
     rank = hub_rank(hub_round or 0)
@@ -217,9 +218,12 @@ def combination_pairs(index: DataFrame, labels: DataFrame | None, percent: int,
         left = left.join(first_hubs.select(F.col("entry").alias("e"), "hub"), F.col("entry") == F.col("e")).select("hub", "node", "n", "node_comp").distinct()
         known = distances.select(F.col("a").alias("m_a"), F.col("b").alias("m_b"), "distance")
         left = left.join(known, (F.least("node", "hub") == F.col("m_a")) & (F.greatest("node", "hub") == F.col("m_b")), "left")
-        left = left.select("hub", "node", "n", "node_comp", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("distance")).alias("off"))
-        right = left.select(F.col("hub").alias("h"), F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("node_comp").alias("other_comp"), F.col("off").alias("other_off"))
+        left = left.join(unique.withColumnRenamed("node", "u"), F.col("node") == F.col("u"), "left")
+        left = left.select("hub", "node", "n", "node_comp", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("distance")).alias("off"), F.coalesce("own_tokens", F.lit(0)).alias("own"))
+        right = left.select(F.col("hub").alias("h"), F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("node_comp").alias("other_comp"), F.col("off").alias("other_off"), F.col("own").alias("other_own"))
         near = F.coalesce(F.abs(F.col("off") - F.col("other_off")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+        # tokens of one alone are all in the symmetric difference, at most (100 - percent) / (100 + percent) of both sizes in a link
+        near &= (F.col("own") + F.col("other_own")) * (100 + percent) <= (F.col("n") + F.col("other_n")) * (100 - percent)
         met = left.join(right, (F.col("hub") == F.col("h")) & (F.col("node") < F.col("other")) & (F.col("node_comp") != F.col("other_comp")) & sizes_fit("n", "other_n", percent) & near)
         return met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
     own = member.select(F.col("entry").alias("h"), F.col("node").alias("hub_node"), F.col("n").alias("hub_n"), F.col("node_comp").alias("hub_comp"))
@@ -284,14 +288,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     sets = ScratchTable(whole_sets(docs, ScratchTable(needed, "needed").df, words), "whole-sets")
 
     first_hubs = ScratchTable(combined.groupBy("entry").agg(F.min(hub_rank(0)).alias("first")).select("entry", F.col("first.node").alias("hub")), "first-hubs").df
+    alone = sets.df.select("id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("documents"), F.min("id").alias("node")).where("documents = 1")
+    unique = ScratchTable(alone.groupBy("node").agg(F.count("*").alias("own_tokens")), "own-tokens").df
     labels, tested = None, []
     for hub_round in [*range(HUB_ROUNDS), None]:
         open_pairs = labelled(rare, labels, "a", "b").where("a_comp != b_comp").select("a", "b")
         if hub_round is not None:  # one pair a node: a component needs no more
             open_pairs = open_pairs.groupBy("b").agg((F.min("a") if hub_round == 0 else F.max("a")).alias("a")).select("a", "b")
-        pairs = open_pairs.unionByName(combination_pairs(combined, labels, percent, hub_round, first_hubs, tested[0] if tested else None)).distinct()
-        for seen in tested:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        pairs = open_pairs.unionByName(combination_pairs(combined, labels, percent, hub_round, first_hubs, unique, tested[0] if tested else None)).distinct()
+        if tested:
+            pairs = pairs.join(reduce(DataFrame.unionByName, tested).select("a", "b"), ["a", "b"], "left_anti")
         tested.append(ScratchTable(measured(pairs, sets.df, percent), "measured-pairs").df)
         labels = connected_components(reduce(DataFrame.unionByName, tested).where("linked").select("a", "b")).df
     sets.drop()
