@@ -86,7 +86,7 @@ def with_global_order(
     out = tagged.join(F.broadcast(offsets), _BUCKET)
     local = Window.partitionBy(_BUCKET).orderBy(*order_by)
     if row_number_col:
-        out = out.withColumn(row_number_col, (F.col("__local_rn") + F.col("__n_before")).cast("int"))
+        out = out.withColumn(row_number_col, (F.col("__local_rn") + F.col("__n_before")).cast("long"))
     if sum_of is not None:
         running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = out.withColumn(running_sum_col, F.sum(sum_of).over(running) + F.col("__s_before"))

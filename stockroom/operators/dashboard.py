@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from stockroom.functions.ordered import with_global_order
 
@@ -24,17 +25,15 @@ def apply_global_filters(df: DataFrame, sku: str = ALL, region: str = ALL) -> Da
     return df
 
 
-def filter_members(df: DataFrame, key: str, members, small_limit: int = 10_000) -> DataFrame:
-    """P5: membership filter.  A Python list becomes ``isin`` (small lists only);
-    a DataFrame of keys becomes a ``left_semi`` join (any size)."""
+def filter_members(df: DataFrame, key: str, members) -> DataFrame:
+    """P5: membership filter.  ``members`` is a DataFrame of keys or a Python list of any
+    length, which becomes one; either way a ``left_semi`` join."""
 
-    if isinstance(members, DataFrame):
-        keys = members.select(F.col(members.columns[0]).alias(key)).distinct()
-        return df.join(keys, key, "left_semi")
-    members = list(members)
-    if len(members) > small_limit:
-        raise ValueError("large membership lists must be passed as a DataFrame (semi join)")
-    return df.where(F.col(key).isin(members))
+    if not isinstance(members, DataFrame):
+        field = StructField(key, df.schema[key].dataType)
+        members = df.sparkSession.createDataFrame([(member,) for member in members], StructType([field]))
+    keys = members.select(F.col(members.columns[0]).alias(key)).distinct()
+    return df.join(keys, key, "left_semi").select(*df.columns)
 
 
 def sorted_distinct(df: DataFrame, col: str) -> DataFrame:

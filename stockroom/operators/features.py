@@ -173,11 +173,10 @@ def snapshot_date(customers: DataFrame) -> _dt.date:
     return last + _dt.timedelta(days=1)
 
 
-def _vocabulary(df: DataFrame, col: str, limit: int = 1000) -> list[str]:
-    vals = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().limit(limit + 1).collect()]
-    if len(vals) > limit:
-        raise ValueError(f"{col} has more than {limit} categories; pass the vocabulary explicitly")
-    return sorted(vals)
+def _vocabulary(df: DataFrame, col: str) -> list[str]:
+    """All categories of a column; each becomes an output column, so they are read to the driver."""
+
+    return sorted(r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().collect())
 
 
 def rfm_scores(customers: DataFrame, num_ranges: int | None = None) -> DataFrame:

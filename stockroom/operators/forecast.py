@@ -224,7 +224,7 @@ def residual_hybrid(ts: DataFrame, horizon: int = 30, lags: int = SEASON, keys=K
     if flat.limit(lags + 2).count() <= lags + 1:
         coef, intercept = [0.0] * lags, 0.0
     else:
-        model = LinearRegression(maxIter=max_iter, regParam=0.01, elasticNetParam=0.0).fit(assembler.transform(flat))
+        model = LinearRegression(solver="normal", maxIter=max_iter, regParam=0.01, elasticNetParam=0.0).fit(assembler.transform(flat))
         coef, intercept = [float(c) for c in model.coefficients], float(model.intercept)
 
     w = Window.partitionBy(*keys).orderBy(F.col("date").desc())

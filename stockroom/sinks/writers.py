@@ -11,12 +11,13 @@ from __future__ import annotations
 import datetime as _dt
 import os
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockroom.operators.validation import split_valid
-from stockroom.session import ensure_checkpoint_dir
+from stockroom.session import ScratchTable, ensure_checkpoint_dir
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
@@ -154,19 +155,21 @@ def lineage_edges(lineage: DataFrame) -> DataFrame:
     return ins.join(outs, ["job_name", "run_id"]).select("upstream", "job_name", "downstream").distinct()
 
 
-def downstream_of(lineage: DataFrame, dataset: str, max_hops: int = 10) -> DataFrame:
-    """K7 query: every dataset reachable from ``dataset`` (iterated self-joins on edges)."""
+def downstream_of(lineage: DataFrame, dataset: str) -> DataFrame:
+    """K7 query: every dataset reachable from ``dataset``, however many hops away.
 
-    edges = lineage_edges(lineage).select(F.col("upstream").alias("node"), F.col("downstream").alias("next")).distinct().cache()
-    frontier = edges.where(F.col("node") == dataset).select(F.col("next").alias("node"))
-    seen = frontier
-    for _ in range(max_hops):
-        nxt = frontier.join(edges, "node").select(F.col("next").alias("node")).subtract(seen)
-        if nxt.isEmpty():
-            break
-        seen = seen.union(nxt).distinct()
-        frontier = nxt
-    return seen.distinct().withColumnRenamed("node", "dataset")
+    Each hop's new datasets are written to the scratch folder, so a hop reads
+    tables and not the lineage of all hops before it; it ends when a hop finds none.
+    """
+
+    edges = ScratchTable(lineage_edges(lineage).select(F.col("upstream").alias("node"), F.col("downstream").alias("next")).distinct(), "lineage-edges").df
+    frontier = ScratchTable(edges.where(F.col("node") == dataset).select(F.col("next").alias("node")).distinct(), "lineage-hop").df
+    hops = [frontier]
+    while not frontier.isEmpty():
+        found = frontier.join(edges, "node").select(F.col("next").alias("node")).distinct()
+        frontier = ScratchTable(found.join(reduce(DataFrame.unionByName, hops), "node", "left_anti"), "lineage-hop").df
+        hops.append(frontier)
+    return reduce(DataFrame.unionByName, hops).withColumnRenamed("node", "dataset")
 
 
 def save_model(model, path: str) -> str:

@@ -179,12 +179,12 @@ def ingest_sources(spark: SparkSession, sources: list[IngestionSource]) -> tuple
             elif s.source_type == "api":
                 frames[s.name] = read_api(spark, s.endpoint, s.schema, **s.options)
             elif s.source_type == "kafka":
-                frames[s.name] = read_kafka(spark, s.topic, s.options.pop("bootstrap_servers", "localhost:9092"), s.schema, **s.options)
+                frames[s.name] = read_kafka(spark, s.topic, s.options.get("bootstrap_servers", "localhost:9092"), s.schema, **{k: v for k, v in s.options.items() if k != "bootstrap_servers"})
             else:
                 raise ValueError(f"unknown source type {s.source_type}")
             status.append((s.name, s.source_type, "registered", None))
         except Exception as exc:  # noqa: BLE001 - report per source, keep going
-            status.append((s.name, s.source_type, "failed", str(exc)[:500]))
+            status.append((s.name, s.source_type, "failed", str(exc)))
     return frames, spark.createDataFrame(status, "source string, type string, status string, error string")
 
 

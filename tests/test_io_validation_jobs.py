@@ -173,3 +173,16 @@ def test_reference_csv_layout_runs_through_operators(spark):
     cf = features.customer_features(loaded)
     assert cf.count() == tx.select("customer_id").distinct().count()
     assert features.time_series_features(loaded).count() == tx.select("date", "sku", "region").distinct().count()
+
+
+def test_lineage_reaches_past_ten_hops(spark):
+    rows = [(f"job{i}", f"run{i}", [f"d{i}"], [f"d{i + 1}"]) for i in range(13)]
+    lin = spark.createDataFrame(rows, "job_name string, run_id string, inputs array<string>, outputs array<string>")
+    assert {r[0] for r in writers.downstream_of(lin, "d0").collect()} == {f"d{i}" for i in range(1, 14)}
+
+
+def test_membership_list_of_any_length(spark):
+    from stockroom.operators.dashboard import filter_members
+
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    assert filter_members(df, "k", range(5, 10_020)).count() == 10_015
