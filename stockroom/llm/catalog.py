@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from stockroom.llm import decontamination, html_text, language_id, near_duplicates, quality_rules, recurrent_lm, source_mix, token_files, toxicity
+from stockroom.llm import decontamination, html_text, language_id, license_scan, near_duplicates, quality_rules, recurrent_lm, source_mix, token_files, toxicity
 
 QUERIES = {
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_toxicity": toxicity.op3_toxicity,
     "op1_decontamination": decontamination.op1_decontamination,
     "op4_near_duplicates": near_duplicates.op4_near_duplicates,
