@@ -2,8 +2,8 @@
 
 Two zstandard dictionaries are trained, one on windows of toxic texts and one on
 windows of ordinary texts.  A window is a word (A-Z lower-cased, punctuation at its
-ends removed) between blanks; toxic training windows are those that occur in
-clearly more toxic than ordinary texts.  A window's gain is its compressed length
+ends removed) between blanks; the toxic dictionary is trained on those that occur in
+clearly more toxic than ordinary texts only.  A window's gain is its compressed length
 under the ordinary dictionary minus that under the toxic one; both dictionaries
 hold a fixed tail that follows every window, as zstandard looks for no match in the
 last bytes of its input.  Each gain step has a weight, the log ratio of its frequency
@@ -12,7 +12,8 @@ weights, alone and relative to its length, goes through a calibrated logistic
 threshold (score 0.5).
 
 Learning uses at most ``SAMPLE_OF_A_CLASS`` labelled texts of either class (those
-with the smallest md5 of their doc_id), a bounded sample; scoring reads whole texts.
+with the smallest md5 of their doc_id), a bounded sample; the threshold weights either class
+by all its labelled texts, so that it does not move with the sample; scoring reads whole texts.
 
 Defined results: a null, empty or wordless text gets the score of no evidence; without
 labelled texts of both classes every text gets 0; a repeated label row counts once;
@@ -134,11 +135,13 @@ def one_of_each_kind(owner: np.ndarray, which: np.ndarray, n: int) -> np.ndarray
     return np.array(kept)
 
 
-def fit(texts: list[str | None], toxic: np.ndarray) -> ToxicityModel:
-    """Learn from a bounded list of texts and their labels."""
+def fit(texts: list[str | None], toxic: np.ndarray, labelled: tuple[int, int] | None = None) -> ToxicityModel:
+    """Learn from a bounded list of texts and their labels; ``labelled`` counts all ordinary and
+    all toxic texts that the list was drawn from (without it, those of the list)."""
 
     if not toxic.any() or toxic.all():
         return ToxicityModel()
+    labelled = labelled or (int((~toxic).sum()), int(toxic.sum()))
     windows, owner, which = distinct_windows(pa.array(texts, pa.string()))
     kept = one_of_each_kind(owner, which, len(texts))
     number = np.full(len(texts), -1)
@@ -155,17 +158,18 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> ToxicityModel:
     among = [np.bincount(step[toxic[owner] == label], minlength=len(model.weights)) + 1.0 for label in (True, False)]
     model.weights = np.log(among[0] / among[0].sum()) - np.log(among[1] / among[1].sum())
     x = model.evidence(np.bincount(owner, weights=model.weights[step], minlength=len(kept)), np.bincount(owner, minlength=len(kept)))
-    model.logistic = logistic_regression(x, toxic)
+    of_class = np.array([labelled[label] / (toxic == label).sum() for label in (0, 1)])[toxic.astype(int)]
+    model.logistic = logistic_regression(x, toxic, of_class / of_class.mean())
     return model
 
 
-def logistic_regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Newton steps with a small ridge."""
+def logistic_regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Newton steps with a small ridge, over rows of the given weights."""
 
     beta = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        change = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(beta)), x.T @ (y - p) - 1e-3 * beta)
+        change = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(beta)), x.T @ (weight * (y - p)) - 1e-3 * beta)
         beta += change
         if np.abs(change).max() < 1e-8:
             break
@@ -178,9 +182,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     draw = F.md5(F.col("doc_id").cast("string").cast("binary"))
     chosen = [known.where(F.col("toxic") == label).orderBy(draw, "doc_id").limit(SAMPLE_OF_A_CLASS) for label in (0, 1)]
+    labelled = {row.toxic: row.n for row in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # at most two rows
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * SAMPLE_OF_A_CLASS rows
     rows = docs.select("doc_id", "text").join(sample, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return fit([row.text for row in rows], np.array([row.toxic == 1 for row in rows], bool))
+    return fit([row.text for row in rows], np.array([row.toxic == 1 for row in rows], bool), (labelled.get(0, 0), labelled.get(1, 0)))
 
 
 def judge(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
