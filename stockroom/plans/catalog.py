@@ -654,7 +654,7 @@ def _churn_model(spark: SparkSession, sf: str):
     if key not in _MODELS:
         cf = _cf(spark, sf)
         split = churn.stratified_split(cf).cache()
-        model = churn.fit_stacked(split.where(~F.col("is_valid")).drop("is_valid"), max_iter=20, folds=3)
+        model = churn.fit_stacked(split.where(~F.col("is_valid")).drop("is_valid"))
         _MODELS[key] = (cf, split, model)
     return _MODELS[key]
 
