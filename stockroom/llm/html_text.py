@@ -8,7 +8,8 @@ averaged back to their paths and fused by multiplying; paths above a threshold
 (a share of the spread of all paths' values) are content.  The smallest container that
 holds nearly all their text is the article: its other paths (headings, lists,
 tables) belong to it whatever their ratio.  Elements that are boilerplate by their
-tag or by a word of their class, id or role are left out with all they hold.
+tag or by a word of their class, id or role are left out with all they hold; the word does
+not count in headings and in elements around most of the text (of article and main, if any).
 
 Text of a block is joined with white space turned into one space and trimmed;
 blocks follow in page order, joined by two newlines.  Inline tags and line breaks
@@ -58,13 +59,16 @@ BOILERPLATE_WORDS = frozenset(
     "share sharing social related recommended comment comments disqus reply replies widget copyright legal disclaimer pagination pager "
     "toolbar toc contentinfo complementary search".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT_TAGS = frozenset(["article", "main"])
 CONTAINERS = frozenset("html body article main section div center td".split())
 MOST_TEXT = 0.9  # share of the content paths' text that the article must hold
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMING = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_HIDDEN_NAME = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 
@@ -77,6 +81,7 @@ class Node:
     elements: tuple[tuple[str, int], ...]
     path: str
     block: int
+    named: tuple[int, ...] = ()  # numbers of the elements around it with a boilerplate word
 
 
 @dataclass
@@ -85,6 +90,7 @@ class Element:
     skipped: bool  # boilerplate, or inside it
     path: str
     around: tuple[tuple[str, int], ...] = field(default=())
+    named: tuple[int, ...] = ()
 
 
 def is_boilerplate(tag: str, attributes: str, inside: list[Element]) -> bool:
@@ -94,8 +100,14 @@ def is_boilerplate(tag: str, attributes: str, inside: list[Element]) -> bool:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    if _HIDDEN.search(attributes):
-        return True
+    return bool(_HIDDEN.search(attributes) or _HIDDEN_NAME.search(_QUOTED.sub("''", attributes)))
+
+
+def has_boilerplate_word(tag: str, attributes: str) -> bool:
+    """Headings and the page's own elements name what they are about, not what they are."""
+
+    if not attributes or tag in HEADINGS or tag in ("html", "body"):
+        return False
     return any(word.lower() in BOILERPLATE_WORDS for found in _NAMING.findall(attributes) for word in _WORD.findall(" ".join(found)))
 
 
@@ -108,7 +120,7 @@ def text_nodes(page: str) -> list[Node]:
 
     def text(run: str) -> None:
         if run and not stack[-1].skipped:
-            nodes.append(Node(html.unescape(run), stack[-1].around, stack[-1].path, block))
+            nodes.append(Node(html.unescape(run), stack[-1].around, stack[-1].path, block, stack[-1].named))
 
     def close_to(depth: int) -> None:
         del stack[depth:]
@@ -151,10 +163,18 @@ def text_nodes(page: str) -> list[Node]:
                         break
             top, count = stack[-1], count + 1
             skipped = top.skipped or is_boilerplate(tag, attributes, stack)
-            stack.append(Element(tag, skipped, f"{top.path}/{tag}", (*top.around, (tag, count))))
+            named = (*top.named, count) if has_boilerplate_word(tag, attributes) else top.named
+            stack.append(Element(tag, skipped, f"{top.path}/{tag}", (*top.around, (tag, count)), named))
         match = _TAG.search(page, position)
     text(page[position:])
-    return nodes
+    marked = [node for node in nodes if node.text.strip() and any(tag in CONTENT_TAGS for tag, _ in node.elements)]
+    held: dict[int, int] = defaultdict(int)
+    for node in marked or nodes:  # with an article or main element, it is that text which counts
+        for element in node.named:
+            held[element] += len(node.text.strip())
+    # an element around most of the text is the page, whatever it is called
+    most = sum(len(node.text.strip()) for node in marked or nodes) / 2
+    return [node for node in nodes if all(held[element] > most for element in node.named)]
 
 
 def path_values(nodes: list[Node]) -> dict[str, float]:
