@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stockroom.llm import decontamination, html_text, language_id, license_scan, near_duplicates, quality_rules, recurrent_lm, source_mix, token_files, toxicity
+from stockroom.llm import bounded_ring, centroid_clusters, decontamination, html_text, language_id, license_scan, near_duplicates, quality_rules, recurrent_lm, source_mix, spelling_variants, token_files, toxicity
 
 QUERIES = {
     "op2_license_scan": license_scan.op2_license_scan,
@@ -15,8 +15,12 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
     "op8_token_files": token_files.op8_token_files,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+    "op12_centroid_clusters": centroid_clusters.op12_centroid_clusters,
+    "op13_bounded_ring": bounded_ring.op13_bounded_ring,
 }
 
 ORACLE = {
     "op5_source_mix": source_mix.OP5_SQL,
+    "op12_centroid_clusters": centroid_clusters.OP12_SQL,
 }
