@@ -6,6 +6,7 @@ directly) over whole tables; nothing here subsets rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stockroom.operators import inventory
 from stockroom.plans import oracle_sql as sql
+from stockroom.session import ScratchTable
 from stockroom.sources.tables import transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -706,6 +708,29 @@ def m12_m16_segment_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return table
 
 
+DENSITY_RADII = (*segment.DBSCAN_RADII, 1.5)  # small tables have clusters at the widest only
+
+
+@register(
+    "m14_density_segments",
+    sql.with_tx(f", {sql.customer_features_cte()}, {sql.standardized_ctes()}, {sql.density_segments_sql(DENSITY_RADII, segment.DBSCAN_MIN_SAMPLES)}").replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def m14_density_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments of every customer for each radius."""
+
+    customers = ScratchTable(_cf(spark, sf), "segment-customers").df
+    parts = [segment.density_segments(customers, eps).select(F.lit(eps).alias("eps"), "customer_id", "segment_id") for eps in DENSITY_RADII]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@register("m17_segment_assignments")
+def m17_segment_assignments(spark: SparkSession, sf: str) -> DataFrame:
+    """The segment of every customer under the best candidate."""
+
+    found = segment.segment_customers(_cf(spark, sf))
+    return found["assignments"].select("customer_id", "segment_id", F.lit(found["algorithm"]).alias("algorithm"), F.lit(found["silhouette_score"]).alias("silhouette"))
+
+
 @register("m17_a11_segment_profile")
 def m17_a11_segment_profile(spark: SparkSession, sf: str) -> DataFrame:
     return segment.segment_customers(_cf(spark, sf))["profile"]

@@ -280,3 +280,34 @@ ms AS (SELECT sku, region, CAST(quantity AS DOUBLE) AS y,
 mp AS (SELECT sku, region, avg(abs(y - bl) / greatest(abs(y), 2.220446049250313e-16)) * 100 AS mape FROM ms WHERE rn <= 14 GROUP BY sku, region),
 mm AS (SELECT round(avg(mape), 10) AS mape FROM mp),
 pm AS (SELECT psi, mape FROM psi_value, mm)"""
+
+
+FEATURE_COLUMNS = ["frequency", "monetary", "avg_order_value", "avg_discount", "recency", "rfm_score", "tenure_days", "purchase_velocity", "monetary_per_visit"]
+
+
+def standardized_ctes() -> str:
+    """``standardized(customer_id, z)``: every feature of ``customer_features``, the dummies too, as one list."""
+
+    columns = FEATURE_COLUMNS + [f"region_{v}" for v in REGIONS] + [f"preferred_channel_{v}" for v in CHANNELS]
+    values = ", ".join(f'CAST("{c}" AS DOUBLE)' for c in columns)
+    return f"""z_cells AS (SELECT customer_id, unnest([{values}]) AS x, unnest(range({len(columns)})) AS j FROM customer_features),
+z_scale AS (SELECT j, avg(x) AS m, CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1.0 END AS s FROM z_cells GROUP BY j),
+standardized AS (SELECT customer_id, list((x - m) / s ORDER BY c.j) AS z FROM z_cells c JOIN z_scale k ON c.j = k.j GROUP BY customer_id)"""
+
+
+def density_segments_sql(radii, min_samples: int) -> str:
+    """Rows (eps, customer_id, segment_id) of DBSCAN over all pairs of customers."""
+
+    ctes, selects = [], []
+    for n, eps in enumerate(radii):
+        ctes.append(f"""near{n} AS (SELECT a, b FROM distances WHERE d <= {eps}),
+core{n} AS (SELECT a AS id FROM near{n} GROUP BY a HAVING count(*) >= {min_samples}),
+reach{n} AS (SELECT id, id AS root FROM core{n} UNION
+  SELECT e.b AS id, r.root FROM reach{n} r JOIN near{n} e ON e.a = r.id JOIN core{n} c ON c.id = e.b WHERE e.b > r.root),
+label{n} AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS label FROM (SELECT id, min(root) AS root FROM reach{n} GROUP BY id)),
+border{n} AS (SELECT e.a AS id, min(l.label) AS label FROM near{n} e JOIN label{n} l ON l.id = e.b GROUP BY e.a)""")
+        selects.append(f"""SELECT CAST({eps} AS DOUBLE) AS eps, s.customer_id, CAST(coalesce(l.label, b.label, -1) AS INTEGER) AS segment_id
+FROM standardized s LEFT JOIN label{n} l ON l.id = s.customer_id LEFT JOIN border{n} b ON b.id = s.customer_id""")
+    return f"""distances AS (SELECT a.customer_id AS a, b.customer_id AS b, list_distance(a.z, b.z) AS d FROM standardized a, standardized b WHERE list_distance(a.z, b.z) <= {max(radii)}),
+{", ".join(ctes)}
+{" UNION ALL ".join(selects)}"""
