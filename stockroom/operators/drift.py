@@ -5,23 +5,19 @@ deciles of the *reference* column; histogram bins ``[b_i, b_i+1)`` with the
 last bin closed; values outside the range are dropped; empty bins count
 1e-6; no renormalising; denominators are in-range counts.
 
-Scale notes:
-* Exact quantiles come from ``with_global_order`` (range-partitioned ranks):
-  only the <= 2 x 11 rows at the interpolation positions reach the driver.
-  ``approx=True`` uses ``percentile_approx`` instead (one pass, bounded memory).
-* Histograms are a single aggregate of conditional counts; many columns are
-  handled together after an ``unpivot`` (one shuffle, keyed by column).
+All of them are read off counts of distinct values (``functions/value_counts.py``): many
+columns go through one aggregate and one ordered pass, and a value that many rows share
+is one row.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockroom.functions.ordered import with_global_order
+from stockroom.functions import value_counts as vc
 from stockroom.functions.scalar import retrain_decision
+from stockroom.session import ScratchTable, checkpointed
 
 EMPTY_BIN = 1e-6
 # Fixed monitoring limits (metric, threshold, direction: alert when value is
@@ -34,107 +30,48 @@ MONITOR_LIMITS = [
 ]
 
 
-def quantile_fractions(bins: int = 10) -> list[float]:
-    return [k / bins for k in range(bins + 1)]
-
-
-def _interpolate(values_at: dict[int, float], n: int, qs: list[float]) -> list[float]:
-    out = []
-    for q in qs:
-        pos = q * (n - 1)
-        lo, hi = math.floor(pos), math.ceil(pos)
-        a, b = values_at[lo], values_at[hi]
-        out.append(a if lo == hi else a + (b - a) * (pos - lo))
-    return out
-
-
-def quantile_breakpoints(df: DataFrame, col: str, bins: int = 10, approx: bool = False, accuracy: int = 100_000) -> list[float]:
-    """Distinct, sorted linear-interpolated quantiles of ``col`` (nulls ignored)."""
-
-    qs = quantile_fractions(bins)
-    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    if approx:
-        row = vals.agg(F.percentile_approx("v", qs, accuracy).alias("p")).first()
-        return sorted(set(row["p"] or []))
-    n = vals.count()
-    if n == 0:
-        return []
-    positions = sorted({p for q in qs for p in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))})
-    ranked = with_global_order(vals, [F.col("v").asc()], row_number_col="rn")
-    picked = {r["rn"] - 1: r["v"] for r in ranked.where(F.col("rn").isin([p + 1 for p in positions])).collect()}
-    return sorted(set(_interpolate(picked, n, qs)))
+def quantile_breakpoints(df: DataFrame, col: str, bins: int = 10) -> list[float]:
+    """Distinct, sorted linear-interpolated quantiles of ``col`` (null and NaN left out)."""
 
+    row = vc.breakpoints(vc.running_counts(vc.value_counts(df, df.limit(0), [col])), bins).first()
+    return list(row.breakpoints) if row else []
 
-def bin_index(x: Column, breakpoints: list[float]) -> Column:
-    """Histogram bin of ``x`` on sorted breakpoints; null when outside."""
 
-    m = len(breakpoints) - 1
-    count_le = sum((x >= F.lit(float(b))).cast("int") for b in breakpoints)
-    inside = (x >= F.lit(float(breakpoints[0]))) & (x <= F.lit(float(breakpoints[-1])))
-    return F.when(inside, F.least(count_le - 1, F.lit(m - 1)))
-
-
-def histogram_counts(df: DataFrame, col: str, breakpoints: list[float]) -> list[int]:
-    """A17 as one aggregate of conditional counts (one row comes back)."""
-
-    m = len(breakpoints) - 1
-    b = bin_index(F.col(col).cast("double"), breakpoints)
-    row = df.agg(*[F.count_if(b == k).alias(f"c{k}") for k in range(m)]).first()
-    return [int(row[f"c{k}"]) for k in range(m)]
+def psi_rows(running: DataFrame, bins: int = 10) -> DataFrame:
+    """(column, psi, bins_used) of every column with a reference value, from its running counts.
 
+    Fewer than two bins give 0.
+    """
 
-def psi_from_counts(ref: list[int], cur: list[int]) -> float:
-    rt, ct = sum(ref), sum(cur)
-    total = 0.0
-    for r, c in zip(ref, cur):
-        rp = EMPTY_BIN if r == 0 else r / rt
-        cp = EMPTY_BIN if c == 0 else c / ct
-        total += (cp - rp) * math.log(cp / rp)
-    return total
+    edges = ScratchTable(vc.breakpoints(running, bins), "psi-edges").df
+    whole = Window.partitionBy("column")  # ``bins`` rows a column
 
+    def share(side: str) -> Column:
+        n, total = F.col(side).cast("double"), F.sum(side).over(whole).cast("double")
+        return F.when(F.col(side) == 0, F.lit(EMPTY_BIN)).otherwise(n / total)
 
-def psi_expr(ref_counts: list[Column], cur_counts: list[Column]) -> Column:
-    """PSI as a column expression over per-bin count columns."""
+    shares = vc.histogram(running, edges).select("column", "bin", share("ref").alias("r"), share("cur").alias("c"))
+    terms = shares.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("bin", ((F.col("c") - F.col("r")) * F.log(F.col("c") / F.col("r"))).alias("term")))).alias("terms"))
+    summed = terms.select("column", F.aggregate("terms", F.lit(0.0), lambda total, t: total + t.term).alias("sum"), F.size("terms").alias("used"))
+    some = F.col("used") > 1
+    joined = edges.join(summed, "column", "left")
+    return joined.select("column", F.when(some, F.col("sum")).otherwise(0.0).alias("psi"), F.greatest(F.size("breakpoints") - 1, F.lit(0)).alias("bins_used"))
 
-    rt = sum(ref_counts)
-    ct = sum(cur_counts)
-    terms = []
-    for r, c in zip(ref_counts, cur_counts):
-        rp = F.when(r == 0, F.lit(EMPTY_BIN)).otherwise(r.cast("double") / rt.cast("double"))
-        cp = F.when(c == 0, F.lit(EMPTY_BIN)).otherwise(c.cast("double") / ct.cast("double"))
-        terms.append((cp - rp) * F.log(cp / rp))
-    return sum(terms) if terms else F.lit(0.0)
 
+def calculate_psi(reference: DataFrame, current: DataFrame, ref_col: str, cur_col: str | None = None, bins: int = 10) -> float:
+    """Population stability index of one column (one float); 0 without a reference value."""
 
-def calculate_psi(reference: DataFrame, current: DataFrame, ref_col: str, cur_col: str | None = None, bins: int = 10, approx: bool = False) -> float:
-    """Population stability index of one column (one float)."""
+    sides = [df.select(F.col(c).alias("value")) for df, c in ((reference, ref_col), (current, cur_col or ref_col))]
+    row = psi_rows(vc.running_counts(vc.value_counts(*sides, ["value"])), bins).first()
+    return float(row.psi) if row else 0.0
 
-    cur_col = cur_col or ref_col
-    bps = quantile_breakpoints(reference, ref_col, bins, approx)
-    if len(bps) <= 2:
-        return 0.0
-    return psi_from_counts(histogram_counts(reference, ref_col, bps), histogram_counts(current, cur_col, bps))
 
+def psi_of_pairs(pairs: DataFrame, ref_col: str, cur_col: str, bins: int = 10) -> DataFrame:
+    """M25 on aligned columns of one frame, as a one-row DataFrame (psi, bins_used)."""
 
-def psi_of_pairs(pairs: DataFrame, ref_col: str, cur_col: str, bins: int = 10, approx: bool = False) -> DataFrame:
-    """M25 on aligned columns of one frame, as a one-row DataFrame (psi, bins_used).
-
-    The histogram of both sides is one aggregate; the PSI is a column
-    expression over its counts, so nothing but the breakpoints leaves Spark.
-    """
-
-    bps = quantile_breakpoints(pairs, ref_col, bins, approx)
-    spark = pairs.sparkSession
-    if len(bps) <= 2:
-        return spark.range(1).select(F.lit(0.0).alias("psi"), F.lit(max(len(bps) - 1, 0)).alias("bins_used"))
-    m = len(bps) - 1
-    rb = bin_index(F.col(ref_col).cast("double"), bps)
-    cb = bin_index(F.col(cur_col).cast("double"), bps)
-    counts = pairs.agg(
-        *[F.count_if(rb == k).alias(f"r{k}") for k in range(m)], *[F.count_if(cb == k).alias(f"c{k}") for k in range(m)]
-    )
-    psi = psi_expr([F.col(f"r{k}") for k in range(m)], [F.col(f"c{k}") for k in range(m)])
-    return counts.select(psi.alias("psi"), F.lit(m).alias("bins_used"))
+    running = vc.running_counts(vc.paired_value_counts(pairs, {"value": (ref_col, cur_col)}))
+    found = psi_rows(running, bins).agg(F.max("psi").alias("psi"), F.max("bins_used").alias("bins_used"))  # one row at most before it
+    return found.select(F.coalesce("psi", F.lit(0.0)).alias("psi"), F.coalesce("bins_used", F.lit(0)).alias("bins_used"))
 
 
 def median_transaction_date(tx: DataFrame, date_col: str = "date", count_col: str | None = None):
@@ -154,18 +91,17 @@ def median_transaction_date(tx: DataFrame, date_col: str = "date", count_col: st
     return row[0]
 
 
-def observed_drift_snapshot(tx: DataFrame, bins: int = 10, approx: bool = False) -> DataFrame:
+def observed_drift_snapshot(tx: DataFrame, bins: int = 10) -> DataFrame:
     """Split at the median transaction date, monetary per customer on each
     side (A2 on each half), keep customers present on both sides (J4 / U2) and
     compute the PSI of monetary.
 
     The fact table is read once: a (customer, day) pre-aggregate (checkpointed)
     feeds both the median date (W11, from per-day counts) and the two halves,
-    which come from ONE conditional aggregate (no second scan, no join).
+    which come from ONE conditional aggregate (no second scan, no join); its value counts
+    also tell how many customers there are on both sides.
     """
 
-    from stockroom.session import checkpointed
-
     spark = tx.sparkSession
     per_cd = checkpointed(
         tx.where(F.col("date").isNotNull())
@@ -174,7 +110,7 @@ def observed_drift_snapshot(tx: DataFrame, bins: int = 10, approx: bool = False)
     )
     cutoff = median_transaction_date(per_cd, count_col="n")
     before = F.col("date") <= F.lit(cutoff)
-    common = checkpointed(
+    common = (
         per_cd.where(F.col("customer_id").isNotNull())
         .groupBy("customer_id")
         .agg(
@@ -184,21 +120,16 @@ def observed_drift_snapshot(tx: DataFrame, bins: int = 10, approx: bool = False)
             F.sum(F.when(~before, F.col("n")).otherwise(0)).alias("cur_n"),
         )
         .where((F.col("ref_n") > 0) & (F.col("cur_n") > 0))
-        .select(
-            "customer_id",
-            F.col("ref_monetary").cast("double").alias("ref_monetary"),
-            F.col("cur_monetary").cast("double").alias("cur_monetary"),
-        )
     )
-    n_common = common.count()
+    running = vc.running_counts(vc.paired_value_counts(common, {"monetary": ("ref_monetary", "cur_monetary")}))
+    n_common = running.agg(F.sum("ref")).first()[0] or 0
     iso = cutoff.isoformat() if cutoff is not None else "n/a"
     if n_common == 0:
         return spark.createDataFrame(
             [(cutoff, 0, 0.0, f"No overlapping customers found across split at {iso}")],
             "cutoff date, common_customers long, psi double, message string",
         )
-    psi = psi_of_pairs(common, "ref_monetary", "cur_monetary", bins, approx)
-    return psi.select(
+    return psi_rows(running, bins).select(
         F.lit(cutoff).alias("cutoff"),
         F.lit(n_common).cast("bigint").alias("common_customers"),
         F.col("psi"),
@@ -213,57 +144,24 @@ def stress_test_psi(customers: DataFrame, col: str = "monetary", factor: float =
     return psi_of_pairs(pairs, "ref_value", "cur_value", bins)
 
 
-def ks_statistics(reference: DataFrame, current: DataFrame, columns: list[str], num_ranges: int | None = None) -> DataFrame:
-    """M26 numeric part: two-sample Kolmogorov-Smirnov D per column.
+def _report_rows(values: DataFrame, statistic: str, threshold: float | None) -> DataFrame:
+    rows = values.select("column", F.lit("numeric").alias("kind"), F.lit(statistic).alias("statistic"), "value")
+    return rows if threshold is None else rows.withColumn("drifted", F.coalesce(F.col("value") > F.lit(threshold), F.lit(False)))
 
-    ``D = max_x |F_ref(x) - F_cur(x)|`` from one global ordered pass over the
-    unpivoted (column, value) pairs: reference rows weigh ``n_cur``, current
-    rows ``-n_ref`` (exact integers), so the running sum at the last row of each
-    value is ``n_ref * n_cur * (F_ref - F_cur)``.
-    """
 
-    def long(df, side):
-        return df.select(
-            F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("kv"),
-        ).select("kv.column", "kv.value", F.lit(side).alias("side")).where(F.col("value").isNotNull())
-
-    both = long(reference, "ref").unionByName(long(current, "cur"))
-    sizes = both.groupBy("column").agg(F.count_if(F.col("side") == "ref").alias("n_ref"), F.count_if(F.col("side") == "cur").alias("n_cur"))
-    weighted = (
-        both.join(F.broadcast(sizes), "column")
-        .withColumn("w", F.when(F.col("side") == "ref", F.col("n_cur")).otherwise(-F.col("n_ref")))
-        .groupBy("column", "value")
-        .agg(F.sum("w").alias("w"), F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"))
-    )
-    ordered = with_global_order(
-        weighted, [F.col("column").asc(), F.col("value").asc()], row_number_col=None, sum_of=F.col("w"), running_sum_col="cum", num_ranges=num_ranges
-    )
-    # running sum restarts per column: subtract the total of earlier columns
-    col_tot = weighted.groupBy("column").agg(F.sum("w").alias("tot"))
-    before = Window.orderBy("column").rowsBetween(Window.unboundedPreceding, -1)
-    offs = col_tot.select("column", F.coalesce(F.sum("tot").over(before), F.lit(0)).alias("off"))
-    d = (
-        ordered.join(F.broadcast(offs), "column")
-        .groupBy("column")
-        .agg(F.max(F.abs(F.col("cum") - F.col("off"))).alias("dmax"), F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"))
-    )
-    return d.select(
-        "column",
-        F.lit("numeric").alias("kind"),
-        F.lit("ks").alias("statistic"),
-        (F.col("dmax").cast("double") / (F.col("n_ref").cast("double") * F.col("n_cur").cast("double"))).alias("value"),
-    )
+def ks_statistics(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
+    """M26 numeric part: two-sample Kolmogorov-Smirnov D = max |F_ref(x) - F_cur(x)| per column,
+    from integer products of running counts; null where a side has no value."""
+
+    return _report_rows(vc.ks_distance(vc.running_counts(vc.value_counts(reference, current, columns))), "ks", None)
 
 
-def psi_report(reference: DataFrame, current: DataFrame, columns: list[str], bins: int = 10, threshold: float = 0.2) -> DataFrame:
-    """M26 PSI rows (column, kind, statistic, value, drifted) for numeric columns."""
+def numeric_drift(reference: DataFrame, current: DataFrame, columns: list[str], bins: int = 10, psi_threshold: float = 0.2, ks_threshold: float = 0.1) -> DataFrame:
+    """M26 PSI and KS rows (column, kind, statistic, value, drifted), both from one set of running counts."""
 
-    spark = reference.sparkSession
-    rows = []
-    for c in columns:  # one small aggregate per column; breakpoints differ per column
-        rows.append((c, "numeric", "psi", float(calculate_psi(reference, current, c, c, bins))))
-    df = spark.createDataFrame(rows, "column string, kind string, statistic string, value double")
-    return df.withColumn("drifted", F.col("value") > F.lit(threshold))
+    running = vc.running_counts(vc.value_counts(reference, current, columns))
+    psi = _report_rows(psi_rows(running, bins).withColumnRenamed("psi", "value"), "psi", psi_threshold)
+    return psi.unionByName(_report_rows(vc.ks_distance(running), "ks", ks_threshold))
 
 
 def categorical_drift(reference: DataFrame, current: DataFrame, columns: list[str], threshold: float = 0.1) -> DataFrame:
@@ -292,15 +190,8 @@ def categorical_drift(reference: DataFrame, current: DataFrame, columns: list[st
 def dataset_drift_report(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str] = (), ks_threshold: float = 0.1) -> DataFrame:
     """One table (column, kind, statistic, value, drifted) replacing the HTML report."""
 
-    parts = [psi_report(reference, current, numeric)]
-    ks = ks_statistics(reference, current, numeric).withColumn("drifted", F.col("value") > F.lit(ks_threshold))
-    parts.append(ks)
-    if categorical:
-        parts.append(categorical_drift(reference, current, list(categorical)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    report = numeric_drift(reference, current, numeric, ks_threshold=ks_threshold)
+    return report.unionByName(categorical_drift(reference, current, list(categorical))) if categorical else report
 
 
 def threshold_status(metrics: DataFrame) -> DataFrame:

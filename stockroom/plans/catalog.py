@@ -71,7 +71,7 @@ def a2_w3_customer_features(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- dashboard aggregates and scalar rules (A7-A13, P1-P10, P24, T2, T4, U2, U3) -----
 
-from stockroom.functions import scalar  # noqa: E402
+from stockroom.functions import scalar, value_counts  # noqa: E402
 from stockroom.operators import dashboard  # noqa: E402
 from stockroom.sources.tables import table  # noqa: E402
 
@@ -868,16 +868,14 @@ def p23_retrain_decision(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("psi", "mape", "should_retrain", F.array_join("reasons", "; ").alias("reasons_text"))
 
 
-@register("m26_drift_report")
+@register("m26_drift_report", sql.with_tx(sql.drift_report_sql(["quantity", "unit_price", "discount_pct"], ["channel", "region"])))
 def m26_drift_report(spark: SparkSession, sf: str) -> DataFrame:
     """M26 on the two halves of the history (split at the median transaction date)."""
 
     tx = transactions(spark, sf)
-    cutoff = drift.median_transaction_date(tx)
-    from stockroom.operators import dashboard as _d
-
-    ref, cur = _d.time_split(tx, cutoff)
-    return drift.dataset_drift_report(ref, cur, ["quantity", "unit_price", "discount_pct"], ["channel", "region"])
+    ref, cur = dashboard.time_split(tx, drift.median_transaction_date(tx))
+    report = drift.dataset_drift_report(ref, cur, ["quantity", "unit_price", "discount_pct"], ["channel", "region"])
+    return report.withColumn("value", F.round("value", 10))
 
 
 @register(
@@ -959,10 +957,6 @@ def a16_a17_monetary_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """A16 + A17: decile breakpoints of customer monetary value and the histogram on them."""
 
     cf = features.customer_features(transactions(spark, sf))
-    bps = drift.quantile_breakpoints(cf, "monetary")
-    b = drift.bin_index(F.col("monetary"), bps)
-    edges = spark.createDataFrame([(i, float(bps[i]), float(bps[i + 1])) for i in range(len(bps) - 1)], "bin int, lower double, upper double")
-    counts = cf.where(b.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("customers"))
-    return F.broadcast(edges).join(counts, "bin", "left").select(
-        "bin", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), F.coalesce("customers", F.lit(0)).cast("bigint").alias("customers")
-    )
+    running = value_counts.running_counts(value_counts.paired_value_counts(cf, {"monetary": ("monetary", "monetary")}))
+    bins = value_counts.histogram(running, value_counts.breakpoints(running))
+    return bins.select("bin", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), F.col("ref").alias("customers"))

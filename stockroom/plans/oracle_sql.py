@@ -282,6 +282,26 @@ mm AS (SELECT round(avg(mape), 10) AS mape FROM mp),
 pm AS (SELECT psi, mape FROM psi_value, mm)"""
 
 
+def drift_report_sql(numeric: list[str], categorical: list[str]) -> str:
+    """M26 rows (column, kind, statistic, value, drifted) of the two halves of the history."""
+
+    ctes, selects = [], []
+    for c in numeric:
+        ctes.append(f"""pairs_{c} AS (SELECT CASE WHEN date <= cutoff THEN CAST({c} AS DOUBLE) END AS r, CASE WHEN date > cutoff THEN CAST({c} AS DOUBLE) END AS c FROM transactions, cut),
+{psi_ctes(f'pairs_{c}', 'r', 'c', p=f'{c}_')},
+{c}_n AS (SELECT count(r) AS nr, count(c) AS nc FROM pairs_{c}),
+{c}_w AS (SELECT v, sum(r * nc) - sum(c * nr) AS w FROM (SELECT r AS v, 1 AS r, 0 AS c FROM pairs_{c} WHERE r IS NOT NULL UNION ALL SELECT c AS v, 0 AS r, 1 AS c FROM pairs_{c} WHERE c IS NOT NULL), {c}_n GROUP BY v),
+{c}_ks AS (SELECT CAST(max(abs(d)) AS DOUBLE) AS d FROM (SELECT sum(w) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS d FROM {c}_w))""")
+        selects.append(f"""SELECT '{c}' AS "column", 'numeric' AS kind, 'psi' AS statistic, psi AS value, psi > 0.2 AS drifted FROM {c}_value""")
+        selects.append(f"""SELECT '{c}' AS "column", 'numeric' AS kind, 'ks' AS statistic, round(d / (CAST(nr AS DOUBLE) * CAST(nc AS DOUBLE)), 10) AS value, d / (CAST(nr AS DOUBLE) * CAST(nc AS DOUBLE)) > 0.1 AS drifted FROM {c}_ks, {c}_n""")
+    for c in categorical:
+        ctes.append(f"""{c}_s AS (SELECT {c} AS k, CAST(count(*) FILTER (WHERE date <= cutoff) AS DOUBLE) AS r, CAST(count(*) FILTER (WHERE date > cutoff) AS DOUBLE) AS c FROM transactions, cut WHERE {c} IS NOT NULL GROUP BY {c}),
+{c}_p AS (SELECT r / sum(r) OVER () AS p, c / sum(c) OVER () AS q FROM {c}_s),
+{c}_js AS (SELECT sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) / 2 ELSE 0.0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) / 2 ELSE 0.0 END) AS d FROM {c}_p)""")
+        selects.append(f"""SELECT '{c}' AS "column", 'categorical' AS kind, 'jensen_shannon' AS statistic, round(d, 10) AS value, d > 0.1 AS drifted FROM {c}_js""")
+    return f", {median_date_cte()}, " + ", ".join(ctes) + "\n" + " UNION ALL ".join(selects)
+
+
 FEATURE_COLUMNS = ["frequency", "monetary", "avg_order_value", "avg_discount", "recency", "rfm_score", "tenure_days", "purchase_velocity", "monetary_per_visit"]
 
 
