@@ -5,8 +5,8 @@ lags and calendar flags.  All window columns share one partition/order spec,
 so Spark plans a single shuffle + sort for the whole set.
 
 ``customer_features``: one row per customer (RFM, tenure, velocity, one-hot
-region/channel).  The quartile scores need global ranks; they use the
-range-parallel ``with_global_order`` instead of a single-partition window.
+region/channel).  The quartile scores compare with the customers at three ranks of
+each order, found by histogram refinement; nothing is sorted.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stockroom.functions.ordered import quartile_score, with_global_order
 from stockroom.functions.scalar import calendar_columns, one_hot, per_clipped
-from stockroom.session import checked_broadcast, checkpointed
+from stockroom.functions.selection import select_ranks
+from stockroom.session import ScratchTable, checked_broadcast
 from stockroom.sources.tables import tie_columns
 
 ROLLING_WINDOWS = (7, 14, 30)
@@ -179,27 +179,37 @@ def _vocabulary(df: DataFrame, col: str) -> list[str]:
     return sorted(r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().collect())
 
 
-def rfm_scores(customers: DataFrame, num_ranges: int | None = None) -> DataFrame:
-    """Recency (descending), frequency and monetary (ascending) quartile scores.
+def rfm_scores(customers: DataFrame) -> DataFrame:
+    """Add ``rfm_score``, the sum of the recency (descending), frequency and monetary quartile scores.
 
     ``rank(method='first', pct=True)`` cut at quartiles = ``ceil(4*rn/n)`` with
-    ties in customer_id order; each rank is an exact range-parallel row number.
-    The three rankings run on a narrow (id + three keys) frame; the scores are
-    joined back to the wide customer frame once.
+    ties in customer_id order.  Only the customers at three ranks of each order are
+    looked for (``functions/selection.py``); every other customer compares with them.
     """
 
-    keys = customers.select("customer_id", "recency", "frequency", "monetary_exact")
-    for name, order in (
-        ("recency_score", F.col("recency").desc()),
-        ("frequency_score", F.col("frequency").asc()),
-        ("monetary_score", F.col("monetary_exact").asc()),
-    ):
-        keys = with_global_order(keys, [order, F.col("customer_id").asc()], row_number_col="__rn", count_col="__n", num_ranges=num_ranges)
-        keys = keys.withColumn(name, quartile_score(F.col("__rn"), F.col("__n"))).drop("__rn", "__n")
-    scores = keys.select(
-        "customer_id", (F.col("recency_score") + F.col("frequency_score") + F.col("monetary_score")).alias("rfm_score")
-    )
-    return customers.join(scores, "customer_id")
+    n = customers.count()
+    ranks = [quarter * n // 4 for quarter in (1, 2, 3)]
+    orders = {
+        "recency": F.coalesce(-F.col("recency"), F.lit(1)),  # recent last, unknown after them
+        "frequency": F.col("frequency"),
+        "monetary": F.col("monetary_exact"),
+    }
+    cuts = select_ranks(customers, orders, "customer_id", dict.fromkeys(orders, ranks), n)
+
+    def score(name: str) -> Column:
+        """1 plus the cuts a customer stands behind; a cut at rank 0 lies before all."""
+
+        total = F.lit(1)
+        for rank in ranks:
+            if rank == 0:
+                total = total + 1
+            else:
+                value, last = map(F.lit, cuts[name, rank])
+                behind = (orders[name] > value) | ((orders[name] == value) & (F.col("customer_id") > last))
+                total = total + behind.cast("int")
+        return total
+
+    return customers.withColumn("rfm_score", score("recency") + score("frequency") + score("monetary"))
 
 
 def customer_features(
@@ -208,15 +218,14 @@ def customer_features(
     channels: list[str] | None = None,
     last_by: str = "sku",
     snapshot: _dt.date | None = None,
-    num_ranges: int | None = None,
 ) -> DataFrame:
     """The per-customer feature table.
 
-    The rollup is checkpointed once (it feeds the snapshot scalar, three global
-    ranks and the vocabularies), so the fact table is scanned and shuffled once.
+    The rollup is written once (it feeds the snapshot scalar, the quartile cuts
+    and the vocabularies), so the fact table is scanned and shuffled once.
     """
 
-    cust = checkpointed(customer_rollup(tx, last_by))
+    cust = ScratchTable(customer_rollup(tx, last_by), "customer-rollup").df
     snap = snapshot or snapshot_date(cust)
     snap_lit = F.lit(snap)
     cust = cust.withColumns(
@@ -225,7 +234,7 @@ def customer_features(
             "tenure_days": F.datediff(snap_lit, F.col("first_purchase")),
         }
     )
-    scored = rfm_scores(cust, num_ranges)
+    scored = rfm_scores(cust)
     regions = regions if regions is not None else _vocabulary(cust, "region")
     channels = channels if channels is not None else _vocabulary(cust, "preferred_channel")
     dummies = {**one_hot(F.col("region"), regions, "region"), **one_hot(F.col("preferred_channel"), channels, "preferred_channel")}
