@@ -9,8 +9,9 @@
   on [base scores + features] (passthrough).
 * M9: batch scoring of every customer plus retention actions; AUC when labels
   are present (null when only one class is present).
-* M10: linear SHAP on the meta learner (``coef * (x - mean)``), averaged in
-  absolute value over *all* rows in one aggregate.
+* M10: ``operators/tree_shapley.py`` explains the whole stack by exact Shapley
+  values; ``explain`` here is the linear part on the meta learner's own inputs
+  (``coef * (x - mean)``), averaged in absolute value over *all* rows in one aggregate.
 * A18: exact ROC AUC by the rank (Mann-Whitney) form with average ranks for
   ties, using integer counts per distinct score.
 """

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stockroom.operators import inventory
 from stockroom.plans import oracle_sql as sql
-from stockroom.session import ScratchTable
+from stockroom.session import ScratchTable, scratch_path
 from stockroom.sources.tables import transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -610,7 +610,8 @@ def k3_silver_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- churn and segmentation (M7-M17, A18, P18, T3) --------------------------------------
 
-from stockroom.operators import churn, segment  # noqa: E402
+from stockroom.operators import churn, segment, tree_shapley  # noqa: E402
+from stockroom.sinks import model_store  # noqa: E402
 
 
 def _cf(spark: SparkSession, sf: str) -> DataFrame:
@@ -677,7 +678,25 @@ def m9_validation_auc(spark: SparkSession, sf: str) -> DataFrame:
 @register("m10_churn_explanation")
 def m10_churn_explanation(spark: SparkSession, sf: str) -> DataFrame:
     cf, _, model = _churn_model(spark, sf)
-    return churn.explain(model, cf)
+    return tree_shapley.explain(model, cf)
+
+
+@register("m10_customer_contributions")
+def m10_customer_contributions(spark: SparkSession, sf: str) -> DataFrame:
+    """M10 by customer and feature: what moves each customer's log-odds from the base."""
+
+    cf, _, model = _churn_model(spark, sf)
+    rows = tree_shapley.churn_contributions(model, cf)
+    names = F.array(*map(F.lit, model.features))
+    return rows.select("customer_id", "log_odds", "base_log_odds", F.inline(F.arrays_zip(names.alias("feature"), F.col("contributions").alias("contribution"))))
+
+
+@register("k8_reloaded_churn_scores")
+def k8_reloaded_churn_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """K8: scores of every customer by the stacked model after a round trip through the model store."""
+
+    cf, _, model = _churn_model(spark, sf)
+    return churn.predict(model_store.load(model_store.save(model, scratch_path(spark, "churn-model"))), cf)
 
 
 @register("t3_retention_radar")

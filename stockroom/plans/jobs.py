@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stockroom.operators import churn, drift, features, forecast, inventory, pricing, segment, validation
 from stockroom.session import checkpointed
-from stockroom.sinks import writers
+from stockroom.sinks import model_store, writers
 from stockroom.sources.tables import transactions
 
 
@@ -54,9 +54,7 @@ def run_training_job(
     model = churn.fit_stacked(split.where(~F.col("is_valid")).drop("is_valid"), max_iter=churn_iters, folds=churn_folds)
     valid_scores = churn.predict(model, split.where(F.col("is_valid")).drop("is_valid"))
     auc = churn.roc_auc(valid_scores, score="churn_probability").first()["auc"]
-    for b, m in enumerate(model.base_models):
-        writers.save_model(m, f"{out}/models/churn_base_{b}")
-    writers.save_model(model.meta, f"{out}/models/churn_meta")
+    outputs["churn_model"] = model_store.save(model, f"{out}/models/churn")
 
     seg = segment.segment_customers(cf, ks=segment_ks)
     outputs["segment_profile"] = writers.write_result(seg["profile"], f"{out}/segments/profile")

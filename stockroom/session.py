@@ -69,6 +69,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder."""
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+def forget_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reaches; nothing happens where there is none."""
+
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class ScratchTable:
     """A DataFrame written as Parquet under the shared checkpoint folder and read back.
 
@@ -78,14 +91,12 @@ class ScratchTable:
 
     def __init__(self, df: DataFrame, name: str):
         spark = df.sparkSession
-        self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+        self.path = scratch_path(spark, name)
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        spark = self.df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        forget_folder(self.df.sparkSession, self.path)
 
 
 _SIZE_PROOFS: dict = {}

@@ -180,8 +180,8 @@ def save_model(model, path: str) -> str:
 
 
 def load_model(path: str):
-    """K8: load a saved ``PipelineModel`` (falls back to the generic loader)."""
+    """K8: load a saved ML model or pipeline, whatever its class (``model_store`` also keeps a manifest)."""
 
-    from pyspark.ml import PipelineModel
+    from pyspark.ml.util import DefaultParamsReader
 
-    return PipelineModel.load(path)
+    return DefaultParamsReader.loadParamsInstance(path, SparkSession.active())
