@@ -51,6 +51,37 @@ def ols(df: DataFrame, y: str, xs: list[str], ridge: float = 0.0) -> dict[str, f
     return {"intercept": float(beta[0]), **{x: float(b) for x, b in zip(xs, beta[1:])}}
 
 
+def gram_matrices(df: DataFrame, columns: list[str], by: Column | None = None) -> dict:
+    """{group: matrix} of sums of products of (1, *columns) over rows without a null in them.
+
+    One aggregate for all groups; ``by`` has few values, since a matrix a group reaches the driver.
+    """
+
+    cells = [F.lit(1.0), *(F.col(c).cast("double") for c in columns)]
+    places = [(i, j) for i in range(len(cells)) for j in range(i, len(cells))]
+    group = F.lit(0) if by is None else by
+    whole = df.dropna(subset=columns).groupBy(group.alias("group"))
+    out = {}
+    for row in whole.agg(*(F.sum(cells[i] * cells[j]).alias(f"g{i}_{j}") for i, j in places)).collect():
+        matrix = np.zeros((len(cells), len(cells)))
+        for i, j in places:
+            matrix[i, j] = matrix[j, i] = row[f"g{i}_{j}"]
+        out[row.group] = matrix
+    return out
+
+
+def partial_out(gram: np.ndarray, target: int, on: list[int]) -> np.ndarray:
+    """Coefficients ``c`` over all columns of the matrix such that the residual of ``target`` after
+    least squares on ``on`` is the sum of ``c`` times the columns."""
+
+    scale = np.sqrt(np.maximum(np.diag(gram)[on], np.finfo(float).tiny))
+    inner = gram[np.ix_(on, on)] / scale[:, None] / scale
+    out = np.zeros(len(gram))
+    out[on] = -np.linalg.lstsq(inner, gram[on, target] / scale, rcond=None)[0] / scale
+    out[target] += 1.0
+    return out
+
+
 def grouped_ols(df: DataFrame, keys: list[str], y: str, xs: list[str], ridge: float = 0.0) -> DataFrame:
     """OLS per group: one aggregate of moments, then a per-group solve.
 

@@ -7,8 +7,8 @@ series length (one row per calendar day), never by the fact table.
 * M1 seasonal naive (the path the reference ships): the last 14 values,
   repeated cyclically over the horizon.
 * M3 seasonal regression: per series, ridge OLS of ``log1p(y)`` on trend,
-  weekly and yearly Fourier terms and the regressors, via ``applyInPandas``
-  (NumPy); forecast = ``expm1``, clipped at 0.
+  weekly and yearly Fourier terms and the regressors, solved from one row of sums
+  of products per series; forecast = ``expm1``, clipped at 0.
 * M4 residual learner: one global linear autoregression on 14-lag windows of
   the M3 in-sample residuals (Spark ML), rolled out h steps with ``aggregate``.
   (The reference trains its residual net on raw quantity and adds it to the
@@ -19,11 +19,15 @@ series length (one row per calendar day), never by the fact table.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockroom.session import ScratchTable, checked_broadcast
+
 KEYS = ["sku", "region"]
 SEASON = 14
 EPS = float(np.finfo(np.float64).eps)
@@ -146,56 +150,84 @@ def sequence_windows(ts: DataFrame, length: int = SEASON, value: str = "quantity
 REGRESSORS = ["avg_price", "weather_index", "promotion_flag", "is_holiday"]
 
 
-def _design(day: np.ndarray, reg: np.ndarray, t0: float, scale: float) -> np.ndarray:
-    t = (day - t0) / scale
-    cols = [np.ones_like(t), t]
-    for k in (1, 2, 3):
-        cols += [np.sin(2 * np.pi * k * day / 7.0), np.cos(2 * np.pi * k * day / 7.0)]
-    for k in (1, 2):
-        cols += [np.sin(2 * np.pi * k * day / 365.25), np.cos(2 * np.pi * k * day / 365.25)]
-    return np.column_stack(cols + [reg])
+def _terms(regressors: list[str], weekly: int, yearly: int) -> list[tuple[Column, bool]]:
+    """(design column, whether it is a regressor) after the intercept; the first one is the day."""
+
+    day = F.col("day").cast("double")
+    waves = [(k, 7.0) for k in range(1, weekly + 1)] + [(k, 365.25) for k in range(1, yearly + 1)]
+    seasons = [wave(day * F.lit(2 * math.pi * k / period)) for k, period in waves for wave in (F.sin, F.cos)]
+    return [(day, False), *((c, False) for c in seasons), *((F.coalesce(F.col(c), F.lit(0.0)), True) for c in regressors)]
+
 
+def series_coefficients(hist: DataFrame, terms: list[tuple[Column, bool]], ridge: float, keys=KEYS) -> DataFrame:
+    """(keys, coefficients): ridge fit of ``y`` on 1 and ``terms`` per series.
 
-def seasonal_regression(ts: DataFrame, horizon: int = 30, ridge: float = 1.0, keys=KEYS) -> DataFrame:
+    A series is one row of sums of products (partial sums per task, so a long one spans
+    tasks); all its fits are solved from them in batches.  The penalty is on the day scaled to 0..1 and
+    on standardised regressors, as sums of products can be rescaled: with columns x = T z it is
+    the same fit, so coefficients come back for the columns as they are.
+    """
+
+    cells = [F.lit(1.0), *(c for c, _ in terms), F.col("y")]
+    size = len(terms) + 1
+    places = [(i, j) for i in range(size) for j in range(i, size + 1)]
+    sums = hist.groupBy(*keys).agg(F.array(*(F.sum(cells[i] * cells[j]) for i, j in places)).alias("sums"), F.min("day").cast("double").alias("first"), F.max("day").cast("double").alias("last"))
+    regressor = [n + 1 for n, (_, is_regressor) in enumerate(terms) if is_regressor]
+
+    def solve(batches):
+        for batch in batches:
+            flat = np.array(batch.column("sums").flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)
+            first, last = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("first", "last"))
+            gram, target = np.zeros((len(flat), size, size)), np.zeros((len(flat), size))
+            for n, (i, j) in enumerate(places):
+                if j == size:
+                    target[:, i] = flat[:, n]
+                else:
+                    gram[:, i, j] = gram[:, j, i] = flat[:, n]
+            # z = (x - shift) / spread, written as rows of T over (1, x)
+            shift, spread = np.zeros((len(flat), size)), np.ones((len(flat), size))
+            shift[:, 1], spread[:, 1] = first, np.maximum(last - first, 1.0)
+            for n in regressor:
+                shift[:, n] = gram[:, 0, n] / gram[:, 0, 0]
+                variance = gram[:, n, n] / gram[:, 0, 0] - shift[:, n] ** 2
+                spread[:, n] = np.where(variance > 1e-12 * np.maximum(1.0, shift[:, n] ** 2), np.sqrt(np.maximum(variance, 0)), 1.0)
+            to_z = np.zeros_like(gram)
+            diagonal = np.arange(1, size)
+            to_z[:, 0, 0] = 1.0
+            to_z[:, diagonal, diagonal] = 1 / spread[:, 1:]
+            to_z[:, 1:, 0] = -shift[:, 1:] / spread[:, 1:]
+            inner = to_z @ gram @ to_z.transpose(0, 2, 1)
+            inner[:, diagonal, diagonal] += ridge
+            right = (to_z @ target[:, :, None])
+            # a series too short for its terms has a singular matrix without a penalty: least norm
+            beta = np.linalg.pinv(inner, hermitian=True) @ right
+            found = (to_z.transpose(0, 2, 1) @ beta)[:, :, 0]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(list(found), pa.list_(pa.float64()))], names=[*keys, "coefficients"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in hist.schema.fields}
+    return sums.mapInArrow(solve, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", coefficients array<double>")
+
+
+def seasonal_regression(ts: DataFrame, horizon: int = 30, ridge: float = 1.0, keys=KEYS, regressors=REGRESSORS, weekly: int = 3, yearly: int = 2) -> DataFrame:
     """M3: fitted values for the history and forecasts for the horizon, per series.
 
-    Output: keys, date, kind ('fit' | 'forecast'), quantity (history only), yhat.
-    The grouped frame holds one row per day of one series (history plus the
-    ``horizon`` future rows), so each task's memory is bounded by series length.
+    log(1 + quantity) on a trend, ``weekly`` and ``yearly`` pairs of waves and the regressors (null: 0).
+    Output: keys, date, kind ('fit' | 'forecast'), quantity (history only), yhat (0 at least; null
+    where a series has no quantity at all).
     """
 
-    hist = ts.select(*keys, "date", F.col("quantity").cast("double").alias("quantity"), *[F.col(c).cast("double").alias(c) for c in REGRESSORS])
-    fut = future_frame(ts, horizon, keys).select(
-        *keys, "date", F.lit(None).cast("double").alias("quantity"), *[F.col(c).cast("double").alias(c) for c in REGRESSORS]
-    )
+    keys, regressors = list(keys), list(regressors)
+    columns = [F.col(c).cast("double").alias(c) for c in regressors]
+    hist = ts.select(*keys, "date", F.col("quantity").cast("double").alias("quantity"), *columns)
+    fut = future_frame(ts, horizon, keys).select(*keys, "date", F.lit(None).cast("double").alias("quantity"), *columns)
     both = hist.unionByName(fut).withColumn("day", F.datediff("date", F.lit("1970-01-01")).cast("double"))
-    key_types = {f.name: f.dataType.simpleString() for f in ts.schema.fields if f.name in keys}
-    schema = ", ".join([f"{k} {key_types[k]}" for k in keys] + ["date date", "kind string", "quantity double", "yhat double"])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        known = pdf["quantity"].notna().to_numpy()
-        day = pdf["day"].to_numpy()
-        reg = pdf[REGRESSORS].fillna(0.0).to_numpy()
-        t0 = day[known].min() if known.any() else day.min()
-        scale = max(day[known].max() - t0, 1.0) if known.any() else 1.0
-        # standardise regressors on the history so the ridge penalty is scale-free
-        mu = reg[known].mean(axis=0) if known.any() else np.zeros(reg.shape[1])
-        sd = reg[known].std(axis=0) if known.any() else np.ones(reg.shape[1])
-        sd[sd == 0] = 1.0
-        x = _design(day, (reg - mu) / sd, t0, scale)
-        y = np.log1p(np.clip(pdf["quantity"].to_numpy()[known], 0, None))
-        xk = x[known]
-        pen = ridge * np.eye(x.shape[1])
-        pen[0, 0] = 0.0
-        beta = np.linalg.solve(xk.T @ xk + pen, xk.T @ y) if known.any() else np.zeros(x.shape[1])
-        yhat = np.clip(np.expm1(x @ beta), 0, None)
-        out = pdf[keys + ["date", "quantity"]].copy()
-        out["kind"] = np.where(known, "fit", "forecast")
-        out["yhat"] = yhat
-        return out[keys + ["date", "kind", "quantity", "yhat"]]
-
-    return both.groupBy(*keys).applyInPandas(fit, schema)
+    terms = _terms(regressors, weekly, yearly)
+    known = both.where("quantity is not null").withColumn("y", F.log1p(F.greatest("quantity", F.lit(0.0))))
+    fits = checked_broadcast(ScratchTable(series_coefficients(known, terms, ridge, keys), "series-fits").df)
+    fitted = F.col("coefficients")[0] + sum(F.col("coefficients")[n + 1] * c for n, (c, _) in enumerate(terms))
+    yhat = F.greatest(F.expm1(fitted), F.lit(0.0))
+    kind = F.when(F.col("quantity").isNotNull(), "fit").otherwise("forecast")
+    return both.join(fits, keys, "left").select(*keys, "date", kind.alias("kind"), "quantity", F.when(F.col("coefficients").isNotNull(), yhat).alias("yhat"))
 
 
 # ---- M4: global residual autoregression --------------------------------------------------
@@ -206,22 +238,22 @@ def residual_hybrid(ts: DataFrame, horizon: int = 30, lags: int = SEASON, keys=K
     Training samples are 14-lag windows of in-sample residuals from every
     series (W10), fitted by ``pyspark.ml`` LinearRegression (distributed).  The
     roll-out is a SQL ``aggregate`` over ``sequence(1, h)`` carrying the last
-    14 residuals, so it runs per row in the JVM.
+    14 residuals, so it runs per row in the JVM.  ``residual_used`` is false where
+    a series has fewer residuals than that, or no series has a window: there the forecast is M3's.
     """
 
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
     m3 = seasonal_regression(ts, horizon, keys=keys)
-    from stockroom.session import checkpointed
-
-    m3 = checkpointed(m3)
+    m3 = ScratchTable(m3, "series-regression").df
     resid = m3.where(F.col("kind") == "fit").withColumn("resid", F.col("quantity") - F.col("yhat"))
     samples = sequence_windows(resid.withColumnRenamed("resid", "r"), lags, "r", keys)
     lag_cols = [F.col("lags")[i].alias(f"l{i}") for i in range(lags)]
     flat = samples.select(*lag_cols, F.col("target").alias("label"))
     assembler = VectorAssembler(inputCols=[f"l{i}" for i in range(lags)], outputCol="features")
-    if flat.limit(lags + 2).count() <= lags + 1:
+    learned = not flat.isEmpty()  # the penalty makes the system solvable from one window on
+    if not learned:
         coef, intercept = [0.0] * lags, 0.0
     else:
         model = LinearRegression(solver="normal", maxIter=max_iter, regParam=0.01, elasticNetParam=0.0).fit(assembler.transform(flat))
@@ -247,6 +279,7 @@ def residual_hybrid(ts: DataFrame, horizon: int = 30, lags: int = SEASON, keys=K
         *keys,
         "date",
         F.greatest(F.col("yhat") + F.coalesce(F.element_at("res_path", F.col("step")), F.lit(0.0)), F.lit(0.0)).alias("daily_forecast"),
+        (F.lit(learned) & F.col("res_path").isNotNull()).alias("residual_used"),
     )
     return rolling_path_sums(out, keys=keys)
 

@@ -4,16 +4,19 @@
   ``log1p(quantity)`` on ``log(max(price, 0.01))``, via ``regr_slope`` (one
   aggregate).  A per-sku version groups first.
 * M19 (double ML): residualise quantity and price on the confounders with
-  cross-fitted OLS (fold by a hash of the row key), then the slope of the
+  cross-fitted OLS (fold by the md5 of the row key), then the slope of the
   residuals.  Reported both as a level effect (units per currency unit, what
   the reference calls elasticity) and as an elasticity at the means.
 * M20 (backdoor): price coefficient of OLS quantity ~ price + confounders.
+  M19 and M20 read the data once: sums of products per fold give every training fit
+  (all folds less one) and the slope of the residuals.
 * M21/M22: what-if demand and the revenue-maximising price on a fixed grid of
   8 factors, for every sku at once (grid broadcast: 8 rows).
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +29,16 @@ GRID_FACTORS = [0.85 + 0.05 * i for i in range(8)]
 CONFOUNDERS = ["promotion_flag", "weather_index", "is_holiday"]
 
 
+PRICE_COLUMNS = ("unit_price", "avg_price")
+
+
 def resolve_price_column(df: DataFrame) -> str:
-    """``unit_price`` if present, else ``avg_price``."""
+    """The first of ``PRICE_COLUMNS`` that ``df`` has."""
 
-    for c in ("unit_price", "avg_price"):
-        if c in df.columns:
-            return c
-    raise KeyError("Expected one of ['unit_price', 'avg_price'] in pricing features")
+    found = next(filter(df.columns.__contains__, PRICE_COLUMNS), None)
+    if found is None:
+        raise KeyError(f"no price column: {' or '.join(PRICE_COLUMNS)} is needed, got {df.columns}")
+    return found
 
 
 def elasticity_loglog(ts: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -45,46 +51,54 @@ def elasticity_loglog(ts: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def _fold(key_cols: list[str], folds: int, seed: int):
-    return F.pmod(F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed)), F.lit(folds))
+    key = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in key_cols), F.lit(str(seed))))
+    return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
+
+
+def _effect(spark, slope: float | None, total) -> DataFrame:
+    """One row: level effect, means of price and quantity, elasticity at the means."""
+
+    n, price, quantity = (float(total[0, j]) for j in (0, -2, -1)) if total is not None else (0.0, 0.0, 0.0)
+    means = (price / n, quantity / n) if n else (None, None)
+    at_means = slope * means[0] / means[1] if slope is not None and means[1] else None
+    return spark.createDataFrame([(slope, *means, at_means)], "level_effect double, mean_price double, mean_quantity double, price_elasticity double")
 
 
 def elasticity_dml(ts: DataFrame, confounders: list[str] | None = None, key_cols=("date", "sku", "region"), folds: int = 2, seed: int = 42) -> DataFrame:
-    """Partialling-out estimate with K-fold cross-fitting (OLS nuisance models)."""
+    """Partialling-out estimate with K-fold cross-fitting (OLS nuisance models).
+
+    Rows with a null in a used column are left out; without variation of the price residual the effect is null.
+    """
 
-    price = resolve_price_column(ts)
     xs = [c for c in (confounders or CONFOUNDERS) if c in ts.columns]
-    df = ts.withColumn("__fold", _fold(list(key_cols), folds, seed)).withColumn("__q", F.col("quantity").cast("double")).withColumn(
-        "__p", F.col(price).cast("double")
-    )
-    res_q = None
-    res_p = None
-    for k in range(folds):
-        train = df.where(F.col("__fold") != k)
-        bq = _ols.ols(train, "__q", xs)
-        bp = _ols.ols(train, "__p", xs)
-        rq = F.col("__q") - _ols.predict(bq, xs)
-        rp = F.col("__p") - _ols.predict(bp, xs)
-        res_q = F.when(F.col("__fold") == k, rq) if res_q is None else res_q.when(F.col("__fold") == k, rq)
-        res_p = F.when(F.col("__fold") == k, rp) if res_p is None else res_p.when(F.col("__fold") == k, rp)
-    out = df.select(res_q.alias("rq"), res_p.alias("rp"), "__q", "__p").agg(
-        F.regr_slope("rq", "rp").alias("level_effect"), F.avg("__p").alias("mean_price"), F.avg("__q").alias("mean_quantity")
-    )
-    return out.withColumn("price_elasticity", F.col("level_effect") * F.col("mean_price") / F.col("mean_quantity"))
+    grams = _ols.gram_matrices(ts, [*xs, resolve_price_column(ts), "quantity"], _fold(list(key_cols), folds, seed))
+    if not grams:
+        return _effect(ts.sparkSession, None, None)
+    total = sum(grams.values())
+    on, price, quantity = list(range(1 + len(xs))), len(total) - 2, len(total) - 1
+    sums = 0.0  # sums of products of (1, price residual, quantity residual) over held-out folds
+    for held in grams.values():
+        train = total - held
+        rows = np.zeros((3, len(total)))
+        rows[0, 0] = 1.0
+        rows[1], rows[2] = (_ols.partial_out(train, target, on) for target in (price, quantity))
+        sums = sums + rows @ held @ rows.T
+    spread = sums[1, 1] - sums[0, 1] ** 2 / sums[0, 0]
+    slope = (sums[1, 2] - sums[0, 1] * sums[0, 2] / sums[0, 0]) / spread if spread > 0 else None
+    return _effect(ts.sparkSession, None if slope is None else float(slope), total)
 
 
 def elasticity_backdoor(ts: DataFrame, confounders: list[str] | None = None) -> DataFrame:
-    """Coefficient of price in OLS quantity ~ price + confounders (level effect)."""
+    """Coefficient of price in OLS quantity ~ price + confounders (level effect); nulls as in M19."""
 
-    price = resolve_price_column(ts)
-    xs = [price] + [c for c in (confounders or CONFOUNDERS) if c in ts.columns]
-    b = _ols.ols(ts, "quantity", xs)
-    means = ts.agg(F.avg(F.col(price).cast("double")).alias("mean_price"), F.avg(F.col("quantity").cast("double")).alias("mean_quantity"))
-    return means.select(
-        F.lit(b[price]).alias("level_effect"),
-        "mean_price",
-        "mean_quantity",
-        (F.lit(b[price]) * F.col("mean_price") / F.col("mean_quantity")).alias("price_elasticity"),
-    )
+    xs = [c for c in (confounders or CONFOUNDERS) if c in ts.columns]
+    total = _ols.gram_matrices(ts, [*xs, resolve_price_column(ts), "quantity"]).get(0)
+    if total is None:
+        return _effect(ts.sparkSession, None, None)
+    rest = _ols.partial_out(total, len(total) - 2, list(range(1 + len(xs))))  # price less what the confounders tell
+    spread = float(rest @ total @ rest)
+    slope = float(rest @ total[:, -1]) / spread if spread > 0 else None
+    return _effect(ts.sparkSession, slope, total)
 
 
 def tail_baseline(ts: DataFrame, n: int = 7) -> DataFrame:
@@ -127,16 +141,19 @@ def price_grid(baseline: DataFrame, factors=GRID_FACTORS) -> DataFrame:
     )
 
 
-def what_if_grid(ts: DataFrame, elasticity) -> DataFrame:
-    """M21 over all skus x grid candidates."""
+def what_if_grid(ts: DataFrame, elasticity, factors=GRID_FACTORS) -> DataFrame:
+    """M21 over all skus x grid candidates; ``ts`` needs date, sku, region, quantity and avg_price only."""
+
+    return simulate(price_grid(tail_baseline(ts), factors), elasticity)
 
-    return simulate(price_grid(tail_baseline(ts)), elasticity)
 
+def recommend_price(ts: DataFrame, elasticity, factors=GRID_FACTORS) -> DataFrame:
+    """Per sku, the grid candidate with the highest expected revenue (first on ties, T4).
 
-def recommend_price(ts: DataFrame, elasticity) -> DataFrame:
-    """Per sku, the grid candidate with the highest expected revenue (first on ties, T4)."""
+    ``factors`` is the caller's grid, as multiples of the base price.
+    """
 
-    s = what_if_grid(ts, elasticity)
+    s = what_if_grid(ts, elasticity, factors)
     best = F.max_by(
         F.struct("candidate_price", "expected_demand", "expected_revenue", "grid_index"),
         F.struct(F.col("expected_revenue"), -F.col("grid_index")),

@@ -22,9 +22,9 @@ class ValidationError(ValueError):
 def check_required_columns(df: DataFrame, required=REQUIRED_COLUMNS) -> None:
     """V1: raise with the sorted names of missing columns (no Spark job)."""
 
-    missing = set(required) - set(df.columns)
-    if missing:
-        raise ValidationError(f"Missing required columns: {sorted(missing)}")
+    absent = sorted(c for c in required if c not in df.columns)
+    if absent:
+        raise ValidationError(f"Missing required columns: {', '.join(absent)}")
 
 
 def rule_predicates(null_fails: bool = True, not_null=NOT_NULL, non_negative=NON_NEGATIVE) -> list[tuple[str, str, Column]]:
@@ -73,7 +73,8 @@ def gate(df: DataFrame, null_fails: bool = True) -> dict:
 
     result = validate(df, null_fails)
     if not result["success"]:
-        raise ValidationError("Validation failed for transactions dataset")
+        broken = ", ".join(f"{r['rule']} of {r['column']} ({r['failed']} rows)" for r in result["results"] if not r["success"])
+        raise ValidationError(f"batch rejected: {broken}")
     return result
 
 

@@ -329,7 +329,6 @@ def w11_median_date(spark: SparkSession, sf: str) -> DataFrame:
 # --- pricing (M18-M22, J6, P11, P12, W9, T4) ------------------------------------------
 
 from stockroom.operators import pricing  # noqa: E402
-from stockroom.session import checkpointed  # noqa: E402
 
 
 def _ts(spark: SparkSession, sf: str) -> DataFrame:
@@ -370,7 +369,7 @@ _R6 = ["base_price", "candidate_price", "expected_demand", "expected_revenue"]
     ),
 )
 def m21_what_if_grid(spark: SparkSession, sf: str) -> DataFrame:
-    ts = checkpointed(_ts(spark, sf))  # materialised once; not a session cache entry other queries could hit
+    ts = ScratchTable(_daily(spark, sf).select("date", "sku", "region", "quantity", "avg_price"), "pricing-rollup").df
     s = pricing.what_if_grid(ts, _elasticity(ts))
     return s.select("sku", "grid_index", *[F.round(c, 6).alias(c) for c in _R6], "price_elasticity")
 
@@ -385,19 +384,22 @@ SELECT sku, round(base_price, 6) AS base_price, round(candidate_price, 6) AS can
     ),
 )
 def m22_recommend_price(spark: SparkSession, sf: str) -> DataFrame:
-    ts = checkpointed(_ts(spark, sf))  # materialised once; not a session cache entry other queries could hit
+    ts = ScratchTable(_daily(spark, sf).select("date", "sku", "region", "quantity", "avg_price"), "pricing-rollup").df
     r = pricing.recommend_price(ts, _elasticity(ts))
     return r.select("sku", *[F.round(c, 6).alias(c) for c in _R6], "price_elasticity")
 
 
-@register("m19_elasticity_dml")
+_EFFECT = ("level_effect", "mean_price", "mean_quantity", "price_elasticity")
+
+
+@register("m19_elasticity_dml", sql.with_tx(f", {sql.ts_features_cte()}{sql.causal_effect_sql(pricing.CONFOUNDERS, 2)}"))
 def m19_elasticity_dml(spark: SparkSession, sf: str) -> DataFrame:
-    return pricing.elasticity_dml(_ts(spark, sf))
+    return pricing.elasticity_dml(_ts(spark, sf)).select(*(F.round(c, 6).alias(c) for c in _EFFECT))
 
 
-@register("m20_elasticity_backdoor")
+@register("m20_elasticity_backdoor", sql.with_tx(f", {sql.ts_features_cte()}{sql.causal_effect_sql(pricing.CONFOUNDERS, None)}"))
 def m20_elasticity_backdoor(spark: SparkSession, sf: str) -> DataFrame:
-    return pricing.elasticity_backdoor(_ts(spark, sf))
+    return pricing.elasticity_backdoor(_ts(spark, sf)).select(*(F.round(c, 6).alias(c) for c in _EFFECT))
 
 
 # --- forecasting (M1-M6, W7-W10, A14, A15, A19, U1) -----------------------------------
@@ -498,6 +500,25 @@ def m3_seasonal_regression_forecast(spark: SparkSession, sf: str) -> DataFrame:
     return forecast.seasonal_regression(_ts(spark, sf), horizon=30).where(F.col("kind") == "forecast")
 
 
+@register(
+    "m3_trend_forecast",
+    sql.with_tx(
+        f""", {sql.daily_sql()},
+line AS (SELECT sku, region, max(date) AS last_date, regr_slope(ln(1 + quantity), datediff('day', DATE '1970-01-01', date)) AS b,
+                regr_intercept(ln(1 + quantity), datediff('day', DATE '1970-01-01', date)) AS a FROM daily GROUP BY sku, region),
+days AS (SELECT sku, region, date, 'fit' AS kind, CAST(quantity AS DOUBLE) AS quantity FROM daily
+         UNION ALL SELECT sku, region, last_date + CAST(h AS INTEGER) AS date, 'forecast' AS kind, NULL AS quantity FROM line, range(1, 31) t(h))
+SELECT d.*, round(greatest(exp(a + b * datediff('day', DATE '1970-01-01', date)) - 1, 0), 4) AS yhat
+FROM days d JOIN line l ON d.sku = l.sku AND d.region = l.region"""
+    ),
+)
+def m3_trend_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """M3 with its smallest design: the trend alone, no penalty."""
+
+    fitted = forecast.seasonal_regression(_ts(spark, sf), horizon=30, ridge=0.0, regressors=[], weekly=0, yearly=0)
+    return fitted.withColumn("yhat", F.round("yhat", 4))
+
+
 @register("m4_residual_hybrid_forecast")
 def m4_residual_hybrid_forecast(spark: SparkSession, sf: str) -> DataFrame:
     return forecast.residual_hybrid(_ts(spark, sf), horizon=30)

@@ -282,6 +282,37 @@ mm AS (SELECT round(avg(mape), 10) AS mape FROM mp),
 pm AS (SELECT psi, mape FROM psi_value, mm)"""
 
 
+def _swept(table: str, confounders: list[str], where: str) -> str:
+    """CTEs that take the mean and one confounder after another out of the rest (Gram-Schmidt);
+    sums run over rows of ``where``, the coefficients hold for all rows.  Ends in ``{table}_last(p, q)``."""
+
+    keep = [*confounders, "p", "q"]
+    means = ", ".join(f"{c} - avg({c}) FILTER (WHERE {where}) OVER () AS {c}" for c in keep)
+    ctes = [f"{table}_0 AS (SELECT fold, {means} FROM design)"]
+    for n, x in enumerate(confounders):
+        keep = keep[1:]
+        sums = ", ".join(f"{c} - {x} * coalesce(sum({c} * {x}) FILTER (WHERE {where}) OVER () / nullif(sum({x} * {x}) FILTER (WHERE {where}) OVER (), 0), 0) AS {c}" for c in keep)
+        ctes.append(f"{table}_{n + 1} AS (SELECT fold, {sums} FROM {table}_{n})")
+    ctes.append(f"{table}_last AS (SELECT fold, p, q FROM {table}_{len(confounders)})")
+    return ", ".join(ctes)
+
+
+def causal_effect_sql(confounders: list[str], folds: int | None) -> str:
+    """M20 (``folds`` None) or M19: level effect of avg_price on quantity and the elasticity at the means."""
+
+    fold = "0" if folds is None else f"CAST(('0x' || substr(md5(CAST(date AS VARCHAR) || '|' || sku || '|' || region || '|42'), 1, 8)) AS BIGINT) % {folds}"
+    columns = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in confounders)
+    parts = ["design AS (SELECT " + fold + f" AS fold, {columns}, avg_price AS p, CAST(quantity AS DOUBLE) AS q FROM ts_features)"]
+    if folds is None:
+        parts.append(_swept("all", confounders, "true"))
+        parts.append("residuals AS (SELECT p, q FROM all_last)")
+    else:
+        parts += [_swept(f"fit{k}", confounders, f"fold != {k}") for k in range(folds)]
+        parts.append("residuals AS (" + " UNION ALL ".join(f"SELECT p, q FROM fit{k}_last WHERE fold = {k}" for k in range(folds)) + ")")
+    return ", " + ", ".join(parts) + """, means AS (SELECT avg(p) AS mp, avg(q) AS mq FROM design), effect AS (SELECT regr_slope(q, p) AS b FROM residuals)
+SELECT round(b, 6) AS level_effect, round(mp, 6) AS mean_price, round(mq, 6) AS mean_quantity, round(b * mp / mq, 6) AS price_elasticity FROM effect, means"""
+
+
 def drift_report_sql(numeric: list[str], categorical: list[str]) -> str:
     """M26 rows (column, kind, statistic, value, drifted) of the two halves of the history."""
 
