@@ -78,10 +78,13 @@ def gate(df: DataFrame, null_fails: bool = True) -> dict:
     return result
 
 
-def split_valid(df: DataFrame, null_fails: bool = True) -> tuple[DataFrame, DataFrame]:
-    """V5 option: (valid rows, quarantined rows with the names of failed rules)."""
+def split_valid(df: DataFrame, null_fails: bool = True, rules: list[tuple[str, str, Column]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """V5 option: (valid rows, quarantined rows with the names of failed rules).
 
-    rules = rule_predicates(null_fails)
+    ``rules`` are those of ``rule_predicates`` for the transactions layout, or the caller's for another.
+    """
+
+    rules = rule_predicates(null_fails) if rules is None else rules
     reasons = F.array_compact(F.array(*[F.when(p, F.lit(f"{r}:{c}")) for r, c, p in rules]))
     tagged = df.withColumn("__reasons", reasons)
     valid = tagged.where(F.size("__reasons") == 0).drop("__reasons")

@@ -6,6 +6,7 @@ directly) over whole tables; nothing here subsets rows.
 
 from __future__ import annotations
 
+import datetime as _dt
 import functools
 from collections.abc import Callable
 
@@ -120,9 +121,10 @@ def a10_sku_volume_mix(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "a8_a10_grouping_sets",
     sql.with_tx(
-        """SELECT date, region, sku, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(quantity) AS BIGINT) AS quantity,
-       CASE WHEN date IS NOT NULL THEN 'date' WHEN region IS NOT NULL THEN 'region' ELSE 'sku' END AS level
-FROM transactions GROUP BY GROUPING SETS ((date), (region), (sku))"""
+        """SELECT * FROM (SELECT date, region, sku, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(quantity) AS BIGINT) AS quantity,
+       CASE grouping_id(date, region, sku) WHEN 3 THEN 'date' WHEN 5 THEN 'region' ELSE 'sku' END AS level
+FROM transactions GROUP BY GROUPING SETS ((date), (region), (sku)))
+WHERE CASE level WHEN 'date' THEN date IS NOT NULL WHEN 'region' THEN region IS NOT NULL ELSE sku IS NOT NULL END"""
     ),
 )
 def a8_a10_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
@@ -561,16 +563,44 @@ def v2_v4_validation_report(spark: SparkSession, sf: str) -> DataFrame:
 def v5_quarantine_split(spark: SparkSession, sf: str) -> DataFrame:
     """V5 on raw line items with the same rule engine (non-negative money and quantity)."""
 
-    li = table(spark, sf, "lineitem")
     rules = [("non_negative", c, ~F.coalesce(F.col(c) >= 0, F.lit(False))) for c in ("l_quantity", "l_extendedprice", "l_discount")]
-    ok = F.lit(True)
-    for _, _, failed in rules:
-        ok = ok & ~failed
-    return li.groupBy(F.when(ok, "valid").otherwise("quarantine").alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    valid, quarantine = validation.split_valid(table(spark, sf, "lineitem"), rules=rules)
+    both = valid.select(F.lit("valid").alias("part")).unionByName(quarantine.select(F.lit("quarantine").alias("part")))
+    return both.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register(
+    "v5_quarantine_reasons",
+    sql.with_tx(
+        """, spoilt AS (SELECT CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE customer_id END AS customer_id, CASE WHEN l_orderkey % 29 = 0 THEN NULL ELSE sku END AS sku,
+       CASE WHEN l_orderkey % 11 = 0 THEN -quantity ELSE quantity END AS quantity, unit_price, CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE revenue END AS revenue FROM transactions),
+r AS (SELECT concat_ws(',', CASE WHEN customer_id IS NULL THEN 'not_null:customer_id' END, CASE WHEN sku IS NULL THEN 'not_null:sku' END,
+                       CASE WHEN NOT coalesce(quantity >= 0, false) THEN 'non_negative:quantity' END, CASE WHEN NOT coalesce(unit_price >= 0, false) THEN 'non_negative:unit_price' END,
+                       CASE WHEN NOT coalesce(revenue >= 0, false) THEN 'non_negative:revenue' END) AS failed_rules FROM spoilt)
+SELECT failed_rules, count(*) AS rows FROM r GROUP BY 1"""
+    ),
+)
+def v5_quarantine_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """V5 on transactions of which some were spoilt: rows by the rules they fail (none: valid)."""
+
+    key = F.col("l_orderkey")
+    tx = transactions(spark, sf)
+    spoilt = tx.withColumns(
+        {
+            "customer_id": F.when(key % 13 != 0, F.col("customer_id")),
+            "sku": F.when(key % 29 != 0, F.col("sku")),
+            "quantity": F.when(key % 11 == 0, -F.col("quantity")).otherwise(F.col("quantity")),
+            "revenue": F.when(key % 17 != 0, F.col("revenue")),
+        }
+    )
+    valid, quarantine = validation.split_valid(spoilt)
+    both = valid.select(F.lit("").alias("failed_rules")).unionByName(quarantine.select(F.array_join("failed_rules", ",").alias("failed_rules")))
+    return both.groupBy("failed_rules").agg(F.count(F.lit(1)).alias("rows"))
 
 
 _EVENT_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 _TS_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+_EVENT_OPTIONS = {"timestampFormat": _TS_FMT, "timestampNTZFormat": _TS_FMT}
 
 
 @register(
@@ -578,21 +608,110 @@ _TS_FMT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     "SELECT event_id, ts, user_id, event_type, value, props, CAST(event_id % 8 AS INTEGER) AS \"partition\", event_id AS \"offset\" FROM events",
 )
 def s5_kafka_decode_events(spark: SparkSession, sf: str) -> DataFrame:
-    """S5 decode stage on Kafka-shaped rows built from the events table
-    (key/value binary, topic/partition/offset), as a bounded batch read returns them."""
+    """S5 decode stage on Kafka-shaped rows built from the events table."""
+
+    out = readers.decode_kafka(_kafka_rows(spark, sf), _EVENT_SCHEMA, _EVENT_OPTIONS).drop("topic", "timestamp")
+    return out.withColumn("ts", F.col("ts").cast(table(spark, sf, "events").schema["ts"].dataType))
+
+
+def _kafka_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a bounded batch read returns them: key and value binary, topic, partition, offset."""
 
     ev = table(spark, sf, "events")
-    opts = {"timestampFormat": _TS_FMT, "timestampNTZFormat": _TS_FMT}
-    raw = ev.select(
+    return ev.select(
         F.col("event_id").cast("string").cast("binary").alias("key"),
-        F.to_json(F.struct(*[F.col(c) for c in ev.columns]), opts).cast("binary").alias("value"),
+        F.to_json(F.struct(*[F.col(c) for c in ev.columns]), _EVENT_OPTIONS).cast("binary").alias("value"),
         F.lit("events").alias("topic"),
         F.pmod(F.col("event_id"), F.lit(8)).cast("int").alias("partition"),
         F.col("event_id").alias("offset"),
         F.col("ts").alias("timestamp"),
     )
-    out = raw.select(*[c for c in ("partition", "offset")], F.from_json(F.col("value").cast("string"), _EVENT_SCHEMA, opts).alias("v"))
-    return out.select("v.*", "partition", "offset").withColumn("ts", F.col("ts").cast(ev.schema["ts"].dataType))
+
+
+@register(
+    "s5_dead_letters",
+    """SELECT "offset", CASE "offset" % 10 WHEN 3 THEN 'no value' WHEN 5 THEN 'empty value' WHEN 7 THEN 'not the schema' ELSE 'decoded' END AS outcome
+FROM (SELECT event_id AS "offset" FROM events)""",
+)
+def s5_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """S5 where a part of the values is missing, blank or cut off: every offset comes out on one side."""
+
+    tail = F.col("offset") % 10
+    spoilt = F.when(tail == 5, F.lit("  ").cast("binary")).when(tail == 7, F.substring("value", 1, 20)).when(tail != 3, F.col("value"))
+    raw = _kafka_rows(spark, sf).withColumn("value", spoilt)
+    good = readers.decode_kafka(raw, _EVENT_SCHEMA, _EVENT_OPTIONS).select("offset", F.lit("decoded").alias("outcome"))
+    return good.unionByName(readers.dead_letters(raw, _EVENT_SCHEMA, _EVENT_OPTIONS).select("offset", F.col("reason").alias("outcome")))
+
+
+@register(
+    "s6_csv_parquet_union",
+    "SELECT o_orderpriority, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS total, count(CASE WHEN o_orderpriority >= '3' THEN o_custkey END) AS with_customer FROM orders GROUP BY o_orderpriority",
+)
+def s6_csv_parquet_union(spark: SparkSession, sf: str) -> DataFrame:
+    """One part of the orders lies in CSV files without customers, the other in Parquet; read as feeds and put together."""
+
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    paths = [scratch_path(spark, f"feed-{kind}") for kind in ("csv", "parquet")]
+    orders.where("o_orderpriority < '3'").drop("o_custkey").write.option("header", True).csv(paths[0])
+    orders.where("o_orderpriority >= '3'").write.parquet(paths[1])
+    feeds = [readers.Feed("old", "csv", path=paths[0], schema="o_orderkey bigint, o_totalprice double, o_orderpriority string"), readers.Feed("new", "parquet", path=paths[1])]
+    frames, _ = readers.read_feeds(spark, feeds)
+    return readers.union_sources(list(frames.values())).groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("double").alias("total"), F.count("o_custkey").alias("with_customer")
+    )
+
+
+@register(
+    "k7_downstream_datasets",
+    """WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 2), c AS (SELECT c_custkey FROM customer JOIN n ON c_nationkey = n_nationkey)
+SELECT 'nation/' || n_nationkey AS dataset FROM n UNION ALL SELECT 'customer/' || c_custkey FROM c
+UNION ALL SELECT 'order/' || o_orderkey FROM orders JOIN c ON o_custkey = c_custkey""",
+)
+def k7_downstream_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    """K7: what lies downstream of a region when each nation, customer and order is written by a job that reads its parent."""
+
+    def events(name: str, parent: str, key: str, parent_key: str, source: str) -> DataFrame:
+        one = lambda prefix, c: F.array(F.concat(F.lit(f"{prefix}/"), F.col(c).cast("string")))
+        return table(spark, sf, source).select(F.lit(name).alias("job_name"), F.col(key).cast("string").alias("run_id"), one(parent, parent_key).alias("inputs"), one(name, key).alias("outputs"))
+
+    lineage = events("nation", "region", "n_nationkey", "n_regionkey", "nation")
+    lineage = lineage.unionByName(events("customer", "nation", "c_custkey", "c_nationkey", "customer"))
+    return writers.downstream_of(lineage.unionByName(events("order", "customer", "o_orderkey", "o_custkey", "orders")), "region/2")
+
+
+_RUN_AT = _dt.datetime(2025, 1, 1)
+
+
+@register("k4_feature_export", sql.with_tx(f", {sql.customer_features_cte()} SELECT *, TIMESTAMP '2025-01-01 00:00:00' AS event_timestamp FROM customer_features"))
+def k4_feature_export(spark: SparkSession, sf: str) -> DataFrame:
+    """K4: customer features written with the run's time, and read back."""
+
+    path = writers.export_features(features.customer_features(transactions(spark, sf)), scratch_path(spark, "export"), _RUN_AT)
+    return readers.read_parquet(spark, path).withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp_ntz"))
+
+
+@register("k5_inventory_write", sql.with_tx(sql.inventory_sql(), sku="brand"))
+def k5_inventory_write(spark: SparkSession, sf: str) -> DataFrame:
+    """K5: recommendations written and read back."""
+
+    return readers.read_parquet(spark, writers.write_result(inventory.recommend(transactions(spark, sf, sku="brand")), scratch_path(spark, "inventory")))
+
+
+@register(
+    "k6_run_log",
+    sql.with_tx(
+        """, f AS (SELECT count(*) AS lines, CAST(sum(revenue) AS DOUBLE) AS revenue FROM transactions)
+SELECT 'param' AS kind, 'source' AS key, 'transactions' AS value FROM f UNION ALL SELECT 'metric' AS kind, 'lines' AS key, CAST(CAST(lines AS DOUBLE) AS VARCHAR) AS value FROM f
+UNION ALL SELECT 'metric' AS kind, 'revenue' AS key, CAST(revenue AS VARCHAR) AS value FROM f"""
+    ),
+)
+def k6_run_log(spark: SparkSession, sf: str) -> DataFrame:
+    """K6: parameters and metrics of a run, appended to the run log and read back."""
+
+    found = transactions(spark, sf).agg(F.count("*").alias("lines"), F.sum("revenue").cast("double").alias("revenue")).first()
+    path = scratch_path(spark, "run-log")
+    writers.log_run(spark, path, "run", {"source": "transactions"}, found.asDict(), at=_RUN_AT)
+    return readers.read_parquet(spark, path).select("kind", "key", "value")
 
 
 @register(
@@ -622,7 +741,7 @@ def k3_silver_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     bronze = writers.shared_path(spark, "bronze", run)
     silver = writers.shared_path(spark, "silver", run)
     tx = transactions(spark, sf).drop(*[c for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")])
-    writers.land_bronze_silver(tx, bronze, silver, salt_buckets=1)
+    writers.land_bronze_silver(tx, bronze, silver)
     back = readers.read_parquet(spark, silver)
     return back.groupBy("date").agg(
         F.count(F.lit(1)).alias("lines"), F.sum("revenue").cast("double").alias("revenue"), F.sum("quantity").cast("bigint").alias("quantity")
@@ -778,7 +897,6 @@ def m17_a11_segment_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- feature store (J7, J8, F1, F2) -------------------------------------------------------
 
-import datetime as _dt  # noqa: E402
 
 from stockroom.operators import feature_store  # noqa: E402
 
@@ -850,6 +968,21 @@ def f1_customer_feature_view(spark: SparkSession, sf: str) -> DataFrame:
     return feature_store.feature_view(_cf(spark, sf), feature_store.CUSTOMER_VIEW)
 
 
+@register(
+    "f1_series_feature_view",
+    sql.with_tx(
+        f""", {sql.ts_features_cte()}
+SELECT sku, region, CAST(rolling_qty_7 AS FLOAT) AS rolling_qty_7, CAST(rolling_qty_14 AS FLOAT) AS rolling_qty_14, CAST(rolling_qty_30 AS FLOAT) AS rolling_qty_30,
+       CAST(lag_qty_1 AS FLOAT) AS lag_qty_1, CAST(lag_qty_7 AS FLOAT) AS lag_qty_7, CAST(lag_qty_14 AS FLOAT) AS lag_qty_14, CAST(avg_price AS FLOAT) AS avg_price,
+       CAST(promotion_flag AS BIGINT) AS promotion_flag, CAST(date AS TIMESTAMP) AS event_timestamp FROM ts_features"""
+    ),
+)
+def f1_series_feature_view(spark: SparkSession, sf: str) -> DataFrame:
+    """the declared series view, a row per series and day."""
+
+    return feature_store.feature_view(_ts(spark, sf).withColumn("event_timestamp", F.col("date").cast("timestamp_ntz")), feature_store.SERIES_VIEW)
+
+
 @register(
     "f2_latest_series_features",
     sql.with_tx(

@@ -1,9 +1,8 @@
 """Sinks: K1-K8.
 
-Writes are plain ``DataFrameWriter`` calls.  Partitioned writes first
-repartition by (partition column, salt) where the salt is a deterministic hash
-of the row, so a day holding a third of all rows is spread over ``salt``
-tasks/files instead of one, and a retried task rewrites the same rows.
+Writes are plain ``DataFrameWriter`` calls.  Partitioned writes are rebalanced by
+the partition columns: adaptive execution deals a day that holds a third of all rows to
+several tasks by its size, and merges small days.
 """
 
 from __future__ import annotations
@@ -11,7 +10,6 @@ from __future__ import annotations
 import datetime as _dt
 import os
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,46 +37,37 @@ def table_format(spark: SparkSession, preferred: str = "delta") -> str:
         return "parquet"
 
 
-def write_table(
-    df: DataFrame,
-    path: str,
-    fmt: str = "parquet",
-    mode: str = "overwrite",
-    partition_by: list[str] | None = None,
-    salt_buckets: int = 8,
-    salt_cols: list[str] | None = None,
-) -> str:
-    """K1/K2: write ``df`` (optionally partitioned); dynamic partition overwrite
-    so a rerun replaces only the partitions it writes."""
-
-    spark = df.sparkSession
-    if partition_by:
-        cols = salt_cols or [c for c in df.columns if c not in partition_by]
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salt_buckets))
-        # explicit partition count: AQE must not coalesce the write into a few tasks
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartition(n, *[F.col(c) for c in partition_by], salt)
-    writer = df.write.format(fmt).mode(mode)
-    if partition_by:
-        # per-write option: the caller's session configuration is left untouched
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
-    writer.save(path)
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: list[str] | None = None, whole: bool = False, salt_buckets: int | None = None) -> str:
+    """K1/K2: write ``df`` (optionally partitioned).
+
+    Rows are rebalanced by the partition columns: adaptive execution merges small partitions and
+    splits one that holds most rows, by size.  A rerun replaces only the partitions it writes,
+    or with ``whole`` the table.  ``salt_buckets`` is not used any more: sizes decide.
+    """
+
+    if not partition_by:
+        df.write.format(fmt).mode(mode).save(path)
+        return path
+    rebalanced = df.hint("rebalance", *(F.col(c) for c in partition_by))
+    # per-write option: the caller's session configuration is left untouched
+    writer = rebalanced.write.format(fmt).mode(mode).option("partitionOverwriteMode", "static" if whole else "dynamic")
+    writer.partitionBy(*partition_by).save(path)
     return path
 
 
 def land_bronze_silver(
-    tx: DataFrame, bronze: str, silver: str, fmt: str = "parquet", null_fails: bool = True, quarantine: str | None = None, salt_buckets: int = 8
+    tx: DataFrame, bronze: str, silver: str, fmt: str = "parquet", null_fails: bool = True, quarantine: str | None = None
 ) -> dict:
     """K3: bronze = typed raw rows; silver = rows passing V2/V3, both partitioned by date.
 
-    The source is persisted once so both writes (and the quarantine) read it once.
+    Both tables are replaced.  The source is persisted once so both writes (and the quarantine) read it once.
     """
 
     src = tx.persist()
     try:
-        write_table(src, bronze, fmt, partition_by=["date"], salt_buckets=salt_buckets)
+        write_table(src, bronze, fmt, partition_by=["date"], whole=True)
         valid, bad = split_valid(src, null_fails)
-        write_table(valid, silver, fmt, partition_by=["date"], salt_buckets=salt_buckets)
+        write_table(valid, silver, fmt, partition_by=["date"], whole=True)
         if quarantine:
             write_table(bad, quarantine, fmt)
     finally:
@@ -86,7 +75,7 @@ def land_bronze_silver(
     return {"bronze": bronze, "silver": silver, "quarantine": quarantine}
 
 
-def land_observed(tx: DataFrame, silver: str, quarantine: str, fmt: str = "parquet", null_fails: bool = True, salt_buckets: int = 8) -> dict:
+def land_observed(tx: DataFrame, silver: str, quarantine: str, fmt: str = "parquet", null_fails: bool = True) -> dict:
     """V4/V5 with the write: the source is persisted once; rule failure counts
     come from one aggregate over the persisted rows, valid rows go to silver and
     failing rows to the quarantine table (the input is computed only once).
@@ -103,7 +92,7 @@ def land_observed(tx: DataFrame, silver: str, quarantine: str, fmt: str = "parqu
     try:
         row = src.agg(F.count(F.lit(1)).alias("checked"), *[F.count_if(p).alias(f"{r}:{c}") for r, c, p in rules]).first()
         valid, bad = split_valid(src, null_fails)
-        write_table(valid, silver, fmt, partition_by=["date"], salt_buckets=salt_buckets)
+        write_table(valid, silver, fmt, partition_by=["date"], whole=True)
         write_table(bad, quarantine, fmt)
     finally:
         src.unpersist()
@@ -156,20 +145,35 @@ def lineage_edges(lineage: DataFrame) -> DataFrame:
 
 
 def downstream_of(lineage: DataFrame, dataset: str) -> DataFrame:
-    """K7 query: every dataset reachable from ``dataset``, however many hops away.
+    """K7 query: every dataset reachable from ``dataset``, however many jobs away.
 
-    Each hop's new datasets are written to the scratch folder, so a hop reads
-    tables and not the lineage of all hops before it; it ends when a hop finds none.
+    Datasets and jobs are nodes, so a job's inputs are never paired with its outputs.  Step k joins
+    what is known with paths of exactly 2**k edges and then joins these paths with themselves, so a
+    chain of 10,000 jobs takes some 15 steps.  A step that finds nothing new ends it, since a
+    shortest path passes through every distance before its own; so cycles end too.
     """
 
-    edges = ScratchTable(lineage_edges(lineage).select(F.col("upstream").alias("node"), F.col("downstream").alias("next")).distinct(), "lineage-edges").df
-    frontier = ScratchTable(edges.where(F.col("node") == dataset).select(F.col("next").alias("node")).distinct(), "lineage-hop").df
-    hops = [frontier]
-    while not frontier.isEmpty():
-        found = frontier.join(edges, "node").select(F.col("next").alias("node")).distinct()
-        frontier = ScratchTable(found.join(reduce(DataFrame.unionByName, hops), "node", "left_anti"), "lineage-hop").df
-        hops.append(frontier)
-    return reduce(DataFrame.unionByName, hops).withColumnRenamed("node", "dataset")
+    run = F.struct(F.lit("run").alias("kind"), F.concat_ws("|", "job_name", "run_id").alias("name"))
+    one = lambda c: F.struct(F.lit("dataset").alias("kind"), c.alias("name"))
+    into = lineage.select(F.explode("inputs").alias("d"), run.alias("run")).select(one(F.col("d")).alias("node"), F.col("run").alias("next"))
+    out = lineage.select(run.alias("run"), F.explode("outputs").alias("d")).select(F.col("run").alias("node"), one(F.col("d")).alias("next"))
+    paths = ScratchTable(into.unionByName(out).distinct(), "lineage-paths")
+    start = lineage.sparkSession.createDataFrame([(("dataset", dataset),)], "node struct<kind: string, name: string>")
+    known, count = ScratchTable(start, "lineage-known"), 1
+    while True:
+        found = known.df.join(paths.df, "node").select(F.col("next").alias("node"))
+        grown = ScratchTable(known.df.unionByName(found).distinct(), "lineage-known")
+        known.drop()
+        known, before, count = grown, count, grown.df.count()
+        if count == before:
+            break
+        doubled = ScratchTable(paths.df.join(paths.df.select(F.col("node").alias("next"), F.col("next").alias("after")), "next").select("node", F.col("after").alias("next")).distinct(), "lineage-paths")
+        paths.drop()
+        paths = doubled
+    # the dataset itself counts when a job downstream writes it again
+    back = into.join(known.df, "node").select(F.col("next").alias("node")).distinct().join(out, "node").select("next.name").where(F.col("name") == dataset)
+    others = known.df.where("node.kind = 'dataset'").select("node.name").where(F.col("name") != dataset)
+    return others.unionByName(back).distinct().select(F.col("name").alias("dataset"))
 
 
 def save_model(model, path: str) -> str:

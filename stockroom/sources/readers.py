@@ -8,12 +8,15 @@ the fetching in parallel (the reference fetched one payload on the driver).
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+BROKEN = "__broken_record"
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, **options: Any) -> DataFrame:
@@ -139,57 +142,114 @@ def read_kafka(spark: SparkSession, topic: str, bootstrap_servers: str, value_sc
     return decode_kafka(raw, value_schema) if value_schema is not None else raw
 
 
-def decode_kafka(raw: DataFrame, value_schema: StructType | str) -> DataFrame:
-    """S5 decode stage: ``from_json(cast(value as string))`` into typed columns
-    (plus topic/partition/offset/timestamp when present)."""
+def _parsed(raw: DataFrame, value_schema: StructType | str, options: dict | None) -> DataFrame:
+    """``raw`` with the parsed value (``__v``) and why it could not be parsed (``reason``, else null).
+
+    A value is parsed once, permissively; JSON that does not fit the schema keeps its text
+    in a column of its own, which the schema must not have.
+    """
+
+    schema = StructType.fromDDL(value_schema) if isinstance(value_schema, str) else value_schema
+    keeps = StructType([*schema.fields, StructField(BROKEN, StringType())])
+    text = F.col("value").cast("string")
+    parsed = raw.withColumn("__v", F.from_json(text, keeps, {**(options or {}), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}))
+    reason = F.when(F.col("value").isNull(), "no value").when(F.trim(text) == "", "empty value").when(F.col("__v").isNull() | F.col(f"__v.{BROKEN}").isNotNull(), "not the schema")
+    return parsed.withColumn("reason", reason)
+
+
+def decode_kafka(raw: DataFrame, value_schema: StructType | str, options: dict | None = None) -> DataFrame:
+    """S5 decode stage: JSON values as typed columns, plus topic, partition, offset and timestamp where
+    ``raw`` has them and the value does not.  Values that cannot be parsed are in ``dead_letters``; no row is lost."""
 
-    meta = [c for c in ("topic", "partition", "offset", "timestamp") if c in raw.columns]
-    decoded = raw.select(*meta, F.from_json(F.col("value").cast("string"), value_schema).alias("__v"))
-    return decoded.select(*meta, "__v.*")
+    good = _parsed(raw, value_schema, options).where("reason is null")
+    fields = [f.name for f in good.schema["__v"].dataType.fields if f.name != BROKEN]
+    meta = [c for c in ("topic", "partition", "offset", "timestamp") if c in raw.columns and c not in fields]
+    return good.select(*meta, *(F.col(f"__v.`{name}`") for name in fields))
 
 
-# ---- S6: dispatch ----------------------------------------------------------------------------
+def dead_letters(raw: DataFrame, value_schema: StructType | str, options: dict | None = None) -> DataFrame:
+    """Rows of ``raw`` that ``decode_kafka`` leaves out, as they came, with the reason."""
 
-@dataclass
-class IngestionSource:
-    name: str
-    source_type: str  # csv | parquet | api | kafka
-    path: str | None = None
-    endpoint: str | None = None
-    topic: str | None = None
-    schema: Any = None
-    options: dict = field(default_factory=dict)
+    return _parsed(raw, value_schema, options).where("reason is not null").drop("__v")
 
 
-def ingest_sources(spark: SparkSession, sources: list[IngestionSource]) -> tuple[dict[str, DataFrame], DataFrame]:
-    """One lazy reader per source; returns ({name: DataFrame}, status frame).
+# ---- S6: feeds -------------------------------------------------------------------------------
 
-    Frames of a common layout can be combined with
-    ``unionByName(allowMissingColumns=True)``.
+class Feed:
+    """A named input: the kind of reader, its settings, and what an error means for the others.
+
+    ``on_error='fail'`` raises; ``'skip'`` leaves the feed out and says so in the status.
     """
 
+    def __init__(self, name: str, kind: str, on_error: str = "fail", **settings: Any):
+        if on_error not in ("fail", "skip"):
+            raise ValueError("on_error is 'fail' or 'skip'")
+        self.name, self.kind, self.on_error, self.settings = name, kind, on_error, settings
+
+
+FEED_READERS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def feed_reader(kind: str):
+    """Register a reader: a function of the session and a feed's settings."""
+
+    def keep(read: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        FEED_READERS[kind] = read
+        return read
+
+    return keep
+
+
+@feed_reader("csv")
+def _csv_feed(spark: SparkSession, path: str, schema=None, options: dict | None = None) -> DataFrame:
+    return read_csv(spark, path, schema, **(options or {}))
+
+
+@feed_reader("parquet")
+def _parquet_feed(spark: SparkSession, path: str, options: dict | None = None) -> DataFrame:
+    return read_parquet(spark, path, **(options or {}))
+
+
+@feed_reader("api")
+def _api_feed(spark: SparkSession, endpoint: str, schema, options: dict | None = None) -> DataFrame:
+    return read_api(spark, endpoint, schema, **(options or {}))
+
+
+@feed_reader("kafka")
+def _kafka_feed(spark: SparkSession, topic: str, schema=None, options: dict | None = None) -> DataFrame:
+    settings = {"bootstrap_servers": "localhost:9092"} | (options or {})
+    return read_kafka(spark, topic, settings.pop("bootstrap_servers"), schema, **settings)
+
+
+def read_feeds(spark: SparkSession, feeds: list[Feed]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """One lazy frame per feed that could be opened, and (source, type, status, error) of every feed."""
+
     frames: dict[str, DataFrame] = {}
     status = []
-    for s in sources:
+    for feed in feeds:
         try:
-            if s.source_type == "csv":
-                frames[s.name] = read_csv(spark, s.path, s.schema, **s.options)
-            elif s.source_type == "parquet":
-                frames[s.name] = read_parquet(spark, s.path, **s.options)
-            elif s.source_type == "api":
-                frames[s.name] = read_api(spark, s.endpoint, s.schema, **s.options)
-            elif s.source_type == "kafka":
-                frames[s.name] = read_kafka(spark, s.topic, s.options.get("bootstrap_servers", "localhost:9092"), s.schema, **{k: v for k, v in s.options.items() if k != "bootstrap_servers"})
-            else:
-                raise ValueError(f"unknown source type {s.source_type}")
-            status.append((s.name, s.source_type, "registered", None))
-        except Exception as exc:  # noqa: BLE001 - report per source, keep going
-            status.append((s.name, s.source_type, "failed", str(exc)))
+            if feed.kind not in FEED_READERS:
+                raise ValueError(f"no reader for {feed.kind!r}; there are {sorted(FEED_READERS)}")
+            frames[feed.name] = FEED_READERS[feed.kind](spark, **feed.settings)
+        except Exception as error:
+            if feed.on_error == "fail":
+                raise
+            status.append((feed.name, feed.kind, "failed", str(error)))
+        else:
+            status.append((feed.name, feed.kind, "registered", None))
     return frames, spark.createDataFrame(status, "source string, type string, status string, error string")
 
 
+def IngestionSource(name: str, kind: str, **settings: Any) -> Feed:  # noqa: N802
+    """A feed whose failure is only reported."""
+
+    return Feed(name, kind, "skip", **settings)
+
+
+ingest_sources = read_feeds
+
+
 def union_sources(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    """All rows of frames with a common layout; a column that one lacks is null there."""
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
