@@ -196,7 +196,7 @@ def judge(texts: pa.Array, refs: list[dict]) -> list[pa.Array]:
 
     values = [text or "" for text in texts.to_pylist()]
     n = len(values)
-    words = words_of(texts)
+    words = words_of(texts, lower=False)  # the base rule tells cases apart, the references do not
     n_words = np.diff(words.starts)
     owner = np.repeat(np.arange(n), n_words)
     lengths = np.array(pc.utf8_length(pa.array(words.distinct, pa.binary()).cast(pa.string())), np.int64)
@@ -209,13 +209,14 @@ def judge(texts: pa.Array, refs: list[dict]) -> list[pa.Array]:
     failed = (n_words < MIN_WORDS) | (100 * repeats > MOST_REPEATED_PERCENT * n_words)
 
     chars, char_distance, word_distance = histograms.sum(axis=1), np.ones(n), np.ones(n)
-    number = {word: i for i, word in enumerate(words.distinct)}
+    numbers: dict[bytes, list[int]] = {}
+    for i, word in enumerate(words.distinct):
+        numbers.setdefault(word.lower(), []).append(i)
     for ref in refs:
         char_distance = np.minimum(char_distance, divergence(histograms, ref["classes"]))
-        place = np.full(len(words.distinct) + 1, len(ref["words"]), np.int64)
+        place = np.full(len(words.distinct), len(ref["words"]), np.int64)
         for i, word in enumerate(ref["words"]):
-            place[number.get(word, -1)] = i
-        place[-1] = len(ref["words"])
+            place[numbers.get(word, [])] = i
         width = len(ref["words"]) + 1
         counts = np.bincount(owner * width + place[words.codes], minlength=n * width).reshape(n, width) if len(owner) else np.zeros((n, width))
         word_distance = np.minimum(word_distance, divergence(counts, ref["shares"]))
