@@ -17,7 +17,8 @@ The benchmark is taken in blocks of ``ITEMS_A_BLOCK`` items, each broadcast for
 pass over the documents, so its broadcast size is bounded whatever its length; the
 documents are neither shuffled nor collected.
 
-Defined results: null or empty texts hold nothing and are found nowhere; equal items
+Defined results: a text shorter than an item is compared whole; null or empty texts hold nothing
+and are found nowhere; equal items
 are reported each; a document reports an item once, with its best window (the first
 of ties); null doc_ids pass through; extra columns are ignored.
 """
@@ -184,12 +185,13 @@ class ItemIndex:
             sizes: dict[int, set[int]] = defaultdict(set)  # item size -> windows to look at
             for place in at:
                 for size in {self.sizes[item] for item in self.having[int(codes[place])] if min(self.sizes[item], SHINGLE_WORDS) == width}:
-                    sizes[size].update(range(max(0, place + width - size), min(place, len(hashes) - size) + 1))
+                    # a text shorter than the item is one window
+                    last = max(0, min(place, len(hashes) - size))
+                    sizes[size].update(range(min(last, max(0, place + width - size)), last + 1))
             summed = np.concatenate([np.zeros((1, BITS), np.int64), np.cumsum(bit_votes(codes, weights), axis=0)])
             for size, windows in sizes.items():
-                if not windows:
-                    continue
-                starts, n = np.array(sorted(windows)), size - width + 1
+                held = min(size, len(hashes))
+                starts, n = np.array(sorted(windows)), held - width + 1
                 asked, items, distance = self.index.within(fingerprints(summed[starts + n] - summed[starts]))
                 for q, item, d in zip(asked.tolist(), items.tolist(), distance.tolist(), strict=True):
                     if self.sizes[item] != size:
@@ -197,9 +199,9 @@ class ItemIndex:
                     start = int(starts[q])
                     similarity = weighted_similarity((codes[start : start + n], weights[start : start + n]), self.bags[item])
                     if similarity >= SIMILARITY and similarity > best.get(item, (0.0,))[0]:
-                        best[item] = (similarity, start, size, d)
-        for item, (similarity, start, size, d) in sorted(best.items()):
-            yield self.ids[item], similarity, start, size, d
+                        best[item] = (similarity, start, held, d)
+        for item, (similarity, start, held, d) in sorted(best.items()):
+            yield self.ids[item], similarity, start, held, d
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
