@@ -23,7 +23,8 @@ Rare tokens' lists are short by definition and give pairs, counted per pair.  A
 combination's list can be long (a group of near copies): each is compared with one
 member (its hub) per round, linked ones become a component, and lists whose members
 are in one component are done; what two components share after ``HUB_ROUNDS`` rounds is
-compared pair by pair (leaving out pairs that the triangle inequality or their own tokens exclude), so no
+compared, leaving out pairs that the triangle inequality, their own tokens or their parity bits exclude
+(the bits in which two sets differ are never more than the tokens in which they differ), so no
 link is lost.  Every pair is verified on the whole sets.
 Equal sets are one node from the start.
 
@@ -55,6 +56,7 @@ EXTRA = 3
 SMALL_SET = 40
 WHOLE_BANDS = 7  # sets of these bands (under 2 ** 7 tokens) emit all tokens, so that rare ones are not missed
 HUB_ROUNDS = 3
+PARITY_WORDS = 16  # 64-bit words of a set's parity bits
 TEXT_BYTES = 8_000_000
 SIGN = np.uint64(1 << 63)
 
@@ -202,11 +204,19 @@ def hub_rank(hub_round: int) -> Column:
     return F.struct("uncommon", "node") if hub_round == 0 else F.struct(F.xxhash64("node", F.lit(hub_round)), "node")
 
 
+def parity_bits(tokens: np.ndarray) -> np.ndarray:
+    """PARITY_WORDS words whose bit b tells whether an odd number of tokens falls on b."""
+
+    odd = np.bincount(tokens & (64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def combination_pairs(index: DataFrame, labels: DataFrame | None, percent: int, hub_round: int | None, first_hubs: DataFrame, unique: DataFrame, distances: DataFrame | None) -> DataFrame:
     """Pairs (a, b) of members of a list that are in different components: each with its hub, or
     (without a round) all whose distances to the list's first hub differ by no more than a
-    link's distance (the Jaccard distance is a metric) and whose tokens that no other
-    candidate has leave room for a link; no other pair can link."""
+    link's distance (the Jaccard distance is a metric), and whose parity bits and tokens that no
+    other candidate has leave room for a link; no other pair can link.  ``unique`` has own_tokens and
+    bits of nodes with one set; a node with several has no such bounds."""
 
     member = labelled(index, labels, "node")
     rank = hub_rank(hub_round or 0)
@@ -219,11 +229,15 @@ def combination_pairs(index: DataFrame, labels: DataFrame | None, percent: int,
         known = distances.select(F.col("a").alias("m_a"), F.col("b").alias("m_b"), "distance")
         left = left.join(known, (F.least("node", "hub") == F.col("m_a")) & (F.greatest("node", "hub") == F.col("m_b")), "left")
         left = left.join(unique.withColumnRenamed("node", "u"), F.col("node") == F.col("u"), "left")
-        left = left.select("hub", "node", "n", "node_comp", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("distance")).alias("off"), F.coalesce("own_tokens", F.lit(0)).alias("own"))
-        right = left.select(F.col("hub").alias("h"), F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("node_comp").alias("other_comp"), F.col("off").alias("other_off"), F.col("own").alias("other_own"))
+        off = F.when(F.col("bits").isNotNull(), F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("distance")))
+        left = left.select("hub", "node", "n", "node_comp", off.alias("off"), F.coalesce("own_tokens", F.lit(0)).alias("own"), *(F.col("bits")[i].alias(f"bits{i}") for i in range(PARITY_WORDS)))
+        right = left.select(F.col("hub").alias("h"), *(F.col(c).alias(f"other_{c}" if c != "node" else "other") for c in left.columns if c != "hub")).withColumnRenamed("other_node_comp", "other_comp")
         near = F.coalesce(F.abs(F.col("off") - F.col("other_off")) <= 1 - percent / 100 + 1e-9, F.lit(True))
         # tokens of one alone are all in the symmetric difference, at most (100 - percent) / (100 + percent) of both sizes in a link
-        near &= (F.col("own") + F.col("other_own")) * (100 + percent) <= (F.col("n") + F.col("other_n")) * (100 - percent)
+        room = (F.col("n") + F.col("other_n")) * (100 - percent)
+        near &= (F.col("own") + F.col("other_own")) * (100 + percent) <= room
+        differ = reduce(Column.__add__, (F.bit_count(F.col(f"bits{i}").bitwiseXOR(F.col(f"other_bits{i}"))) for i in range(PARITY_WORDS)))
+        near &= F.coalesce(differ * (100 + percent) <= room, F.lit(True))
         met = left.join(right, (F.col("hub") == F.col("h")) & (F.col("node") < F.col("other")) & (F.col("node_comp") != F.col("other_comp")) & sizes_fit("n", "other_n", percent) & near)
         return met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
     own = member.select(F.col("entry").alias("h"), F.col("node").alias("hub_node"), F.col("n").alias("hub_n"), F.col("node_comp").alias("hub_comp"))
@@ -243,15 +257,16 @@ def rare_token_pairs(index: DataFrame, percent: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(id, tokens): whole sets of the given nodes."""
+    """(id, tokens, bits): whole sets of the given nodes and their parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, TEXT_BYTES):
-                yield pa.RecordBatch.from_arrays([part.column(0), list_array(token_sets(part.column(1), words))], names=["id", "tokens"])
+                sets = token_sets(part.column(1), words)
+                yield pa.RecordBatch.from_arrays([part.column(0), list_array(sets), list_array([parity_bits(s) for s in sets])], names=["id", "tokens", "bits"])
 
     wanted = docs.select("doc_id", "text").join(checked_broadcast(nodes), F.col("doc_id") == F.col("node"), "left_semi")
-    return wanted.mapInArrow(run, "id long, tokens array<long>")
+    return wanted.mapInArrow(run, "id long, tokens array<long>, bits array<long>")
 
 
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -289,7 +304,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     first_hubs = ScratchTable(combined.groupBy("entry").agg(F.min(hub_rank(0)).alias("first")).select("entry", F.col("first.node").alias("hub")), "first-hubs").df
     alone = sets.df.select("id", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("documents"), F.min("id").alias("node")).where("documents = 1")
-    unique = ScratchTable(alone.groupBy("node").agg(F.count("*").alias("own_tokens")), "own-tokens").df
+    single = sets.df.groupBy("id").agg(F.count("*").alias("sets"), F.first("bits").alias("bits")).where("sets = 1").select(F.col("id").alias("node"), "bits")
+    unique = ScratchTable(single.join(alone.groupBy("node").agg(F.count("*").alias("own_tokens")), "node", "left"), "own-tokens").df
     labels, tested = None, []
     for hub_round in [*range(HUB_ROUNDS), None]:
         open_pairs = labelled(rare, labels, "a", "b").where("a_comp != b_comp").select("a", "b")
