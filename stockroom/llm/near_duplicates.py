@@ -57,7 +57,7 @@ SMALL_SET = 40
 WHOLE_BANDS = 7  # sets of these bands (under 2 ** 7 tokens) emit all tokens, so that rare ones are not missed
 HUB_ROUNDS = 3
 PARITY_WORDS = 16  # 64-bit words of a set's parity bits
-TEXT_BYTES = 8_000_000
+TEXT_BYTES = 3_000_000
 SIGN = np.uint64(1 << 63)
 
 
@@ -166,8 +166,8 @@ def index_entries(nodes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
                 columns: list[list] = [[] for _ in schema]
                 tokens, frequent = part.column(2), part.column(3)
                 for i, (node, n) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
