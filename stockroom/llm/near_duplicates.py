@@ -55,7 +55,7 @@ FREQUENT = 16
 EXTRA = 3
 SMALL_SET = 40
 WHOLE_BANDS = 7  # sets of these bands (under 2 ** 7 tokens) emit all tokens, so that rare ones are not missed
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 PARITY_WORDS = 16  # 64-bit words of a set's parity bits
 TEXT_BYTES = 3_000_000
 SIGN = np.uint64(1 << 63)
@@ -280,6 +280,18 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("distance").alias("distance"))
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, comp) after the links of one more round: only components that these join are worked on."""
+
+    edges = labelled(links, labels, "a", "b").where("a_comp != b_comp").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct()
+    moved = connected_components(edges).df
+    if labels is None:
+        return moved
+    to = moved.select(F.col("node").alias("__from"), F.col("comp").alias("__to"))
+    kept = labels.join(to, F.col("comp") == F.col("__from"), "left").select("node", F.coalesce("__to", "comp").alias("comp"))
+    return ScratchTable(kept.unionByName(moved).distinct(), "near-labels").df
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of (doc_id, text): doc_id, n_shingles, component_id."""
 
@@ -315,7 +327,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         if tested:
             pairs = pairs.join(reduce(DataFrame.unionByName, tested).select("a", "b"), ["a", "b"], "left_anti")
         tested.append(ScratchTable(measured(pairs, sets.df, percent), "measured-pairs").df)
-        labels = connected_components(reduce(DataFrame.unionByName, tested).where("linked").select("a", "b")).df
+        labels = merged(labels, tested[-1].where("linked").select("a", "b"))
     sets.drop()
 
     members = rows.join(classes, "digest")
