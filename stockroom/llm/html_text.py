@@ -7,9 +7,15 @@ Both are smoothed over the sequence of nodes in page order (a Gaussian window),
 averaged back to their paths and fused by multiplying; paths above a threshold
 (a share of the spread of all paths' values) are content.  The smallest container that
 holds nearly all their text is the article: its other paths (headings, lists,
-tables) belong to it whatever their ratio.  Elements that are boilerplate by their
-tag or by a word of their class, id or role are left out with all they hold; the word does
-not count in headings and in elements around most of the text (of article and main, if any).
+tables) belong to it whatever their ratio.  Outside it, nodes of content paths that stand right
+in an element around it belong to it too (a lede beside the body), and so does all between
+it and the title before it (a byline), when it has no title of its own.
+
+Elements that are boilerplate by their tag or are hidden are left out with all they hold.  A
+word of an element's class, id or role (sidebar, comments) leaves it out too, but not
+in headings, not in elements around most of the text (of article and main, if any), and,
+where it is only a part of an id inside such an article (an anchor such as legal-notice), not
+if the element's text and punctuation per block reach half of the article's own.
 
 Text of a block is joined with white space turned into one space and trimmed;
 blocks follow in page order, joined by two newlines.  Inline tags and line breaks
@@ -59,16 +65,19 @@ BOILERPLATE_WORDS = frozenset(
     "share sharing social related recommended comment comments disqus reply replies widget copyright legal disclaimer pagination pager "
     "toolbar toc contentinfo complementary search".split()
 )
+OTHERS_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored comment comments disqus reply replies cookie cookies consent".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TITLE = frozenset(["h1"])
 CONTENT_TAGS = frozenset(["article", "main"])
 CONTAINERS = frozenset("html body article main section div center td".split())
+REACH = 0.5  # share of the article's text and punctuation per block that an element with a telling id must have to stay
 MOST_TEXT = 0.9  # share of the content paths' text that the article must hold
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMING = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_HIDDEN_NAME = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
-_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+# A quote opens a value only right after "="; an unquoted value may hold quotes.
+_VALUE = r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:{_VALUE}|[^>])*+)>", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_DISPLAY_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 
@@ -82,6 +91,7 @@ class Node:
     path: str
     block: int
     named: tuple[int, ...] = ()  # numbers of the elements around it with a boilerplate word
+    hinted: tuple[int, ...] = ()  # those of them where the word is only a part of an id
 
 
 @dataclass
@@ -91,24 +101,44 @@ class Element:
     path: str
     around: tuple[tuple[str, int], ...] = field(default=())
     named: tuple[int, ...] = ()
+    hinted: tuple[int, ...] = ()
+
+
+def attribute_values(attributes: str) -> dict[str, str]:
+    """Values by lower-case attribute name; of a repeated one the first."""
 
+    values: dict[str, str] = {}
+    for name, *quoted in _ATTRIBUTE.findall(attributes):
+        values.setdefault(name.lower(), html.unescape("".join(quoted)))
+    return values
 
-def is_boilerplate(tag: str, attributes: str, inside: list[Element]) -> bool:
+
+def is_boilerplate(tag: str, attributes: dict[str, str], inside: list[Element]) -> bool:
     if tag in BOILERPLATE_TAGS:
         return True
     if tag == "header" and not any(e.tag in CONTENT_TAGS for e in inside):
         return True
-    if not attributes or tag in ("html", "body"):
+    if tag in ("html", "body"):
         return False
-    return bool(_HIDDEN.search(attributes) or _HIDDEN_NAME.search(_QUOTED.sub("''", attributes)))
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_DISPLAY_NONE.search(attributes.get("style", "")))
 
 
-def has_boilerplate_word(tag: str, attributes: str) -> bool:
-    """Headings and the page's own elements name what they are about, not what they are."""
+def boilerplate_name(tag: str, attributes: dict[str, str]) -> str | None:
+    """"whole" if a class or role has a boilerplate word or an id is one, "part" if only an id of several words has one.
 
-    if not attributes or tag in HEADINGS or tag in ("html", "body"):
-        return False
-    return any(word.lower() in BOILERPLATE_WORDS for found in _NAMING.findall(attributes) for word in _WORD.findall(" ".join(found)))
+    Headings and the page's own elements name what they are about, not what they are.
+    """
+
+    if tag in HEADINGS or tag in ("html", "body"):
+        return None
+    found = None
+    for kind in ("class", "id", "role"):
+        for name in attributes.get(kind, "").split():
+            words = {word.lower() for word in _WORD.findall(name)}
+            if words & BOILERPLATE_WORDS:
+                section = kind == "id" and len(words) > 1 and not words & OTHERS_WORDS
+                found = found or "part" if section else "whole"
+    return found
 
 
 def text_nodes(page: str) -> list[Node]:
@@ -120,7 +150,7 @@ def text_nodes(page: str) -> list[Node]:
 
     def text(run: str) -> None:
         if run and not stack[-1].skipped:
-            nodes.append(Node(html.unescape(run), stack[-1].around, stack[-1].path, block, stack[-1].named))
+            nodes.append(Node(html.unescape(run), stack[-1].around, stack[-1].path, block, stack[-1].named, stack[-1].hinted))
 
     def close_to(depth: int) -> None:
         del stack[depth:]
@@ -162,19 +192,43 @@ def text_nodes(page: str) -> list[Node]:
                         close_to(i)
                         break
             top, count = stack[-1], count + 1
-            skipped = top.skipped or is_boilerplate(tag, attributes, stack)
-            named = (*top.named, count) if has_boilerplate_word(tag, attributes) else top.named
-            stack.append(Element(tag, skipped, f"{top.path}/{tag}", (*top.around, (tag, count)), named))
+            values = attribute_values(attributes) if attributes else {}
+            skipped = top.skipped or is_boilerplate(tag, values, stack)
+            name = boilerplate_name(tag, values) if values else None
+            named = (*top.named, count) if name else top.named
+            hinted = (*top.hinted, count) if name == "part" else top.hinted
+            stack.append(Element(tag, skipped, f"{top.path}/{tag}", (*top.around, (tag, count)), named, hinted))
         match = _TAG.search(page, position)
     text(page[position:])
+    return without_named(nodes)
+
+
+def without_named(nodes: list[Node]) -> list[Node]:
+    """Without the nodes that the name of an element around them leaves out."""
+
     marked = [node for node in nodes if node.text.strip() and any(tag in CONTENT_TAGS for tag, _ in node.elements)]
-    held: dict[int, int] = defaultdict(int)
-    for node in marked or nodes:  # with an article or main element, it is that text which counts
+    counted = marked or [node for node in nodes if node.text.strip()]  # with an article or main element, it is that text which counts
+    held, marks, blocks = defaultdict(int), defaultdict(int), defaultdict(set)
+    for node in counted:
         for element in node.named:
             held[element] += len(node.text.strip())
+            marks[element] += len(_PUNCTUATION.findall(node.text))
+            blocks[element].add(node.block)
     # an element around most of the text is the page, whatever it is called
-    most = sum(len(node.text.strip()) for node in marked or nodes) / 2
-    return [node for node in nodes if all(held[element] > most for element in node.named)]
+    most = sum(len(node.text.strip()) for node in counted) / 2
+    plain = [node for node in counted if all(held[element] > most for element in node.named)]
+    n = max(len({node.block for node in plain}), 1)
+    length = sum(len(node.text.strip()) for node in plain) / n
+    punctuation = sum(len(_PUNCTUATION.findall(node.text)) for node in plain) / n
+    hinted = {element for node in marked for element in node.hinted}
+
+    def stays(element: int) -> bool:
+        if held[element] > most:
+            return True
+        size = len(blocks[element])
+        return element in hinted and held[element] >= REACH * length * size and marks[element] >= REACH * punctuation * size
+
+    return [node for node in nodes if all(map(stays, node.named))]
 
 
 def path_values(nodes: list[Node]) -> dict[str, float]:
@@ -218,7 +272,35 @@ def content_nodes(nodes: list[Node]) -> list[Node]:
         if found := [level for level, (tag, _) in enumerate(around) if tag == name]:
             around = around[: found[0] + 1]
             break
-    return [node for node in nodes if node.elements[: len(around)] == around]
+    return beside(nodes, around, {path for path, value in values.items() if value >= threshold})
+
+
+def beside(nodes: list[Node], around: tuple[tuple[str, int], ...], content: set[str]) -> list[Node]:
+    """Nodes of the container ``around``, with its title, what stands between both, and content right in the elements around it."""
+
+    inside = [node.elements[: len(around)] == around for node in nodes]
+    start = inside.index(True)
+    outer = [around[:level] for level in range(1, len(around)) if around[level - 1][0] not in ("html", "body")]
+    chosen = [own or (node.path in content and node.elements[:-1] in outer) for node, own in zip(nodes, inside, strict=True)]
+
+    def has(node: Node, tags: frozenset[str]) -> bool:
+        return bool(node.text.strip()) and any(tag in tags for tag, _ in node.elements)
+
+    for tags in (TITLE, HEADINGS):
+        if any(own and has(node, tags) for node, own in zip(nodes, inside, strict=True)):
+            break  # the container has a title of its own
+        if titles := [i for i in range(start) if has(nodes[i], tags) and nodes[i].elements[: title_level(nodes[i])] in outer]:
+            last = nodes[titles[-1]]
+            first = next(i for i in titles if nodes[i].block == last.block)
+            chosen[first:start] = [True] * (start - first)
+            break
+    return [node for node, keep in zip(nodes, chosen, strict=True) if keep]
+
+
+def title_level(node: Node) -> int:
+    """How many elements lie around the heading that a node is in."""
+
+    return next(level for level, (tag, _) in enumerate(node.elements) if tag in HEADINGS)
 
 
 def main_text(page: str | None) -> str:
