@@ -18,8 +18,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -30,6 +32,7 @@ from stockroom.functions.ordered import with_global_order
 from stockroom.functions.scalar import retention_action
 
 ID, LABEL = "customer_id", "churn_label"
+FITS_AT_ONCE = 4  # base learners fitted side by side; each is a Spark job over the same cached table
 
 
 def feature_columns(df: DataFrame, exclude=(ID, LABEL)) -> list[str]:
@@ -92,41 +95,52 @@ def _p1(col: str) -> F.Column:
 
 
 def fit_stacked(train: DataFrame, features: list[str] | None = None, kind: str = "fallback", max_iter: int = 100, folds: int = 5, seed: int = 42) -> StackedModel:
-    """M8: out-of-fold base scores -> logistic meta learner with passthrough."""
+    """M8: out-of-fold base scores -> logistic meta learner with passthrough.
+
+    The fits of all learners and folds (and on all rows) are independent and share one cached
+    table; ``FITS_AT_ONCE`` of them run side by side, so the stages of one fill the cores that
+    another leaves idle.  Every fold's rows pass through its learners' models in a row: no join
+    on the id, and a customer who is there twice stays twice.
+    """
 
     features = features or feature_columns(train)
     data = _assemble(train.withColumn(LABEL, F.col(LABEL).cast("double")), features).withColumn(
         "__fold", F.pmod(F.xxhash64(F.col(ID), F.lit(seed)), F.lit(folds))
     ).cache()
     learners = _base_learners(kind, max_iter, seed)
-    oof = data
-    for b, learner in enumerate(learners):
-        parts = []
-        for k in range(folds):
-            m = learner.copy().setPredictionCol(f"__pred{b}").setProbabilityCol(f"__prob{b}").setRawPredictionCol(f"__raw{b}").fit(
-                data.where(F.col("__fold") != k)
-            )
-            parts.append(m.transform(data.where(F.col("__fold") == k)).select(ID, _p1(f"__prob{b}").alias(f"base_{b}")))
-        scores = parts[0]
-        for p in parts[1:]:
-            scores = scores.unionByName(p)
-        oof = oof.join(scores, ID)
-    full = [
-        learner.copy().setPredictionCol(f"__pred{b}").setProbabilityCol(f"__prob{b}").setRawPredictionCol(f"__raw{b}").fit(data)
-        for b, learner in enumerate(learners)
-    ]
+
+    @inheritable_thread_target(train.sparkSession)
+    def fit(task: tuple[int, int | None]):
+        b, left_out = task
+        rows = data if left_out is None else data.where(F.col("__fold") != left_out)
+        return learners[b].copy().setPredictionCol(f"__pred{b}").setProbabilityCol(f"__prob{b}").setRawPredictionCol(f"__raw{b}").fit(rows)
+
+    tasks = [(b, k) for k in [*range(folds), None] for b in range(len(learners))]
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        models = dict(zip(tasks, pool.map(fit, tasks), strict=True))
+    full = [models[b, None] for b in range(len(learners))]
+    oof = None
+    for k in range(folds):
+        part = _base_scores([models[b, k] for b in range(len(learners))], data.where(F.col("__fold") == k))
+        oof = part if oof is None else oof.unionByName(part)
     meta_inputs = [f"base_{b}" for b in range(len(learners))] + features
     meta = LogisticRegression(maxIter=1000, labelCol=LABEL, featuresCol="meta_features").fit(_assemble(oof, meta_inputs, "meta_features"))
     data.unpersist()
     return StackedModel(features, full, meta, meta_inputs)
 
 
+def _base_scores(models: list, x: DataFrame) -> DataFrame:
+    """Adds ``base_<b>``, the score of every base model."""
+
+    for b, m in enumerate(models):
+        x = m.transform(x).withColumn(f"base_{b}", _p1(f"__prob{b}")).drop(f"__pred{b}", f"__prob{b}", f"__raw{b}")
+    return x
+
+
 def predict(model: StackedModel, df: DataFrame) -> DataFrame:
     """M9: id, churn_probability, retention_action (P18) for every row."""
 
-    x = _assemble(df, model.features)
-    for b, m in enumerate(model.base_models):
-        x = m.transform(x).withColumn(f"base_{b}", _p1(f"__prob{b}")).drop(f"__pred{b}", f"__prob{b}", f"__raw{b}")
+    x = _base_scores(model.base_models, _assemble(df, model.features))
     x = _assemble(x.drop("features"), model.meta_inputs, "meta_features")
     scored = model.meta.transform(x).withColumn("churn_probability", _p1("probability"))
     keep = [c for c in (ID, LABEL) if c in df.columns]

@@ -73,9 +73,11 @@ def asof_join(
     ttl: _dt.timedelta | None = None,
     prefix: str = "",
     num_ranges: int | None = None,
+    tie: str | None = None,
 ) -> DataFrame:
     """Every request row + the latest feature row of its entity with
-    ``feature_ts <= request_ts`` (and within ``ttl``), else nulls.
+    ``feature_ts <= request_ts`` (and within ``ttl``), else nulls.  Of rows at the
+    same instant the one with the largest ``tie`` counts (by default: of their hash).
 
     Output: request columns, ``{prefix}<feature>`` columns, ``{prefix}feature_ts``.
     """
@@ -97,9 +99,10 @@ def asof_join(
         F.col(entity).alias("__e"),
         F.col(feature_ts).cast(ts_type).alias("__ts"),
         F.lit(0).alias("__kind"),
-        F.xxhash64(*[F.col(c) for c in feature_cols]).alias("__tie"),
+        (F.col(tie) if tie else F.xxhash64(*[F.col(c) for c in feature_cols])).alias("__tie"),
         feat_struct.alias("__f"),
     )
+    r = r.withColumn("__tie", F.col("__tie").cast(f.schema["__tie"].dataType))  # requests: any order that spreads a hot entity
     r = r.withColumn("__f", F.lit(None).cast(f.schema["__f"].dataType))
     f = f.withColumn("__req", F.lit(None).cast(r.schema["__req"].dataType))
     both = r.unionByName(f)
@@ -151,11 +154,14 @@ def feature_service(
     sku_ts: str = "event_timestamp",
     customer_cols: list[str] | None = None,
     sku_cols: list[str] | None = None,
+    sku_tie: str | None = None,
 ) -> DataFrame:
-    """Both views side by side for each request (customer_id, sku, ts)."""
+    """Both views side by side for each request (customer_id, sku, ts); by default all fields they declare."""
 
+    customer_cols = customer_cols or [name for name, _ in CUSTOMER_VIEW["fields"]]
+    sku_cols = sku_cols or [name for name, _ in SERIES_VIEW["fields"]]
     c = asof_join(requests, customer_rows, "customer_id", request_ts, customer_ts, customer_cols, _dt.timedelta(days=CUSTOMER_VIEW["ttl_days"]), "customer_")
-    return asof_join(c, sku_rows, "sku", request_ts, sku_ts, sku_cols, _dt.timedelta(days=SERIES_VIEW["ttl_days"]), "sku_")
+    return asof_join(c, sku_rows, "sku", request_ts, sku_ts, sku_cols, _dt.timedelta(days=SERIES_VIEW["ttl_days"]), "sku_", tie=sku_tie)
 
 
 def export_with_timestamp(df: DataFrame, run_ts: _dt.datetime, col: str = "event_timestamp") -> DataFrame:

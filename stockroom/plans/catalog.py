@@ -955,6 +955,46 @@ def j8_feature_service(spark: SparkSession, sf: str) -> DataFrame:
     return feature_store.feature_service(req, cust_day, sku_day, customer_cols=["spend"], sku_cols=["units"])
 
 
+@register(
+    "j8_declared_views",
+    sql.with_tx(
+        f""", {sql.customer_features_cte()}, {sql.ts_features_cte()},
+run AS (SELECT CAST(max(date) AS TIMESTAMP) + INTERVAL 1 DAY AS seen FROM transactions),
+req AS (SELECT DISTINCT customer_id, sku, CAST(date AS TIMESTAMP) + INTERVAL 12 HOUR AS ts FROM transactions
+        UNION ALL SELECT DISTINCT customer_id, sku, seen + INTERVAL 12 HOUR FROM transactions, run),
+cust_view AS (SELECT customer_id, CAST(recency AS BIGINT) AS recency, CAST(frequency AS BIGINT) AS frequency, CAST(monetary AS FLOAT) AS monetary,
+                CAST(rfm_score AS FLOAT) AS rfm_score, CAST(purchase_velocity AS FLOAT) AS purchase_velocity, CAST(avg_order_value AS FLOAT) AS avg_order_value,
+                seen FROM customer_features, run),
+ser AS (SELECT sku, region, CAST(rolling_qty_7 AS FLOAT) AS rolling_qty_7, CAST(rolling_qty_14 AS FLOAT) AS rolling_qty_14,
+               CAST(rolling_qty_30 AS FLOAT) AS rolling_qty_30, CAST(lag_qty_1 AS FLOAT) AS lag_qty_1, CAST(lag_qty_7 AS FLOAT) AS lag_qty_7,
+               CAST(lag_qty_14 AS FLOAT) AS lag_qty_14, CAST(avg_price AS FLOAT) AS avg_price, CAST(promotion_flag AS BIGINT) AS promotion_flag,
+               CAST(date AS TIMESTAMP) AS seen FROM ts_features QUALIFY row_number() OVER (PARTITION BY sku, date ORDER BY region DESC) = 1),
+j AS (SELECT req.customer_id, req.sku, req.ts, c.recency, c.frequency, c.monetary, c.rfm_score, c.purchase_velocity, c.avg_order_value, c.seen AS cat
+      FROM req LEFT JOIN cust_view c ON req.customer_id = c.customer_id AND c.seen <= req.ts AND c.seen >= req.ts - INTERVAL 30 DAY),
+k AS (SELECT j.*, s.region, s.rolling_qty_7, s.rolling_qty_14, s.rolling_qty_30, s.lag_qty_1, s.lag_qty_7, s.lag_qty_14, s.avg_price, s.promotion_flag,
+             s.seen AS sat, s.seen >= j.ts - INTERVAL 7 DAY AS fresh FROM j ASOF LEFT JOIN ser s ON j.sku = s.sku AND j.ts >= s.seen)
+SELECT customer_id, sku, ts, recency AS customer_recency, frequency AS customer_frequency, monetary AS customer_monetary, rfm_score AS customer_rfm_score,
+       purchase_velocity AS customer_purchase_velocity, avg_order_value AS customer_avg_order_value, cat AS customer_feature_ts,
+       CASE WHEN fresh THEN region END AS sku_region, CASE WHEN fresh THEN rolling_qty_7 END AS sku_rolling_qty_7,
+       CASE WHEN fresh THEN rolling_qty_14 END AS sku_rolling_qty_14, CASE WHEN fresh THEN rolling_qty_30 END AS sku_rolling_qty_30,
+       CASE WHEN fresh THEN lag_qty_1 END AS sku_lag_qty_1, CASE WHEN fresh THEN lag_qty_7 END AS sku_lag_qty_7,
+       CASE WHEN fresh THEN lag_qty_14 END AS sku_lag_qty_14, CASE WHEN fresh THEN avg_price END AS sku_avg_price,
+       CASE WHEN fresh THEN promotion_flag END AS sku_promotion_flag, CASE WHEN fresh THEN sat END AS sku_feature_ts
+FROM k"""
+    ),
+)
+def j8_declared_views(spark: SparkSession, sf: str) -> DataFrame:
+    """J8 on the declared views: each purchase, and each customer and sku at the run, with both views' fields."""
+
+    tx = transactions(spark, sf)
+    run = F.lit(tx.agg(F.max("date")).first()[0] + _dt.timedelta(days=1)).cast("timestamp_ntz")
+    bought = tx.select("customer_id", "sku", (F.col("date").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS")).alias("ts")).distinct()
+    now = bought.select("customer_id", "sku").distinct().withColumn("ts", run + F.expr("INTERVAL 12 HOURS"))
+    customers = feature_store.feature_view(_cf(spark, sf).withColumn("event_timestamp", run), feature_store.CUSTOMER_VIEW)
+    series = feature_store.feature_view(_ts(spark, sf).withColumn("event_timestamp", F.col("date").cast("timestamp_ntz")), feature_store.SERIES_VIEW)
+    return feature_store.feature_service(bought.unionByName(now), customers, series, sku_tie="region")
+
+
 @register(
     "f1_customer_feature_view",
     sql.with_tx(
