@@ -33,7 +33,7 @@ MOST_ELSEWHERE = 20.0  # an n-gram this many times commoner in another language
 POSITIONS = 1 << 21
 PROBES = 3
 UNDETERMINED = "und"
-TEXT_BYTES = 1_000_000
+TEXT_BYTES = 250_000
 
 _LETTERS = None
 
