@@ -23,6 +23,7 @@ from stockroom.sources.tables import tie_columns
 
 ROLLING_WINDOWS = (7, 14, 30)
 LAGS = (1, 7, 14)
+MOST_CATEGORIES = 2_000  # dummy columns of one feature; Spark hardly plans wider tables
 
 # National fixed-date holidays of the default country (IN),
 # as (month, day, name).  Movable feasts need a calendar table from the user.
@@ -174,9 +175,12 @@ def snapshot_date(customers: DataFrame) -> _dt.date:
 
 
 def _vocabulary(df: DataFrame, col: str) -> list[str]:
-    """All categories of a column; each becomes an output column, so they are read to the driver."""
+    """The categories of a column, each of which becomes an output column; more than a table can hold are an error."""
 
-    return sorted(r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().collect())
+    rows = df.where(F.col(col).isNotNull()).select(col).distinct().limit(MOST_CATEGORIES + 1).collect()
+    if len(rows) > MOST_CATEGORIES:
+        raise ValueError(f"{col} has more than {MOST_CATEGORIES} categories; give those that shall get a column")
+    return sorted(r[0] for r in rows)
 
 
 def rfm_scores(customers: DataFrame) -> DataFrame:

@@ -790,14 +790,14 @@ def a18_auc_recency_vs_churn(spark: SparkSession, sf: str) -> DataFrame:
 _MODELS: dict = {}
 
 
-def _churn_model(spark: SparkSession, sf: str):
-    """Fit once per (session, input) and reuse across the churn queries."""
+def _churn_model(spark: SparkSession, sf: str, **options):
+    """Fit once per (session, input, options) and reuse across the churn queries."""
 
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, *sorted(options.items()))
     if key not in _MODELS:
         cf = _cf(spark, sf)
         split = churn.stratified_split(cf).cache()
-        model = churn.fit_stacked(split.where(~F.col("is_valid")).drop("is_valid"))
+        model = churn.fit_stacked(split.where(~F.col("is_valid")).drop("is_valid"), **options)
         _MODELS[key] = (cf, split, model)
     return _MODELS[key]
 
@@ -808,6 +808,32 @@ def m8_m9_churn_scores(spark: SparkSession, sf: str) -> DataFrame:
     return churn.predict(model, cf)
 
 
+@register("m8_two_learner_scores")
+def m8_two_learner_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """M8 with both base learners, boosted trees and a forest, under one meta learner."""
+
+    cf, _, model = _churn_model(spark, sf, kind="two")
+    return churn.predict(model, cf)
+
+
+_LADDER_SQL = " ".join(f"WHEN idle_share >= {least} THEN '{action}'" for least, action in scalar.RETENTION_ACTIONS)
+
+
+@register(
+    "p18_retention_ladder",
+    sql.with_tx(
+        f""", {sql.customer_features_cte()},
+idle AS (SELECT customer_id, CAST(recency AS DOUBLE) / CAST(greatest(tenure_days, 1) AS DOUBLE) AS idle_share FROM customer_features)
+SELECT customer_id, idle_share, CASE {_LADDER_SQL} ELSE '{scalar.RETENTION_DEFAULT}' END AS retention_action FROM idle"""
+    ),
+)
+def p18_retention_ladder(spark: SparkSession, sf: str) -> DataFrame:
+    """P18 on the share of a customer's time that has passed since the last purchase."""
+
+    idle = scalar.per_clipped(F.col("recency"), F.col("tenure_days")).alias("idle_share")
+    return _cf(spark, sf).select("customer_id", idle).withColumn("retention_action", scalar.retention_action("idle_share"))
+
+
 @register("m9_validation_auc")
 def m9_validation_auc(spark: SparkSession, sf: str) -> DataFrame:
     _, split, model = _churn_model(spark, sf)

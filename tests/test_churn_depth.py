@@ -14,3 +14,5 @@ def test_registered_churn_model_uses_the_defaults(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_MODELS", {})
     catalog._churn_model(spark, "none")
     assert given == [{}]
+    catalog._churn_model(spark, "none", kind="two")
+    assert given == [{}, {"kind": "two"}]
