@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockroom.llm.common import slices, table, words_of
@@ -186,10 +186,13 @@ def best_window(text: str, weight: np.ndarray, known: list[Template]) -> tuple[s
     return name, min(1.0, best[1])
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Per row of (doc_id, text, path): doc_id, license, similarity, inherited, license_dir."""
+def scan(docs: DataFrame, weigh_by: DataFrame | None = None) -> DataFrame:
+    """Per row of (doc_id, text, path): doc_id, license, similarity, inherited, license_dir, path.
 
-    total, found = document_frequencies(docs)
+    Terms weigh by how many rows of ``weigh_by`` (default: ``docs``) have them.
+    """
+
+    total, found = document_frequencies(docs if weigh_by is None else weigh_by)
     weight = np.array([math.log((1 + total) / (1 + found.get(term, 0))) + 1 for term in [*TERMS, ""]])
     known = templates(weight)
 
@@ -209,11 +212,39 @@ def scan(docs: DataFrame) -> DataFrame:
     nearest = ancestors.join(covering, "dir").groupBy("folder").agg(F.max(F.struct(F.length("dir"), "dir", "dir_license")).alias("near"))
     joined = scanned.withColumn("__folder", parent).join(checked_broadcast(nearest), F.col("__folder") == F.col("folder"), "left")
     inherited = F.col("own").isNull() & F.col("near").isNotNull()
-    return joined.select("doc_id", F.coalesce("own", "near.dir_license").alias("license"), "similarity", inherited.alias("inherited"), F.when(inherited, F.col("near.dir")).alias("license_dir"))
+    return joined.select("doc_id", F.coalesce("own", "near.dir_license").alias("license"), "similarity", inherited.alias("inherited"), F.when(inherited, F.col("near.dir")).alias("license_dir"), "path")
 
 
-def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents have no paths: each carries its own licence, and none inherits."""
+def url_path(url: str) -> Column:
+    """Host and path of a URL, the folders that a page lies in; scheme, query, fragment and a last slash left out."""
+
+    return F.regexp_replace(F.regexp_replace(url, "^[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$", ""), "/+$", "")
+
 
-    docs = table(spark, sf_dir, "documents")
-    return scan(docs.select("doc_id", "text", F.lit(None).cast("string").alias("path")))
+def page_text(html: str) -> Column:
+    """All text of a page, notices in its footer too: scripts, styles, comments and tags become line ends."""
+
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|</?[a-z!][^>]*>", "\n")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages in one scan, weighed by the documents.
+
+    Documents have no path: each carries its own licence, and none inherits.  Pages have the path of their
+    URL and inherit from licence files above them.  A page's row has no doc_id, a document's no page_id.
+    """
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast("string").alias("path"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), page_text("html").alias("text"), F.coalesce(url_path("url"), F.lit("")).alias("path"))
+    scanned = scan(docs.unionByName(pages), docs)
+    # a page without a URL has the empty path, a document none
+    is_page = F.col("path").isNotNull()
+    return scanned.select(
+        F.when(~is_page, F.col("doc_id")).alias("doc_id"),
+        "license",
+        "similarity",
+        "inherited",
+        "license_dir",
+        F.when(is_page, F.col("doc_id")).alias("page_id"),
+        "path",
+    )
