@@ -11,9 +11,9 @@ carries its state through the whole text, window by window.
 It is trained in ``ROUNDS`` rounds.  In each, every task runs truncated backpropagation
 (numpy, Adam) over its partition's whole texts, starting from the shared weights; the
 tasks' weights are averaged by the tokens they have seen and start the next round.  A round
-takes one of ``PARTS`` equal parts of the training texts by a hash of their doc_id, so what
-the network learns from is a fixed share, ``ROUNDS / PARTS``, of any corpus and
-grows with it; only weights, of a fixed size, come to the driver.  Counts cover all texts.
+takes one of ``PARTS`` equal parts of the training texts by a hash of their doc_id, and there
+are as many rounds as parts, so the network learns from every text; only weights, of a
+fixed size, come to the driver.  Counts cover all texts.
 
 Scoring needs the count of every word.  The ``HEAD`` commonest words are broadcast (a
 fixed bound); the other words of a text, few by then, are joined to the table of counts
@@ -44,7 +44,7 @@ TEXT_BYTES = 16_000_000
 HEAD = 1 << 17
 OWN_CLASSES, ENDINGS = 60, 66
 HIDDEN = 32
-ROUNDS, PARTS = 4, 16
+ROUNDS = PARTS = 4  # every training text is learned from once
 STREAMS, WINDOW, RATE = 64, 20, 0.01
 END = b"\n"  # no word holds it
 

@@ -62,3 +62,15 @@ def test_nothing_to_train_on(spark):
     model, counts = recurrent_lm.learn(docs)
     row = recurrent_lm.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model, counts.df).first()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and row.score < 0
+
+
+def test_every_training_text_is_learned_from_once(spark, monkeypatch):
+    seen = []
+
+    def note(texts, classes, network, rate):
+        seen.extend(row.text for row in texts.collect())
+        return network
+
+    monkeypatch.setattr(recurrent_lm, "train_round", note)
+    recurrent_lm.learn(spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string"))
+    assert sorted(seen) == sorted(f"text {i}" for i in range(200))
