@@ -8,7 +8,7 @@ range-join blow-up and without one task per entity:
    same instant (``feature_ts <= request_ts`` is a match).
 2. ``repartitionByRange`` on that full key cuts the frame into contiguous
    ranges; the tie-breaker lets a hot entity span many ranges.  The range id
-   is frozen by a reliable checkpoint.
+   is frozen by a scratch table.
 3. Inside a range, ``last(feature, ignorenulls)`` over (range, entity) fills
    every request with the latest earlier feature row of its entity.
 4. A range whose first entity continues from earlier ranges takes a carry-in
@@ -24,7 +24,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockroom.session import checkpointed
+from stockroom.session import ScratchTable
 
 # The reference's declared feature views.
 CUSTOMER_VIEW = {
@@ -112,7 +112,8 @@ def asof_join(
     pid = F.spark_partition_id()
     # position inside the sorted range (1-based): first and last rows without a sort-based aggregate
     pos = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33) + F.lit(1)
-    tagged = checkpointed(ranged.withColumn("__range", pid).withColumn("__pos", pos))
+    # a columnar table: repeated keys and fields of neighbours in the order take far less than rows of a checkpoint
+    tagged = ScratchTable(ranged.withColumn("__range", pid).withColumn("__pos", pos), "asof-order").df
 
     local_w = Window.partitionBy("__range", "__e").orderBy("__ts", "__kind", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = tagged.withColumn("__local", F.last("__f", ignorenulls=True).over(local_w))
