@@ -23,7 +23,8 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stockroom.llm.common import slices, table, words_of
+from stockroom.llm.common import slices, table, utf8_values
 from stockroom.session import ScratchTable, ensure_checkpoint_dir
 
 # Fixed values of the public zstandard seekable format.
@@ -50,94 +51,104 @@ TOKENIZER = "word_bpe_49k.json"
 TEXT_BYTES = 1_000_000  # text whose pieces are looked up together
 CACHED_PIECES = 150_000  # entries of a cache generation; bounds a worker's memory only
 
-# Fixed values of the tokenizer: its mark of a word's end, and its pre-token pattern as it applies to lower-case ASCII.
+# Fixed values of the tokenizer: its pre-token pattern as it applies to lower-case text of ASCII and Latin-1 letters
+# (two bytes each in UTF-8), its mark of a pre-token's end, and the characters that its byte-level step writes for bytes.
+PRE_TOKENS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+LATIN_BYTES = bytes([*range(128), 0xC3, *range(0x80, 0xC0)])
+NOT_LETTERS = ("\u00d7".encode(), "\u00f7".encode())
 WORD_END = "</w>"
-ASCII_PRE_TOKENS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+KEPT_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in KEPT_BYTES)}
 
 
-def pre_token_count(piece: bytes) -> int:
-    """How many pre-tokens the tokenizer surely takes the piece for; 0 if that isn't sure
-    (a special token, or other letters than Latin ones that lower-casing leaves as they are)."""
+def lowered(text: bytes) -> bytes | None:
+    """The text in lower case if ``PRE_TOKENS`` surely finds its pre-tokens, else none."""
 
-    if piece.isalpha():  # for bytes: ASCII letters only
-        return 1
-    if piece.isascii():
-        return 0 if b"<|" in piece else len(ASCII_PRE_TOKENS.findall(piece.lower()))
-    core = piece.rstrip(b".,;:!?)")
-    text = core.decode("utf-8", "replace")
-    if text.isalpha() and max(text) < "\u0250" and text == text.lower():
-        return 1 if core == piece else 2
-    return 0
+    if b"<|" in text:  # could be a special token
+        return None
+    if text.isascii():
+        return text.lower()
+    if text.translate(None, LATIN_BYTES) or any(sign in text for sign in NOT_LETTERS):
+        return None
+    try:
+        return text.decode().lower().encode()
+    except UnicodeDecodeError:
+        return None
 
 
 class Encoder:
     """Text -> packed ids.  The tokenizer drops white space and never merges across
-    it, so a text's ids are those of its white-space separated pieces in order;
-    pieces repeat a lot and are kept in a bounded cache."""
+    it, so a text's ids are those of its white-space separated pieces in order, and a
+    piece's those of its pre-tokens.  Texts of ASCII and Latin-1 letters are cut into
+    lower-case pre-tokens at once; of the others, each piece that isn't such a text
+    goes through the whole tokenizer.  Pre-tokens and those pieces repeat a lot and are
+    kept in a bounded cache."""
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.merges = Tokenizer(self.tokenizer.model)  # for what is lower-case and cut already
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         tokens = self.tokenizer.get_vocab(with_added_tokens=False)
         self.word_end = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.word_end[[number for token, number in tokens.items() if token.endswith(WORD_END)]] = True
         # Two generations: when the young one is full it becomes the old one, so
-        # pieces in use move on and the others go.
+        # entries in use move on and the others go.
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def look_up(self, pieces: list[bytes]) -> list[bytes]:
-        """Packed ids of each piece; those that neither generation has are encoded now."""
-
+    def keep(self, keys: list[bytes], encode: Callable[[list[bytes]], list[bytes]]) -> None:
+        """Put the packed ids of every key into ``young``; those that neither generation has are encoded now."""
+
+        absent = [key for key in keys if key not in self.young]
+        found = dict(zip(absent, map(self.old.get, absent), strict=True))
+        new = [key for key, packed in found.items() if packed is None]
+        self.young |= found | dict(zip(new, encode(new), strict=True))
+
+    def encode_pre_tokens(self, parts: list[bytes]) -> list[bytes]:
+        """Of lower-case pre-tokens: only the merges are left to do."""
+
+        if not parts:
+            return []
+        text = " ".join([part.decode() if part.isalpha() else part.decode("latin-1").translate(BYTE_LETTERS) for part in parts])
+        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        stops = (np.flatnonzero(self.word_end[ids]) + 1) * 4
+        if len(stops) != len(parts):
+            raise ValueError("the tokenizer cut a pre-token")
+        packed, bounds = ids.tobytes(), [0, *stops.tolist()]
+        return [packed[begin:end] for begin, end in zip(bounds, bounds[1:], strict=False)]
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast([piece.decode("utf-8", "replace") for piece in pieces], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in encoded]
+
+    def payloads(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of each text."""
+
+        whole = utf8_values(texts)
+        parts: list = []  # of each text: pre-tokens and pieces in order
+        pieces: set[bytes] = set()  # those that the whole tokenizer takes
+        for text in whole:
+            plain = lowered(text or b"")
+            if plain is not None:
+                parts.append(PRE_TOKENS.findall(plain))
+                continue
+            own: list[bytes] = []
+            for piece in text.split():  # bytes: at ASCII white space only
+                plain = lowered(piece)
+                if plain is None:
+                    pieces.add(piece)
+                    own.append(piece)
+                else:
+                    own += PRE_TOKENS.findall(plain)
+            parts.append(own)
         if len(self.young) > CACHED_PIECES:
             self.old, self.young = self.young, {}
-        found = list(map(self.young.get, pieces))
-        absent = [i for i, packed in enumerate(found) if packed is None]
-        for i, packed in zip(absent, map(self.old.get, [pieces[i] for i in absent]), strict=True):
-            found[i] = packed
-        new = [i for i in absent if found[i] is None]
-        for i, packed in zip(new, self.encode([pieces[i] for i in new]), strict=True):
-            found[i] = packed
-        self.young.update((pieces[i], found[i]) for i in absent)
-        return found
-
-    def encode(self, pieces: list[bytes]) -> list[bytes]:
-        """Encode the pieces whose pre-tokens can be counted many at a time, as one
-        text whose ids are cut at word ends; the others one by one."""
-
-        out: list = [None] * len(pieces)
-        counts = list(map(pre_token_count, pieces))
-        countable = [i for i, count in enumerate(counts) if count]
-        for start in range(0, len(countable), 1024):
-            group = countable[start : start + 1024]
-            text = b" ".join([pieces[i] for i in group]).decode()
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            word_stops = (np.flatnonzero(self.word_end[ids]) + 1) * 4
-            ends = np.cumsum([counts[i] for i in group])
-            if len(word_stops) != ends[-1]:
-                raise ValueError("the tokenizer cut a piece in another way")
-            packed, begin = ids.tobytes(), 0
-            for i, stop in zip(group, word_stops[ends - 1].tolist(), strict=True):
-                out[i] = packed[begin:stop]
-                begin = stop
-        others = [i for i, packed in enumerate(out) if packed is None]
-        encoded = self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in others], add_special_tokens=False)
-        for i, e in zip(others, encoded, strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
-        return out
-
-    def payloads(self, texts: pa.Array) -> Iterator[bytes]:
-        """Packed ids of each text: distinct pieces are looked up once, then laid out in text order."""
-
-        words = words_of(texts, lower=False)
-        packed = pa.array(self.look_up(words.distinct), pa.large_binary()).take(pa.array(words.codes))
-        stops = np.frombuffer(packed.buffers()[1], np.int64, len(packed) + 1, packed.offset * 8)
-        data = packed.buffers()[2] or b""
-        bounds = stops[words.starts].tolist()
-        for start, stop in zip(bounds, bounds[1:], strict=False):
-            yield bytes(data[start:stop])
+        self.keep(list(pieces), self.encode_pieces)
+        self.keep(list(set().union(*parts) - pieces), self.encode_pre_tokens)
+        return [b"".join(map(self.young.__getitem__, own)) for own in parts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
