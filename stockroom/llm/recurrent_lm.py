@@ -46,11 +46,29 @@ OWN_CLASSES, ENDINGS = 60, 66
 HIDDEN = 32
 ROUNDS = PARTS = 4  # every training text is learned from once
 STREAMS, WINDOW, RATE = 64, 20, 0.01
+TEXTS = 256  # texts scored side by side; bounds a step's arrays to the processor's cache
 END = b"\n"  # no word holds it
+CLOSING = ".,;:!?\"')"  # not part of a word's ending
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+def advance(given: np.ndarray, before: np.ndarray, recurrent: np.ndarray, u: np.ndarray, gates: np.ndarray, new: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Next state (units x streams), computed in ``state``; ``u``, ``gates`` (keep, reset) and ``new`` get what backpropagation needs.
+
+    ``given`` and ``recurrent`` are of halved gates (see ``GatedNetwork.halved``).
+    """
+
+    np.matmul(recurrent, before, out=u)
+    np.add(given[: 2 * HIDDEN], u[: 2 * HIDDEN], out=gates)
+    np.tanh(gates, out=gates)
+    gates *= 0.5
+    gates += 0.5
+    np.multiply(gates[HIDDEN:], u[2 * HIDDEN :], out=new)
+    new += given[2 * HIDDEN :]
+    np.tanh(new, out=new)
+    np.subtract(before, new, out=state)
+    state *= gates[:HIDDEN]
+    state += new
+    return state
 
 
 @dataclass
@@ -77,28 +95,61 @@ class Classes:
 
     @staticmethod
     def ending(word: bytes) -> str:
-        return word.decode("utf-8", "replace").rstrip(".,;:!?\"')")[-2:]
+        return word.decode("utf-8", "replace").rstrip(CLOSING)[-2:]
 
     def of(self, words: list[bytes]) -> np.ndarray:
         other = self.count - 1
-        return np.fromiter((self.words[w] if w in self.words else self.endings.get(self.ending(w), other) for w in words), np.int32, len(words))
+        tails = {ending.encode(): number for ending, number in self.endings.items() if ending.isascii()}
+
+        def of_ending(word: bytes) -> int:
+            tail = word.rstrip(CLOSING.encode())[-2:]
+            return tails.get(tail, other) if tail.isascii() else self.endings.get(self.ending(word), other)
+
+        return np.fromiter((self.words[w] if w in self.words else of_ending(w) for w in words), np.int32, len(words))
 
 
 class Adam:
-    """Running moments of the gradients; gradients are clipped to a norm of 1."""
+    """Running moments of the gradients; gradients are clipped to a norm of 1.  Works in place, also on the given gradients."""
 
     def __init__(self):
         self.first, self.second, self.updates = {}, {}, 0
 
     def update(self, network: GatedNetwork, grad: dict[str, np.ndarray], rate: float) -> None:
-        norm = np.sqrt(sum(float((g**2).sum()) for g in grad.values()))
+        # plain floats: a numpy scalar would turn the float32 arrays into float64
+        norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values())))
+        scale = min(1.0, 1.0 / max(norm, 1e-9))
         self.updates += 1
-        rate = rate * np.sqrt(1 - 0.999**self.updates) / (1 - 0.9**self.updates)
+        rate = float(rate * np.sqrt(1 - 0.999**self.updates) / (1 - 0.9**self.updates))
         for name, g in grad.items():
-            g = g * min(1.0, 1.0 / max(norm, 1e-9))
-            self.first[name] = 0.9 * self.first.get(name, 0) + 0.1 * g
-            self.second[name] = 0.999 * self.second.get(name, 0) + 0.001 * g**2
-            setattr(network, name, (getattr(network, name) - rate * self.first[name] / (np.sqrt(self.second[name]) + 1e-8)).astype(np.float32))
+            if name not in self.first:
+                self.first[name], self.second[name] = np.zeros_like(g), np.zeros_like(g)
+            first, second = self.first[name], self.second[name]
+            first *= 0.9
+            first += g * (0.1 * scale)
+            g *= scale
+            g *= g
+            g *= 0.001
+            second *= 0.999
+            second += g
+            np.sqrt(second, out=g)
+            g += 1e-8
+            np.divide(first, g, out=g)
+            g *= rate
+            weights = getattr(network, name)
+            weights -= g
+
+
+class Room:
+    """Arrays that one window after another is computed in; new ones each time cost as much as the arithmetic."""
+
+    def __init__(self):
+        self.arrays: dict[str, np.ndarray] = {}
+
+    def array(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        found = self.arrays.get(name)
+        if found is None or found.shape != shape or found.dtype != kind:
+            found = self.arrays[name] = np.empty(shape, kind)
+        return found
 
 
 class GatedNetwork:
@@ -113,53 +164,98 @@ class GatedNetwork:
         self.out = rng.normal(0, 0.1, (HIDDEN, classes)).astype(np.float32)
         self.bias = np.log((frequency + 1) / (frequency.sum() + classes)).astype(np.float32)
 
+    def halved(self) -> tuple[np.ndarray, np.ndarray]:
+        """Input weights, and recurrent weights by output unit; those of the gates halved, as sigmoid(x) = (tanh(x / 2) + 1) / 2."""
+
+        half = np.ones(3 * HIDDEN, self.inputs.dtype)
+        half[: 2 * HIDDEN] = 0.5
+        return self.inputs * half, np.ascontiguousarray((self.recurrent * half).T)
+
     def step(self, given: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Next state after the classes ``given``, and what backpropagation needs."""
+        """Next state (streams x units) after the classes ``given``, and what it is made from: both gates and the new values."""
 
-        a, u = self.inputs[given], state @ self.recurrent
-        keep = sigmoid(a[:, :HIDDEN] + u[:, :HIDDEN])
-        reset = sigmoid(a[:, HIDDEN : 2 * HIDDEN] + u[:, HIDDEN : 2 * HIDDEN])
-        inner = u[:, 2 * HIDDEN :]
-        new = np.tanh(a[:, 2 * HIDDEN :] + reset * inner)
-        return new + keep * (state - new), keep, reset, inner, new
+        inputs, recurrent = self.halved()
+        u, gates, new, after = (np.empty((n * HIDDEN, len(given)), state.dtype) for n in (3, 2, 1, 1))
+        advance(inputs[given].T, state.T, recurrent, u, gates, new, after)
+        return after.T, gates.T, new.T
 
     def log_softmax(self, states: np.ndarray) -> np.ndarray:
         logits = states @ self.out + self.bias
         logits -= logits.max(axis=1, keepdims=True)
         return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
-    def gradients(self, given: np.ndarray, wanted: np.ndarray, state: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Of the mean loss over one window (steps x streams), and the state after it; a text's end clears the state."""
-
-        states, kept = [], []
-        for now in given:
-            state = np.where((now == 0)[:, None], np.float32(0), state)  # the end stands before a text's first word
-            before = state
-            state, *parts = self.step(now, before)
-            states.append(state)
-            kept.append((before, *parts))
-        flat = np.concatenate(states)
-        error = np.exp(self.log_softmax(flat))
-        error[np.arange(len(flat)), wanted.ravel()] -= 1
-        error /= len(flat)
-        grad = {"out": flat.T @ error, "bias": error.sum(axis=0), "inputs": np.zeros_like(self.inputs), "recurrent": np.zeros_like(self.recurrent)}
-        from_out = (error @ self.out.T).reshape(len(given), -1, HIDDEN)
-        carried = np.zeros_like(state)
-        of_inputs = np.empty((*given.shape, 3 * HIDDEN), self.inputs.dtype)
-        for t in range(len(given) - 1, -1, -1):
-            before, keep, reset, inner, new = kept[t]
-            d = from_out[t] + carried
-            d_new = d * (1 - keep) * (1 - new**2)
-            d_keep = d * (before - new) * keep * (1 - keep)
-            d_reset = d_new * inner * reset * (1 - reset)
-            of_inputs[t] = np.concatenate([d_keep, d_reset, d_new], axis=1)
-            d_u = np.concatenate([d_keep, d_reset, d_new * reset], axis=1)
-            grad["recurrent"] += before.T @ d_u
-            carried = np.where((given[t] == 0)[:, None], np.float32(0), d * keep + d_u @ self.recurrent.T)
+    def output(self) -> tuple[np.ndarray, bool]:
+        """Weights by class with the bias behind them, and whether exp of their logits is surely in range (states are within -1 and 1)."""
+
+        weights = np.concatenate([self.out, self.bias[None]]).T
+        return np.ascontiguousarray(weights), float(np.abs(weights).sum(axis=1).max()) < 60
+
+    def gradients(self, given: np.ndarray, wanted: np.ndarray, state: np.ndarray, room: Room | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of the mean loss over one window (steps x streams), and the state after it; a text's end clears the state.
+
+        Inside, an array is steps x units x streams, so that a gate's values are contiguous.
+        """
+
+        (steps, streams), kind, room = given.shape, self.inputs.dtype, Room() if room is None else room
+        units = (steps, HIDDEN, streams)
+        inputs, recurrent = self.halved()
+        of_given = room.array("given", (steps, 3 * HIDDEN, streams), kind)
+        of_given[:] = inputs[given].transpose(0, 2, 1)
+        goes_on = (given != 0).astype(kind)  # the end stands before a text's first word
+        clears = (given == 0).any(axis=1).tolist()
+        before, new = room.array("before", units, kind), room.array("new", units, kind)
+        gates = room.array("gates", (steps, 2 * HIDDEN, streams), kind)
+        u = room.array("u", of_given.shape, kind)
+        states = room.array("states", (steps, HIDDEN + 1, streams), kind)
+        states[:, HIDDEN] = 1  # for the bias
+        state = state.T
+        for t in range(steps):
+            before[t] = state * goes_on[t] if clears[t] else state
+            state = advance(of_given[t], before[t], recurrent, u[t], gates[t], new[t], states[t, :HIDDEN])
+        inner = u[:, 2 * HIDDEN :]
+        weights, in_range = self.output()
+        error = np.matmul(weights, states, out=room.array("error", (steps, len(weights), streams), kind))
+        if not in_range:
+            error -= error.max(axis=1, keepdims=True)
+        np.exp(error, out=error)
+        error *= 1 / (steps * streams * (np.ones(len(weights), kind) @ error))[:, None]
+        error[np.arange(steps)[:, None], wanted, np.arange(streams)] -= 1 / (steps * streams)
+        of_output = np.matmul(error, states[:, :HIDDEN].transpose(0, 2, 1), out=room.array("of_output", (steps, len(weights), HIDDEN), kind)).sum(axis=0).T
+        of_bias = (error @ np.ones(streams, kind)).sum(axis=0)
+        from_out = np.matmul(self.out, error, out=room.array("from_out", units, kind))
+        keep, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
+        to_keep = np.subtract(before, new, out=room.array("to_keep", units, kind))
+        to_keep *= keep
+        to_new = np.subtract(1, keep, out=room.array("to_new", units, kind))
+        to_keep *= to_new
+        new *= new
+        to_new *= np.subtract(1, new, out=new)
+        inner *= reset
+        to_reset = np.multiply(inner, np.subtract(1, reset, out=new), out=inner)
+        d_u, carried = room.array("d_u", of_given.shape, kind), np.zeros((HIDDEN, streams), kind)
+        for t in range(steps - 1, -1, -1):
+            d = np.add(from_out[t], carried, out=from_out[t])
+            d_new = np.multiply(d, to_new[t], out=to_new[t])
+            np.multiply(d, to_keep[t], out=d_u[t, :HIDDEN])
+            np.multiply(d_new, to_reset[t], out=d_u[t, HIDDEN : 2 * HIDDEN])
+            np.multiply(d_new, reset[t], out=d_u[t, 2 * HIDDEN :])
+            carried = self.recurrent @ d_u[t]
+            d *= keep[t]
+            carried += d
+            if clears[t]:
+                carried *= goes_on[t]
+        of_recurrent = np.matmul(d_u, before.transpose(0, 2, 1), out=room.array("of_recurrent", (steps, 3 * HIDDEN, HIDDEN), kind)).sum(axis=0).T
+        d_u[:, 2 * HIDDEN :] = to_new  # of the inputs
+        rows = room.array("rows", (steps, streams, 3 * HIDDEN), kind)
+        rows[:] = d_u.transpose(0, 2, 1)
         order = np.argsort(given, axis=None, kind="stable")
-        classes, first = np.unique(given.ravel()[order], return_index=True)
-        grad["inputs"][classes] = np.add.reduceat(of_inputs.reshape(-1, 3 * HIDDEN)[order], first)
-        return grad, state
+        classes = given.ravel()[order]
+        first = np.flatnonzero(np.diff(classes, prepend=-1))
+        # summed by class, two numbers at a time: as the parts of complex ones
+        sums = np.add.reduceat(rows.reshape(-1, 3 * HIDDEN)[order].view(np.result_type(kind, np.complex64)), first)
+        of_inputs = np.zeros_like(self.inputs)
+        of_inputs[classes[first]] = sums.view(kind)
+        return {"out": np.ascontiguousarray(of_output), "bias": of_bias, "inputs": of_inputs, "recurrent": np.ascontiguousarray(of_recurrent)}, state.T
 
     def weights(self) -> np.ndarray:
         return np.concatenate([getattr(self, name).ravel() for name in self.NAMES])
@@ -183,42 +279,53 @@ class GatedNetwork:
             return 0
         streams = tokens[: length * STREAMS].reshape(STREAMS, length).T
         given = np.concatenate([np.zeros((1, STREAMS), streams.dtype), streams[:-1]])
-        state = np.zeros((STREAMS, HIDDEN), np.float32)
+        state, room = np.zeros((STREAMS, HIDDEN), np.float32), Room()
         for at in range(0, length, WINDOW):
-            grad, state = self.gradients(given[at : at + WINDOW], streams[at : at + WINDOW], state)
+            grad, state = self.gradients(given[at : at + WINDOW], streams[at : at + WINDOW], state, room)
             adam.update(self, grad, rate)
         return length * STREAMS
 
     def log_likelihoods(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Natural log probability of each whole text's classes (text i: ``tokens[starts[i]:starts[i + 1]]``).
 
-        Texts run side by side, longest first; each window takes the state of the one before it.
+        Texts run side by side, TEXTS at a time and longest first; each window takes the state of the one before it.
         """
 
         lengths = np.diff(starts)
         order = np.argsort(-lengths, kind="stable")
-        begin, left = starts[:-1][order], lengths[order]
-        total = np.zeros(len(order))
-        state = np.zeros((len(order), HIDDEN), np.float32)
-        before = np.zeros(len(order), np.int32)
-        at = 0
-        while len(left) and at < left[0]:
-            states, wanted, owners = [], [], []
-            for step in range(at, min(at + WINDOW, int(left[0]))):
-                active = int(np.searchsorted(-left, -step, side="left"))  # texts longer than ``step``
-                state[:active] = self.step(before[:active], state[:active])[0]
-                before[:active] = tokens[begin[:active] + step]
-                states.append(state[:active].copy())
-                wanted.append(before[:active].copy())
-                owners.append(np.arange(active))
-            wanted, owners, states = np.concatenate(wanted), np.concatenate(owners), np.concatenate(states)
-            for low in range(0, len(wanted), 16_384):
-                part = slice(low, low + 16_384)
-                found = self.log_softmax(states[part])[np.arange(len(wanted[part])), wanted[part]]
-                total += np.bincount(owners[part], weights=found, minlength=len(order))
-            at += WINDOW
+        inputs, recurrent = self.halved()
+        weights, in_range = self.output()
+        ones = np.ones(len(weights), weights.dtype)
         out = np.empty(len(order))
-        out[order] = total
+        for low in range(0, len(order), TEXTS):
+            rows = order[low : low + TEXTS]
+            begin, left = starts[:-1][rows], lengths[rows]
+            total = np.zeros(len(rows))
+            state = np.zeros((HIDDEN, len(rows)), weights.dtype)
+            before = np.zeros(len(rows), tokens.dtype)
+            for at in range(0, int(left[0]), WINDOW):
+                active = int(np.searchsorted(-left, -at, side="left"))  # texts longer than ``at``
+                steps = np.arange(at, min(at + WINDOW, int(left[0])))[:, None]
+                # a text that ends inside the window repeats its last token until the window's end; that isn't summed
+                wanted = tokens[begin[:active] + np.minimum(steps, left[:active] - 1)]
+                given = np.concatenate([before[None, :active], wanted[:-1]])
+                before, state = wanted[-1], np.ascontiguousarray(state[:, :active])
+                of_given = np.ascontiguousarray(inputs[given].transpose(0, 2, 1))
+                biased, each = np.ones((HIDDEN + 1, active), weights.dtype), np.arange(active)
+                u, gates, new = (np.empty((n * HIDDEN, active), weights.dtype) for n in (3, 2, 1))
+                chosen, sums = np.empty(wanted.shape, weights.dtype), np.empty(wanted.shape, weights.dtype)
+                logits = np.empty((len(weights), active), weights.dtype)
+                for t in range(len(steps)):
+                    advance(of_given[t], state, recurrent, u, gates, new, biased[:HIDDEN])
+                    state[:] = biased[:HIDDEN]
+                    np.matmul(weights, biased, out=logits)
+                    if not in_range:
+                        logits -= logits.max(axis=0)
+                    chosen[t] = logits[wanted[t], each]
+                    np.exp(logits, out=logits)
+                    np.matmul(ones, logits, out=sums[t])
+                total[:active] += np.where(steps < left[:active], chosen - np.log(sums), 0).sum(axis=0, dtype=np.float64)
+            out[rows] = total
         return out
 
 
