@@ -19,7 +19,6 @@ frame; an empty table writes no file; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -52,17 +51,22 @@ TEXT_BYTES = 1_000_000  # text whose pieces are looked up together
 CACHED_PIECES = 150_000  # entries of a cache generation; bounds a worker's memory only
 
 # Fixed values of the tokenizer: its pre-token pattern as it applies to lower-case text of ASCII and Latin-1 letters
-# (two bytes each in UTF-8), its mark of a pre-token's end, and the characters that its byte-level step writes for bytes.
-PRE_TOKENS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
+# (two bytes each in UTF-8), 's|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+, as kinds of bytes,
+# its mark of a pre-token's end, and the characters that its byte-level step writes for bytes.
+SPACE, DIGIT, LETTER, SIGN, WHOLE = range(5)
+KINDS = np.full(256, SIGN, np.uint8)
+KINDS[list(b" \t\n\v\f\r")] = SPACE
+KINDS[list(b"0123456789")] = DIGIT
+KINDS[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = LETTER
 LATIN_BYTES = bytes([*range(128), 0xC3, *range(0x80, 0xC0)])
 NOT_LETTERS = ("\u00d7".encode(), "\u00f7".encode())
 WORD_END = "</w>"
 KEPT_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in KEPT_BYTES)}
+BYTE_LETTERS = {chr(b): chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in KEPT_BYTES)}
 
 
 def lowered(text: bytes) -> bytes | None:
-    """The text in lower case if ``PRE_TOKENS`` surely finds its pre-tokens, else none."""
+    """The text in lower case if ``pre_tokens`` surely finds its pre-tokens, else none."""
 
     if b"<|" in text:  # could be a special token
         return None
@@ -76,13 +80,39 @@ def lowered(text: bytes) -> bytes | None:
         return None
 
 
+def pre_tokens(text: bytes, whole: list[tuple[int, int]]) -> tuple[pa.Array, np.ndarray]:
+    """Pre-tokens of lower-case text and where each begins; every span in ``whole``, white space around it, is one."""
+
+    chars = np.frombuffer(text + b"   ", np.uint8)  # a contraction has at most two bytes behind its apostrophe
+    kinds = KINDS[chars]
+    for begin, end in whole:
+        kinds[begin:end] = WHOLE
+    first = kinds == DIGIT
+    first[0] = True
+    first[1:] |= kinds[1:] != kinds[:-1]
+    # A contraction begins where a run of signs would, takes its letters, and what follows begins anew.
+    marks = np.flatnonzero(first & (chars == ord("'")) & (kinds == SIGN))
+    after, second = chars[marks + 1], chars[marks + 2]
+    one = np.isin(after, list(b"stmd"))
+    two = (np.isin(after, list(b"rv")) & (second == ord("e"))) | ((after == ord("l")) & (second == ord("l")))
+    first[marks[one | two] + 1] = False
+    first[marks[one] + 2] = True
+    first[marks[two] + 3] = True
+    kept = kinds != SPACE
+    first &= kept
+    data = chars[kept]
+    offsets = np.append(np.flatnonzero(first[kept]), len(data)).astype(np.int32)
+    tokens = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return tokens, np.flatnonzero(first)
+
+
 class Encoder:
     """Text -> packed ids.  The tokenizer drops white space and never merges across
     it, so a text's ids are those of its white-space separated pieces in order, and a
     piece's those of its pre-tokens.  Texts of ASCII and Latin-1 letters are cut into
     lower-case pre-tokens at once; of the others, each piece that isn't such a text
     goes through the whole tokenizer.  Pre-tokens and those pieces repeat a lot and are
-    kept in a bounded cache."""
+    kept in a bounded cache; only the distinct ones of a run of texts become Python objects."""
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -99,20 +129,26 @@ class Encoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def keep(self, keys: list[bytes], encode: Callable[[list[bytes]], list[bytes]]) -> None:
-        """Put the packed ids of every key into ``young``; those that neither generation has are encoded now."""
+    def keep(self, keys: list[bytes], encode: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
+        """Packed ids of every key, which are in ``young`` afterwards; those that neither generation has are encoded now."""
 
-        absent = [key for key in keys if key not in self.young]
-        found = dict(zip(absent, map(self.old.get, absent), strict=True))
-        new = [key for key, packed in found.items() if packed is None]
+        packed = list(map(self.young.get, keys))
+        absent = [i for i, ids in enumerate(packed) if ids is None]
+        found = {keys[i]: self.old.get(keys[i]) for i in absent}
+        new = [key for key, ids in found.items() if ids is None]
         self.young |= found | dict(zip(new, encode(new), strict=True))
+        for i in absent:
+            packed[i] = self.young[keys[i]]
+        return packed
 
     def encode_pre_tokens(self, parts: list[bytes]) -> list[bytes]:
         """Of lower-case pre-tokens: only the merges are left to do."""
 
         if not parts:
             return []
-        text = " ".join([part.decode() if part.isalpha() else part.decode("latin-1").translate(BYTE_LETTERS) for part in parts])
+        text = " ".join([part.decode("latin-1") for part in parts])
+        for sign in (set(text) & BYTE_LETTERS.keys()) - {" "}:
+            text = text.replace(sign, BYTE_LETTERS[sign])
         ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         stops = (np.flatnonzero(self.word_end[ids]) + 1) * 4
         if len(stops) != len(parts):
@@ -127,28 +163,41 @@ class Encoder:
     def payloads(self, texts: pa.Array) -> list[bytes]:
         """Packed ids of each text."""
 
-        whole = utf8_values(texts)
-        parts: list = []  # of each text: pre-tokens and pieces in order
-        pieces: set[bytes] = set()  # those that the whole tokenizer takes
-        for text in whole:
+        stream: list[bytes] = []  # pieces and whole texts in lower case, white space between them
+        begins, length = [], 0  # where each text begins in the stream
+        whole: list[tuple[int, int]] = []  # spans of the pieces that the whole tokenizer takes
+        pieces: set[bytes] = set()
+        for text in utf8_values(texts):
+            begins.append(length)
             plain = lowered(text or b"")
-            if plain is not None:
-                parts.append(PRE_TOKENS.findall(plain))
-                continue
-            own: list[bytes] = []
-            for piece in text.split():  # bytes: at ASCII white space only
-                plain = lowered(piece)
-                if plain is None:
-                    pieces.add(piece)
-                    own.append(piece)
-                else:
-                    own += PRE_TOKENS.findall(plain)
-            parts.append(own)
+            for piece in text.split() if plain is None else [text]:  # bytes: at ASCII white space only
+                part = lowered(piece) if plain is None else plain
+                if part is None:
+                    part = piece
+                    whole.append((length, length + len(part)))
+                    pieces.add(part)
+                stream.append(part)
+                length += len(part) + 1
+        tokens, at = pre_tokens(b"\n".join(stream), whole)
+        coded = tokens.dictionary_encode()
+        _, offsets, data = coded.dictionary.buffers()  # cut here: to_pylist takes some four times as long
+        cuts, letters = np.frombuffer(offsets, np.int32, len(coded.dictionary) + 1).tolist(), data.to_pybytes()
+        distinct = [letters[begin:end] for begin, end in zip(cuts, cuts[1:], strict=False)]
         if len(self.young) > CACHED_PIECES:
             self.old, self.young = self.young, {}
         self.keep(list(pieces), self.encode_pieces)
-        self.keep(list(set().union(*parts) - pieces), self.encode_pre_tokens)
-        return [b"".join(map(self.young.__getitem__, own)) for own in parts]
+        packed = self.keep(distinct, self.encode_pre_tokens)
+        # The ids of all tokens in order: those of token i are n[i] of ``known`` from offset[its code] on.
+        known = np.frombuffer(b"".join(packed), "<u4")
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        codes = coded.indices.to_numpy()
+        n = sizes[codes]
+        stops = np.concatenate([[0], np.cumsum(n)])
+        places = np.repeat((np.cumsum(sizes) - sizes)[codes] - stops[:-1], n)
+        places += np.arange(len(places))
+        ids = known[places].tobytes()
+        bounds = (stops[np.searchsorted(at, [*begins, length])] * 4).tolist()
+        return [ids[begin:end] for begin, end in zip(bounds, bounds[1:], strict=False)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
