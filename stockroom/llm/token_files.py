@@ -47,8 +47,8 @@ CHECKSUM_FLAG = 0x80
 END_ID = 2
 NO_DOC_ID = -(2**63)  # stands for a null doc_id inside a file
 TOKENIZER = "word_bpe_49k.json"
-TEXT_BYTES = 1_000_000  # text whose pieces are looked up together
-CACHED_PIECES = 150_000  # entries of a cache generation; bounds a worker's memory only
+TEXT_BYTES = 300_000  # text whose pieces are looked up together
+CACHED_PIECES = 120_000  # entries of a cache generation; bounds a worker's memory only
 
 # Fixed values of the tokenizer: its pre-token pattern as it applies to lower-case text of ASCII and Latin-1 letters
 # (two bytes each in UTF-8), 's|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+, as kinds of bytes,
