@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,15 @@ def utf8_values(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def bytes_of(values: pa.Array) -> list[bytes]:
+    """The values of a large string array without nulls as bytes; cut from its buffer, much faster than one Arrow scalar each."""
+
+    ends = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, 8 * values.offset).tolist() if len(values) else [0]
+    data = memoryview(values.buffers()[2] or b"")[ends[0] : ends[-1]].tobytes()
+    base = ends[0]
+    return [data[a - base : b - base] for a, b in pairwise(ends)]
+
+
 @dataclass
 class Words:
     """The words of a run of texts: text i has ``codes[starts[i]:starts[i + 1]]``,
@@ -66,7 +76,7 @@ def words_of(column: pa.Array, lower: bool = True) -> Words:
         offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
         values = values.filter(pa.array(full))
     coded = values.dictionary_encode()
-    return Words(offsets, np.asarray(coded.indices), coded.dictionary.cast(pa.large_binary()).to_pylist())
+    return Words(offsets, np.asarray(coded.indices), bytes_of(coded.dictionary))
 
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:

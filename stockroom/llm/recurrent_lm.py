@@ -46,6 +46,7 @@ OWN_CLASSES, ENDINGS = 60, 66
 HIDDEN = 32
 ROUNDS = PARTS = 4  # every training text is learned from once
 STREAMS, WINDOW, RATE = 64, 20, 0.01
+BLOCK = 5  # steps of a window whose output is computed at once; bounds its arrays to the processor's cache
 TEXTS = 256  # texts scored side by side; bounds a step's arrays to the processor's cache
 END = b"\n"  # no word holds it
 CLOSING = ".,;:!?\"')"  # not part of a word's ending
@@ -54,14 +55,14 @@ CLOSING = ".,;:!?\"')"  # not part of a word's ending
 def advance(given: np.ndarray, before: np.ndarray, recurrent: np.ndarray, u: np.ndarray, gates: np.ndarray, new: np.ndarray, state: np.ndarray) -> np.ndarray:
     """Next state (units x streams), computed in ``state``; ``u``, ``gates`` (keep, reset) and ``new`` get what backpropagation needs.
 
-    ``given`` and ``recurrent`` are of halved gates (see ``GatedNetwork.halved``).
+    ``given`` and ``recurrent`` are of negated gates (see ``GatedNetwork.negated``).
     """
 
     np.matmul(recurrent, before, out=u)
     np.add(given[: 2 * HIDDEN], u[: 2 * HIDDEN], out=gates)
-    np.tanh(gates, out=gates)
-    gates *= 0.5
-    gates += 0.5
+    np.exp(gates, out=gates)  # beyond the range: infinite, and the gate 0
+    gates += 1
+    np.reciprocal(gates, out=gates)
     np.multiply(gates[HIDDEN:], u[2 * HIDDEN :], out=new)
     new += given[2 * HIDDEN :]
     np.tanh(new, out=new)
@@ -101,11 +102,20 @@ class Classes:
         other = self.count - 1
         tails = {ending.encode(): number for ending, number in self.endings.items() if ending.isascii()}
 
+        closing = CLOSING.encode()
+        plain: dict[bytes, int] = {}  # by the last two bytes, where they alone decide
+
         def of_ending(word: bytes) -> int:
-            tail = word.rstrip(CLOSING.encode())[-2:]
-            return tails.get(tail, other) if tail.isascii() else self.endings.get(self.ending(word), other)
+            tail = word.rstrip(closing)[-2:]
+            if not tail.isascii():
+                return self.endings.get(self.ending(word), other)
+            number = tails.get(tail, other)
+            if word[-2:] == tail and word[-1:] not in closing:
+                plain[tail] = number
+            return number
 
-        return np.fromiter((self.words[w] if w in self.words else of_ending(w) for w in words), np.int32, len(words))
+        own = self.words
+        return np.fromiter((own[w] if w in own else plain[tail] if (tail := w[-2:]) in plain else of_ending(w) for w in words), np.int32, len(words))
 
 
 class Adam:
@@ -164,17 +174,18 @@ class GatedNetwork:
         self.out = rng.normal(0, 0.1, (HIDDEN, classes)).astype(np.float32)
         self.bias = np.log((frequency + 1) / (frequency.sum() + classes)).astype(np.float32)
 
-    def halved(self) -> tuple[np.ndarray, np.ndarray]:
-        """Input weights, and recurrent weights by output unit; those of the gates halved, as sigmoid(x) = (tanh(x / 2) + 1) / 2."""
+    def negated(self) -> tuple[np.ndarray, np.ndarray]:
+        """Input weights, and recurrent weights by output unit; those of the gates negated, as sigmoid(x) = 1 / (1 + exp(-x))."""
 
-        half = np.ones(3 * HIDDEN, self.inputs.dtype)
-        half[: 2 * HIDDEN] = 0.5
-        return self.inputs * half, np.ascontiguousarray((self.recurrent * half).T)
+        sign = np.ones(3 * HIDDEN, self.inputs.dtype)
+        sign[: 2 * HIDDEN] = -1
+        return self.inputs * sign, (self.recurrent * sign).T
 
+    @np.errstate(over="ignore")
     def step(self, given: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
         """Next state (streams x units) after the classes ``given``, and what it is made from: both gates and the new values."""
 
-        inputs, recurrent = self.halved()
+        inputs, recurrent = self.negated()
         u, gates, new, after = (np.empty((n * HIDDEN, len(given)), state.dtype) for n in (3, 2, 1, 1))
         advance(inputs[given].T, state.T, recurrent, u, gates, new, after)
         return after.T, gates.T, new.T
@@ -190,6 +201,7 @@ class GatedNetwork:
         weights = np.concatenate([self.out, self.bias[None]]).T
         return np.ascontiguousarray(weights), float(np.abs(weights).sum(axis=1).max()) < 60
 
+    @np.errstate(over="ignore")
     def gradients(self, given: np.ndarray, wanted: np.ndarray, state: np.ndarray, room: Room | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the mean loss over one window (steps x streams), and the state after it; a text's end clears the state.
 
@@ -198,9 +210,10 @@ class GatedNetwork:
 
         (steps, streams), kind, room = given.shape, self.inputs.dtype, Room() if room is None else room
         units = (steps, HIDDEN, streams)
-        inputs, recurrent = self.halved()
+        inputs, recurrent = self.negated()
         of_given = room.array("given", (steps, 3 * HIDDEN, streams), kind)
-        of_given[:] = inputs[given].transpose(0, 2, 1)
+        rows = np.take(inputs, given, axis=0, out=room.array("rows", (steps, streams, 3 * HIDDEN), kind), mode="clip")
+        of_given[:] = rows.transpose(0, 2, 1)
         goes_on = (given != 0).astype(kind)  # the end stands before a text's first word
         clears = (given == 0).any(axis=1).tolist()
         before, new = room.array("before", units, kind), room.array("new", units, kind)
@@ -214,15 +227,18 @@ class GatedNetwork:
             state = advance(of_given[t], before[t], recurrent, u[t], gates[t], new[t], states[t, :HIDDEN])
         inner = u[:, 2 * HIDDEN :]
         weights, in_range = self.output()
-        error = np.matmul(weights, states, out=room.array("error", (steps, len(weights), streams), kind))
-        if not in_range:
-            error -= error.max(axis=1, keepdims=True)
-        np.exp(error, out=error)
-        error *= 1 / (steps * streams * (np.ones(len(weights), kind) @ error))[:, None]
-        error[np.arange(steps)[:, None], wanted, np.arange(streams)] -= 1 / (steps * streams)
-        of_output = np.matmul(error, states[:, :HIDDEN].transpose(0, 2, 1), out=room.array("of_output", (steps, len(weights), HIDDEN), kind)).sum(axis=0).T
-        of_bias = (error @ np.ones(streams, kind)).sum(axis=0)
-        from_out = np.matmul(self.out, error, out=room.array("from_out", units, kind))
+        from_out, of_output = room.array("from_out", units, kind), np.zeros_like(weights)
+        for low in range(0, steps, BLOCK):
+            of = slice(low, low + BLOCK)
+            here = states[of]
+            error = np.matmul(weights, here, out=room.array("error", (len(here), len(weights), streams), kind))
+            if not in_range:
+                error -= error.max(axis=1, keepdims=True)
+            np.exp(error, out=error)
+            error *= 1 / (steps * streams * (np.ones(len(weights), kind) @ error))[:, None]
+            error[np.arange(len(here))[:, None], wanted[of], np.arange(streams)] -= 1 / (steps * streams)
+            of_output += np.matmul(error, here.transpose(0, 2, 1), out=room.array("of_output", (len(here), *weights.shape), kind)).sum(axis=0)
+            np.matmul(self.out, error, out=from_out[of])
         keep, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
         to_keep = np.subtract(before, new, out=room.array("to_keep", units, kind))
         to_keep *= keep
@@ -246,16 +262,17 @@ class GatedNetwork:
                 carried *= goes_on[t]
         of_recurrent = np.matmul(d_u, before.transpose(0, 2, 1), out=room.array("of_recurrent", (steps, 3 * HIDDEN, HIDDEN), kind)).sum(axis=0).T
         d_u[:, 2 * HIDDEN :] = to_new  # of the inputs
-        rows = room.array("rows", (steps, streams, 3 * HIDDEN), kind)
         rows[:] = d_u.transpose(0, 2, 1)
         order = np.argsort(given, axis=None, kind="stable")
-        classes = given.ravel()[order]
-        first = np.flatnonzero(np.diff(classes, prepend=-1))
+        found = given.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        # places are all in range; "clip" lets take write to ``out`` at once
+        by_class = np.take(rows.reshape(-1, 3 * HIDDEN), order, axis=0, out=room.array("by_class", (len(order), 3 * HIDDEN), kind), mode="clip")
         # summed by class, two numbers at a time: as the parts of complex ones
-        sums = np.add.reduceat(rows.reshape(-1, 3 * HIDDEN)[order].view(np.result_type(kind, np.complex64)), first)
+        sums = np.add.reduceat(by_class.view(np.result_type(kind, np.complex64)), first)
         of_inputs = np.zeros_like(self.inputs)
-        of_inputs[classes[first]] = sums.view(kind)
-        return {"out": np.ascontiguousarray(of_output), "bias": of_bias, "inputs": of_inputs, "recurrent": np.ascontiguousarray(of_recurrent)}, state.T
+        of_inputs[found[first]] = sums.view(kind)
+        return {"out": np.ascontiguousarray(of_output[:, :HIDDEN].T), "bias": of_output[:, HIDDEN].copy(), "inputs": of_inputs, "recurrent": np.ascontiguousarray(of_recurrent)}, state.T
 
     def weights(self) -> np.ndarray:
         return np.concatenate([getattr(self, name).ravel() for name in self.NAMES])
@@ -285,6 +302,7 @@ class GatedNetwork:
             adam.update(self, grad, rate)
         return length * STREAMS
 
+    @np.errstate(over="ignore")
     def log_likelihoods(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Natural log probability of each whole text's classes (text i: ``tokens[starts[i]:starts[i + 1]]``).
 
@@ -293,7 +311,7 @@ class GatedNetwork:
 
         lengths = np.diff(starts)
         order = np.argsort(-lengths, kind="stable")
-        inputs, recurrent = self.halved()
+        inputs, recurrent = self.negated()
         weights, in_range = self.output()
         ones = np.ones(len(weights), weights.dtype)
         out = np.empty(len(order))
