@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stockroom.operators import inventory
 from stockroom.plans import oracle_sql as sql
-from stockroom.session import ScratchTable, scratch_path
+from stockroom.session import ScratchTable, free_shuffles, scratch_path
 from stockroom.sources.tables import transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -959,6 +959,15 @@ def j7_asof_customer_spend(spark: SparkSession, sf: str) -> DataFrame:
     return feature_store.asof_join(req, cust_day, "customer_id", "ts", "event_timestamp", ["spend", "orders"], _dt.timedelta(days=30))
 
 
+def _bought(spark: SparkSession, sf: str, *sums) -> DataFrame:
+    """(customer_id, sku, date, sums), a row for each that occurs, as a table: the fact table's joins run once for all that reads it."""
+
+    keys = transactions(spark, sf).groupBy("customer_id", "sku", "date")
+    bought = ScratchTable(keys.agg(*sums) if sums else keys.agg(F.lit(1)).select("customer_id", "sku", "date"), "feature-requests").df
+    free_shuffles(spark)
+    return bought
+
+
 @register(
     "j8_feature_service",
     sql.with_tx(
@@ -1016,11 +1025,12 @@ FROM k"""
 def j8_declared_views(spark: SparkSession, sf: str) -> DataFrame:
     """J8 on the declared views: each purchase, and each customer and sku at the run, with both views' fields."""
 
-    tx = transactions(spark, sf)
-    run = F.lit(tx.agg(F.max("date")).first()[0] + _dt.timedelta(days=1)).cast("timestamp_ntz")
-    bought = tx.select("customer_id", "sku", (F.col("date").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS")).alias("ts")).distinct()
+    days = _bought(spark, sf)
+    run = F.lit(days.agg(F.max("date")).first()[0] + _dt.timedelta(days=1)).cast("timestamp_ntz")
+    bought = days.select("customer_id", "sku", (F.col("date").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS")).alias("ts"))
     now = bought.select("customer_id", "sku").distinct().withColumn("ts", run + F.expr("INTERVAL 12 HOURS"))
     customers = feature_store.feature_view(_cf(spark, sf).withColumn("event_timestamp", run), feature_store.CUSTOMER_VIEW)
+    free_shuffles(spark)
     series = feature_store.feature_view(_ts(spark, sf).withColumn("event_timestamp", F.col("date").cast("timestamp_ntz")), feature_store.SERIES_VIEW)
     return feature_store.feature_service(bought.unionByName(now), customers, series, sku_tie="region")
 
