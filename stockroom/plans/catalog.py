@@ -985,10 +985,10 @@ FROM b"""
     ),
 )
 def j8_feature_service(spark: SparkSession, sf: str) -> DataFrame:
-    tx = transactions(spark, sf)
-    req = tx.select("customer_id", "sku", (F.col("date").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS")).alias("ts")).distinct()
-    cust_day = tx.groupBy("customer_id", F.col("date").cast("timestamp_ntz").alias("event_timestamp")).agg(F.sum("revenue").cast("double").alias("spend"))
-    sku_day = tx.groupBy("sku", (F.col("date").cast("timestamp_ntz") - F.expr("INTERVAL 1 DAYS")).alias("event_timestamp")).agg(
+    bought = _bought(spark, sf, F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity"))
+    req = bought.select("customer_id", "sku", (F.col("date").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS")).alias("ts"))
+    cust_day = bought.groupBy("customer_id", F.col("date").cast("timestamp_ntz").alias("event_timestamp")).agg(F.sum("revenue").cast("double").alias("spend"))
+    sku_day = bought.groupBy("sku", (F.col("date").cast("timestamp_ntz") - F.expr("INTERVAL 1 DAYS")).alias("event_timestamp")).agg(
         F.sum("quantity").cast("bigint").alias("units")
     )
     return feature_store.feature_service(req, cust_day, sku_day, customer_cols=["spend"], sku_cols=["units"])
